@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +19,30 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import langid
+
+    docs = _table(spark, folder, "documents")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import pii
+
+    found = pii.detect(_table(spark, folder, "documents"))
+    word = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, pii.BASE_KINDS),
+        F.sha2(F.array_join(F.transform(base, word), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("found", word), ",").alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
