@@ -19,6 +19,18 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import pieces
+
+    return pieces.encode(_table(spark, folder, "documents"))
+
+
+def op4_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import packing
+
+    return packing.pack(_table(spark, folder, "documents"))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import langid
 
