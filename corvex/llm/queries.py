@@ -19,6 +19,13 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import store, warc
+
+    path = store.fresh(spark, "warc")
+    return warc.read(warc.write(_table(spark, folder, "pages"), path), path)
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import pieces
 
@@ -59,6 +66,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+d AS (
+  SELECT page_id, h, octet_length(encode(html))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first,
+         list_transform(range(0, 8), lambda i: ('0x' || substr(h, (5 * i + 1)::INTEGER, 5))::BIGINT) AS parts FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(parts, lambda x:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 32768 % 32 + 1)::INTEGER, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 1024 % 32 + 1)::INTEGER, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 32 % 32 + 1)::INTEGER, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x % 32 + 1)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -96,4 +118,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL}
