@@ -47,6 +47,12 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import substrings
+
+    return substrings.deduplicate(_table(spark, folder, "documents")).drop("kept_text")
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import pii
 
