@@ -15,21 +15,23 @@ That makes the maximum unique and the result equal to merging.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvex.llm.wordhash import U, _Powers, mix
+from corvex.llm.wordhash import SortedKeys, U, _Powers, mix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct words that a worker remembers, characters that it takes at a time.
-CACHE_WORDS = 300_000
-CHUNK_CHARS = 1 << 21
+CACHE_WORDS = 400_000
+CHUNK_CHARS = 1 << 20
+#: Slots (as powers of two) of the tables of words and of pairs of pieces.
+WORD_BITS, PAIR_BITS = 21, 20
 _POWERS = _Powers(0xA0761D6478BD642F)
+_CODE = np.random.default_rng(20240301).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
 
 
 class Vocabulary:
@@ -48,9 +50,8 @@ class Vocabulary:
             if model.is_byte(i):
                 self.byte_id[int(self.pieces[i][3:5], 16)] = i
         self.size, self.unknown = n, model.unk_id()
+        self.pair_tag, self.pair_good = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
         self.longest = max(len(p) for p, ok in zip(self.pieces, normal, strict=True) if ok)
-        #: Whether a line break occurs only alone, so that it ends a word.
-        self.line_alone = not any("\n" in p and len(p) > 1 for p, ok in zip(self.pieces, normal, strict=True) if ok)
         if any(SPACE in p.lstrip(SPACE) for p, ok in zip(self.pieces, normal, strict=True) if ok):
             raise ValueError("pieces that go beyond a word are not supported")
         order = np.unique(-scores, return_inverse=True)[1]
@@ -65,14 +66,24 @@ class Vocabulary:
             elif (parts := self._last_merge(p, ids)) is not None:
                 self.left[i], self.right[i] = parts
                 reachable[i] = True
-        own = np.array(sorted(ids.values()))
-        lengths = np.array([len(p) for p in self.pieces])
-        keys = np.array([self._key(self.pieces[i]) for i in own], dtype=U)
-        at = np.argsort(keys)
-        self.keys, self.key_ids = keys[at], own[at]
-        self.reachable, self.lengths = reachable, lengths
+        self.lengths = np.array([len(p) for p in self.pieces])
         self.key_of = np.zeros(n, dtype=U)
-        self.key_of[own] = keys
+        for p, i in ids.items():
+            self.key_of[i] = self._key(p)
+        own = np.array(sorted(ids.values()))
+        self.all_pieces = SortedKeys(self.key_of[own], own)
+        # Every prefix of a piece that merging can make; -1 where the prefix is none itself.
+        usable = {p: i for p, i in ids.items() if reachable[i]}
+        prefixes = sorted({p[:k] for p in usable for k in range(1, len(p) + 1)})
+        self.prefixes = SortedKeys(np.array([self._key(p) for p in prefixes], dtype=U), np.array([usable.get(p, -1) for p in prefixes]))
+        # Which characters stand side by side in some piece: between others no merge is possible.
+        pairs = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
+        chars = sorted({c for p in pairs for c in p})
+        self.char_class = np.zeros(0x110000, dtype=np.int16)
+        self.char_class[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        for p in pairs:
+            self.joins[self.char_class[ord(p[0])], self.char_class[ord(p[1])]] = True
         # Bytes of each piece, for decoding.
         raw = [b""] * n
         for i, p in enumerate(self.pieces):
@@ -96,25 +107,17 @@ class Vocabulary:
 
     @staticmethod
     def _key(piece: str) -> int:
-        codes = mix(np.array([ord(c) for c in piece], dtype=U), 3)
         up, _ = _POWERS.upto(len(piece))
         with np.errstate(over="ignore"):
-            return int((codes * up).sum(dtype=U))
+            return int((_CODE[[ord(c) for c in piece]] * up).sum(dtype=U))
 
-    def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Piece id of each key, -1 where there is none."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.key_ids[at], -1)
-
-    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging leaves the border between pieces a and b.
+    def _stands(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether merging leaves the border inside each pair (a * 2**32 + b) of pieces.
 
         The last merges on either side are undone, latest first; the border
         falls if the pieces then beside it would merge before that.  Ids from
         ``size`` on stand for characters without a piece, which never merge.
         """
-        pairs, at = np.unique(a * (1 << 32) + b, return_inverse=True)
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
         good = np.ones(len(pairs), dtype=bool)
         index = np.flatnonzero((a < self.size) & (b < self.size))
@@ -123,7 +126,7 @@ class Vocabulary:
         up, _ = _POWERS.upto(2 * self.longest)
         while len(index):
             with np.errstate(over="ignore"):
-                joined = self.probe(self.key_of[a] + self.key_of[b] * up[self.lengths[a]])
+                joined = self.all_pieces.find(self.key_of[a] + self.key_of[b] * up[self.lengths[a]])[0]
             falls = (joined >= 0) & (self.rank[joined] < limit)
             good[index[falls]] = False
             ra, rb = self.rank[a], self.rank[b]
@@ -132,61 +135,103 @@ class Vocabulary:
             undo = ra > rb
             limit = np.where(undo, ra, rb + 1)
             a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
-        return good[at]
-
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Piece ids of each word, in which spaces are written as the space mark."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for length, rows in by_length.items():
-            step = max(1, (1 << 19) // max(1, length))
-            for k in range(0, len(rows) if length else 0, step):
-                part = rows[k : k + step]
-                for i, ids in zip(part, self._viterbi([words[r] for r in part], length), strict=True):
-                    out[i] = ids
+        return good
+
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece b may stand after piece a; answers are remembered in a table of fixed size."""
+        pairs = a * (1 << 32) + b
+        slot = (mix(pairs.view(U)) >> U(64 - PAIR_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.pair_tag[slot] != pairs)
+        out = self.pair_good[slot]
+        if len(new):
+            fresh, at = np.unique(pairs[new], return_inverse=True)
+            good = self._stands(fresh)
+            out[new] = good[at]
+            self.pair_tag[slot[new]], self.pair_good[slot[new]] = pairs[new], good[at]
+            # Of two pairs that meet in one slot the tag is the last one's, and so must be the answer.
+            clash = self.pair_tag[slot[new]] != pairs[new]
+            self.pair_tag[slot[new][clash]] = -1
         return out
 
-    def _viterbi(self, words: list[str], length: int) -> list[np.ndarray]:
-        n = len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).astype(np.int64)
+    def segment(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each word); a word is a slice of the code points."""
+        order = np.argsort(length, kind="stable")
+        sizes = length[order]
+        parts, counts = [], np.zeros(len(start), dtype=np.int64)
+        low = 0
+        while low < len(order):
+            size = int(sizes[low])
+            high = min(int(np.searchsorted(sizes, size, side="right")), low + max(1, (1 << 19) // size))
+            rows = order[low:high]
+            ids, counts[rows] = self._viterbi(codes[start[rows][:, None] + np.arange(size)])
+            parts.append((rows, ids))
+            low = high
+        ends = np.cumsum(counts)
+        flat = np.zeros(ends[-1] if len(ends) else 0, dtype=np.int32)
+        for rows, ids in parts:
+            n = counts[rows]
+            flat[np.repeat(ends[rows] - n - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, counts
+
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, ids of each row) of words of equal length."""
+        n, length = codes.shape
         up, down = _POWERS.upto(length + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros((n, length + 1), dtype=U)
-            np.cumsum(mix(codes.astype(U), 3) * up[:length], axis=1, out=sums[:, 1:])
+            np.cumsum(_CODE[codes] * up[:length], axis=1, out=sums[:, 1:])
+        # Pieces by size: a start stays as long as what follows begins some piece.
+        row, start = (x.ravel() for x in np.indices((n, length)))
+        found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+        for size in range(1, min(length, self.longest) + 1):
+            keep = start + size <= length
+            row, start = row[keep], start[keep]
+            with np.errstate(over="ignore"):
+                piece, known = self.prefixes.find((sums[row, start + size] - sums[row, start]) * down[start])
+            if size == 1:
+                piece = np.where(piece < 0, self.size + codes[row, start].astype(np.int64), piece)
+            good = piece >= 0
+            r, s, p = row[good], start[good], piece[good]
+            by_end = np.argsort(s, kind="stable")
+            bound = np.searchsorted(s[by_end], np.arange(length + 1))
+            for first in range(length - size + 1):
+                part = by_end[bound[first] : bound[first + 1]]
+                if len(part):
+                    found[first + size].append((r[part], s[part], p[part]))
+            row, start = row[known], start[known]
+            if not len(row):
+                break
         last = np.full((n, length + 1), -1, dtype=np.int64)
         back = np.zeros((n, length + 1), dtype=np.int64)
         for end in range(1, length + 1):
-            for size in range(1, min(end, self.longest) + 1):
-                start = end - size
-                with np.errstate(over="ignore"):
-                    piece = self.probe((sums[:, end] - sums[:, start]) * down[start])
-                if size == 1:
-                    piece = np.where(piece < 0, self.size + codes[:, start], piece)
-                    usable = np.ones(n, dtype=bool)
-                else:
-                    usable = (piece >= 0) & self.reachable[piece]
-                rows = np.flatnonzero(usable & ((start == 0) | (last[:, start] >= 0)))
-                if start and len(rows):
-                    rows = rows[self.may_follow(last[rows, start], piece[rows])]
-                # Sizes rise, so the last to be written is the maximum.
-                back[rows, end], last[rows, end] = size, piece[rows]
-        paths, at = np.full((length, n), -1, dtype=np.int64), np.full(n, length)
-        every = np.arange(n)
-        used = 0
+            r, s, p = (np.concatenate(x) for x in zip(*found[end], strict=True))
+            before = last[r, s]
+            on = (s == 0) | (before >= 0)
+            r, s, p, before = r[on], s[on], p[on], before[on]
+            after = np.flatnonzero(s > 0)
+            ok = np.ones(len(s), dtype=bool)
+            ok[after] = self.may_follow(before[after], p[after])
+            # Sizes rise, so the last to be written is the maximum.
+            back[r[ok], end], last[r[ok], end] = end - s[ok], p[ok]
+        paths, at, every = [], np.full(n, length), np.arange(n)
         while (at > 0).any():
-            paths[used] = np.where(at > 0, last[every, at], -1)
+            paths.append(np.where(at > 0, last[every, at], -1))
             at = at - np.where(at > 0, back[every, at], 0)
-            used += 1
-        flat = paths[:used][::-1].T
-        return [self._with_bytes(row[row >= 0]) for row in flat]
-
-    def _with_bytes(self, ids: np.ndarray) -> np.ndarray:
+        flat = np.stack(paths[::-1], axis=1)
+        used = flat >= 0
+        ids, counts = flat[used], used.sum(axis=1)
+        if len(ids) and ids.max() >= self.size:
+            ids, counts = self._with_bytes(ids, np.repeat(every, counts), n)
+        return ids, counts
+
+    def _with_bytes(self, ids: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become their bytes."""
-        if not len(ids) or ids.max() < self.size:
-            return ids
-        return np.concatenate([[i] if i < self.size else self.byte_id[list(chr(i - self.size).encode())] for i in ids])
+        code = np.maximum(ids - self.size, 0)
+        width = np.where(ids < self.size, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        raw = np.frombuffer("".join(map(chr, code[ids >= self.size].tolist())).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        out = np.repeat(ids, width)
+        out[out >= self.size] = self.byte_id[raw]
+        return out, np.bincount(row, width, n).astype(np.int64)
 
 
 class Coder:
@@ -194,34 +239,57 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.split = re.compile(" *[^ \n]+|\n| +" if vocabulary.line_alone else " *[^ ]+| +").findall
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.tag, self.word = np.zeros(1 << WORD_BITS, dtype=U), np.zeros(1 << WORD_BITS, dtype=np.int64)
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(code points, start, length and hash of each unit, first unit of each text): no merge crosses a unit's ends."""
+        v = self.vocabulary
+        codes = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        codes[codes == 32] = ord(SPACE)
+        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 if t else 0 for t in texts])])
+        n = len(codes)
+        begins = np.ones(n, dtype=bool)
+        kind = v.char_class[codes]
+        begins[1:] = ~v.joins[kind[:-1], kind[1:]]
+        inner = offsets[:-1]
+        begins[inner[inner < n]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], n)
+        up, down = _POWERS.upto(n + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, dtype=U)
+            np.cumsum(_CODE[codes] * up[:n], out=sums[1:])
+            key = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)) | U(1)
+        return codes, start, end - start, key, np.searchsorted(start, offsets)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets); null and empty texts have none."""
-        words: list[str] = []
-        first = np.zeros(len(texts) + 1, dtype=np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                words += self.split(" " + t)
-            first[i + 1] = len(words)
-        if len(self.known) > CACHE_WORDS:
+        if not any(texts):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        codes, start, length, key, first = self._units(texts)
+        if len(self.start) > CACHE_WORDS:
             self._forget()
-        if new := list(set(words).difference(self.known)):
-            found = self.vocabulary.segment([w.replace(" ", SPACE) for w in new])
-            base, lengths = len(self.known), np.array([len(f) for f in found])
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.flat = np.concatenate([self.flat, np.concatenate(found).astype(np.int32)])
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        slot = (key >> U(64 - WORD_BITS)).astype(np.int64)
+        at = self.word[slot]
+        new = np.flatnonzero(self.tag[slot] != key)
+        if len(new):
+            fresh, one, back = np.unique(key[new], return_index=True, return_inverse=True)
+            flat, counts = self.vocabulary.segment(codes, start[new[one]], length[new[one]])
+            at[new] = len(self.start) + back
+            where = (fresh >> U(64 - WORD_BITS)).astype(np.int64)
+            # One assignment of row numbers decides which of two words that meet in a slot has it.
+            self.word[where] = len(self.start) + np.arange(len(fresh))
+            self.tag[where] = fresh[self.word[where] - len(self.start)]
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+            self.length = np.concatenate([self.length, counts])
+            self.flat = np.concatenate([self.flat, flat])
         lengths = self.length[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.start[at] - ends[:-1], lengths) + np.arange(ends[-1])] if len(at) else self.flat[:0]
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], lengths) + np.arange(ends[-1])]
         return ids, ends[first]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:

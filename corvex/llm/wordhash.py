@@ -64,6 +64,31 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+class SortedKeys:
+    """Sorted 64-bit keys with values; an index of the top bits leads to each key's neighbourhood."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order].astype(np.int64)
+        self.first = np.searchsorted(self.keys >> U(64 - self.BITS), np.arange((1 << self.BITS) + 1, dtype=U)).astype(np.int32)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each key, or -1; whether it is there)."""
+        value, there = np.full(len(asked), -1, dtype=np.int64), np.zeros(len(asked), dtype=bool)
+        bucket = (asked >> U(64 - self.BITS)).astype(np.int64)
+        at, to = self.first[bucket], self.first[bucket + 1]
+        left = np.flatnonzero(at < to)
+        at, to = at[left].astype(np.int64), to[left]
+        while len(left):
+            same = self.keys[at] == asked[left]
+            value[left[same]], there[left[same]] = self.values[at[same]], True
+            on = ~same & (at + 1 < to)
+            left, at, to = left[on], at[on] + 1, to[on]
+        return value, there
+
+
 class Words:
     """Words of a chunk of documents.
 
