@@ -26,6 +26,12 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, folder, "pages"), path), path)
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import jaccard
+
+    return jaccard.join(_table(spark, folder, "documents"), shingle=3, percent=90)
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import pieces
 
@@ -53,6 +59,15 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicate(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import chat
+
+    turns = _table(spark, folder, "conversations")
+    held_out = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2
+    model = chat.train(turns.where(~held_out))
+    return chat.parse(turns, model).select("conv_id", "turn", "role", "role_pred", "rendered")
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import pii
 
