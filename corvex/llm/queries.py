@@ -59,6 +59,12 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicate(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import decontaminate
+
+    return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import chat
 
