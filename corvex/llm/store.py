@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lowers the bytes of text that go to a Python worker at once, which else is 64 MB for each running task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark)}/corvex/{name}-{uuid.uuid4().hex}"

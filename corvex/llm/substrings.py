@@ -144,6 +144,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
     results, so one of each is worked on, counted twice.
     """
     spark = docs.sparkSession
+    store.small_batches(spark)
     marks = store.stage(fingerprints(docs, text, key, window, gram), "fingerprints")
     groups = marks.groupBy("content").agg(F.count("*").alias("n"), F.min("_key").alias("rep"))
     groups = store.stage(groups, "contents")

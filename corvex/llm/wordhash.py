@@ -28,7 +28,7 @@ _LOWER[65:91] += 32
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, MASK, 256, dtype=np.uint64, endpoint=True)
 
 #: Bytes of text that one numpy pass takes; a single longer document is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class _Powers:
