@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvex.llm import store
@@ -90,7 +90,7 @@ class _Order:
         return classes << U(56) | mix(tokens, seed) >> U(8)
 
 
-def _text(docs: DataFrame, text: str, *more: str) -> DataFrame:
+def _text(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     return docs.select(*more, docs[text].cast("binary").alias("_text"))
 
 
@@ -131,7 +131,7 @@ def frequent_tokens(docs: DataFrame, shingle: int, text: str = "text") -> _Order
 
 
 def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """_key, n (tokens), node (hash of the set, null if empty) and prefix (sort keys under the first order).
+    """_key, mark (hash of the text), n (tokens), node (hash of the set, null if empty) and prefix (sort keys under the first order).
 
     The prefix is null where the task has met the same set before.
     """
@@ -140,7 +140,7 @@ def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in batches:
-            for low, high, data, offsets in chunks(batch.column(1)):
+            for low, high, data, offsets in chunks(batch.column(2)):
                 tokens, ends = token_sets(Words(data, offsets, lower=True), shingle)
                 node, sizes = node_ids(tokens, ends), np.diff(ends)
                 places = order.places(tokens, 0)
@@ -156,11 +156,11 @@ def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: s
                     bound.append(bound[-1] + (len(parts[-1]) if fresh else 0))
                 flat = np.concatenate([np.zeros(0, dtype=U), *parts]).view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.array(bound, dtype=np.int32)), pa.array(flat), mask=pa.array(~np.array(valid, dtype=bool)))
-                columns = [batch.column(0).slice(low, high - low), pa.array(sizes), pa.array(node, mask=sizes == 0), prefix]
-                yield pa.RecordBatch.from_arrays(columns, ["_key", "n", "node", "prefix"])
+                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(sizes), pa.array(node, mask=sizes == 0), prefix]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "mark", "n", "node", "prefix"])
 
-    rows = _text(docs, text, docs[key].alias("_key"))
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n long, node long, prefix array<long>")
+    rows = _text(docs, text, docs[key].alias("_key"), _mark(docs[text]).alias("mark"))
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, mark long, n long, node long, prefix array<long>")
 
 
 def node_ids(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -303,8 +303,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles and component_id of each document.
+def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", marks: bool = False) -> DataFrame:
+    """key, n_shingles and component_id of each document; with marks also mark, a hash of the text.
 
     Two documents link if 100 times the number of common shingles is at least
     ``percent`` times that of all of both; component_id is the least key that
@@ -313,15 +313,16 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     null key is never a component's least key unless all are null.  Other
     columns are dropped first.
     """
+    store.small_batches(docs.sparkSession)
     order = frequent_tokens(docs, shingle, text)
-    marks = store.stage(prefixes(docs, order, shingle, percent, text, key), "prefixes")
-    entries = marks.where("prefix is not null").select("node", "n", F.explode("prefix").alias("token")).repartition("token").dropDuplicates()
+    rows = store.stage(prefixes(docs, order, shingle, percent, text, key), "prefixes")
+    entries = rows.where("prefix is not null").select("node", "n", F.explode("prefix").alias("token")).repartition("token").dropDuplicates()
     near = Window.partitionBy("token").orderBy("n", "node")
     fits = lambda other: other.isNotNull() & (100 * F.least("n", other) >= percent * F.greatest("n", other))
     entries = entries.withColumns({"before": F.lag("n").over(near), "after": F.lead("n").over(near)})
     entries = store.stage(entries.where(fits(F.col("before")) | fits(F.col("after"))).select("token", "node", "n"), "shared-prefixes")
 
-    wanted = marks.where("node is not null").select("node", "_key").join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
+    wanted = rows.where("node is not null").select("node", "_key").join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
     sets = store.stage(survivor_sets(docs, wanted, order, shingle, percent, text, key), "sets")
     grouped = entries.join(sets.select("node", "bitmap"), "node").withColumn("label", F.lit(0).cast("long"))
     tried = store.stage(_by_token(grouped, forest, percent), "forest")
@@ -334,10 +335,32 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     roots = store.stage(components(links), "components")
 
     # Least key of each node, then of each component.
-    own = marks.where("node is not null").groupBy("node").agg(F.min("_key").alias("own"))
+    own = rows.where("node is not null").groupBy("node").agg(F.min("_key").alias("own"))
     own = own.join(roots, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
     own = store.stage(own, "nodes")
     least = own.groupBy("root").agg(F.min("own").alias("component_id"))
     named = own.select("node", "root").join(least, "root").select("node", "component_id")
-    out = marks.select("_key", "n", "node").join(named, "node", "left")
-    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.select("_key", "n", "node", "mark").join(named, "node", "left")
+    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("component_id")).alias("component_id"), *(["mark"] if marks else []))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The document with the least key of each component, with all its columns; of rows that repeat, one.
+
+    Documents without words are in no group and stay.  A document without a key
+    goes if it is linked with one that has a key.
+    """
+    found = store.stage(join(docs.select(key, text), shingle, percent, text, key, marks=True), "classes")
+    facts = found.groupBy(F.col(key).alias("__k"), F.col("mark").alias("__m")).agg(F.count("*").alias("__n"), F.min("component_id").alias("__c"))
+    facts = facts.select("__k", "__m", (~F.col("__c").eqNullSafe(F.col("__k"))).alias("__lost"), (F.col("__n") > 1).alias("__many")).where("__lost or __many")
+    facts = store.stage(facts, "lost")
+    own = docs.select("*", _mark(docs[text]).alias("__mark"))
+    joined = own.join(facts, own[key].eqNullSafe(facts["__k"]) & (own["__mark"] == facts["__m"]), "left")
+    kept = joined.where("__lost is null").select(*docs.columns)
+    if facts.where("__many and not __lost").isEmpty():
+        return kept
+    return kept.unionByName(joined.where("__many and not __lost").dropDuplicates([key, "__mark"]).select(*docs.columns))
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
