@@ -24,10 +24,10 @@ from corvex.llm.wordhash import SortedKeys, Words, chunks
 
 #: Words of a passage's half; passages overlap by one half.
 HALF = 32
-RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
+RANK, OVERSAMPLE, POWER_STEPS = 96, 16, 2
 #: Items of one block of the benchmark.
 BLOCK_ITEMS = 1024
-COSINE = 0.45
+COSINE = 0.55
 #: Share of an item's words in the common subsequence, without and with its answer beside it.
 SURE, WITH_ANSWER = 0.8, 0.6
 #: Items of fewer words than this match only whole.
@@ -71,7 +71,10 @@ class Item:
         return len(self.words) - row.bit_count()
 
     def matches(self, region: list[int]) -> tuple[bool, float, bool]:
-        """(whether the region leaks the item, share of its words in common, whether its answer is there)."""
+        """(whether the region leaks the item, share of its words in common, whether its answer is there).
+
+        The region's words that the item lacks may be left out; they are in no common subsequence.
+        """
         n = len(self.words)
         share, there = self.common(region) / n, set(region)
         answer = bool(self.answer) and self.answer <= there and self.numbers <= there
@@ -90,6 +93,10 @@ class Space:
 
     def __init__(self, items: list[Item], keys: SortedKeys, vectors: np.ndarray, passages: np.ndarray, owner: np.ndarray) -> None:
         self.items, self.keys, self.vectors, self.passages, self.owner = items, keys, vectors, passages, owner
+        #: Which words each item has.
+        self.has = np.zeros((len(items), len(vectors) + 1), dtype=bool)
+        for k, item in enumerate(items):
+            self.has[k, keys.find(item.words)[0]] = True
 
 
 def item_passages(words: np.ndarray) -> list[np.ndarray]:
@@ -207,7 +214,11 @@ def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float)
         start = int(words.first[d]) + (h - int(first_half[d])) * HALF
         pad = len(item.words)
         low, high = max(int(words.first[d]), start - pad), min(int(words.first[d + 1]), start + 2 * HALF + pad)
-        leak, share, answer = item.matches(words.hash[low:high].tolist())
+        # No more words can be in common than the region has of the item's.
+        own = space.has[k][column[low:high]]
+        if np.count_nonzero(own) < WITH_ANSWER * pad:
+            continue
+        leak, share, answer = item.matches(words.hash[low:high][own].tolist())
         if leak and share >= best.get((d, k), (0.0, -1.0))[1]:
             best[d, k] = float(close[h, p]), share, answer
     return [(d, k, *v) for (d, k), v in sorted(best.items())]
