@@ -157,8 +157,9 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
     for b in range(batches):
         seen = index.add(own.where(F.col("batch") == b).select("hash"))
         hits = seen if hits is None else hits.unionByName(seen)
-    hits = hits.distinct()
-    touched = own.select("content", "_key", "n", "hash").hint("merge").join(hits, "hash", "left_semi")
+    # Staged, so that below the join stands nothing but its own exchange, whose hot partitions can be split.
+    hits = store.stage(hits.distinct(), "hits")
+    touched = own.select("content", "_key", "n", "hash").join(hits, "hash", "left_semi")
     touched = touched.groupBy("content", "_key").agg(F.max("n").alias("n"), F.collect_set("hash").alias("hits"))
     texts = _rows(docs, text, key)
     near = texts.withColumnRenamed("_key", "k").join(touched, F.col("k").eqNullSafe(F.col("_key"))).select("content", "n", "hits", "_text")
@@ -181,7 +182,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
 
     found = store.stage(near.mapInArrow(windows, "content long, start int, h1 long, h2 long, n int"), "windows")
     twice = found.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    repeated = found.where("n = 1").select("content", "start", "h1", "h2").hint("merge").join(twice, ["h1", "h2"], "left_semi")
+    twice = store.stage(twice, "twice")
+    repeated = found.where("n = 1").select("content", "start", "h1", "h2").join(twice, ["h1", "h2"], "left_semi")
     cuts = repeated.groupBy("content").agg(F.collect_set("start").alias("starts"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
