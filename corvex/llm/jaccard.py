@@ -131,9 +131,9 @@ def frequent_tokens(docs: DataFrame, shingle: int, text: str = "text") -> _Order
 
 
 def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """_key, mark (hash of the text), n (tokens), node (hash of the set, null if empty) and prefix (sort keys under the first order).
+    """_key, mark (hash of the text), n (tokens), node (hash of the set, null if empty), bitmap and prefix (sort keys under the first order).
 
-    The prefix is null where the task has met the same set before.
+    Bitmap and prefix are null where the task has met the same set before.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -144,7 +144,7 @@ def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: s
                 tokens, ends = token_sets(Words(data, offsets, lower=True), shingle)
                 node, sizes = node_ids(tokens, ends), np.diff(ends)
                 places = order.places(tokens, 0)
-                parts, bound, valid = [], [0], []
+                parts, bound, valid, bits = [], [0], [], []
                 for i, (a, n, name) in enumerate(zip(ends[:-1].tolist(), sizes.tolist(), node.tolist(), strict=True)):
                     fresh = n > 0 and name not in seen
                     if fresh:
@@ -152,15 +152,16 @@ def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: s
                             seen.clear()
                         seen.add(name)
                         parts.append(np.sort(places[a : ends[i + 1]])[: prefix_size(n, percent)])
+                    bits.append(parity_bitmap(tokens[a : ends[i + 1]]) if fresh else None)
                     valid.append(fresh)
                     bound.append(bound[-1] + (len(parts[-1]) if fresh else 0))
                 flat = np.concatenate([np.zeros(0, dtype=U), *parts]).view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.array(bound, dtype=np.int32)), pa.array(flat), mask=pa.array(~np.array(valid, dtype=bool)))
-                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(sizes), pa.array(node, mask=sizes == 0), prefix]
-                yield pa.RecordBatch.from_arrays(columns, ["_key", "mark", "n", "node", "prefix"])
+                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(bits, pa.binary()), prefix]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "mark", "n", "node", "bitmap", "prefix"])
 
     rows = _text(docs, text, docs[key].alias("_key"), _mark(docs[text]).alias("mark"))
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, mark long, n long, node long, prefix array<long>")
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, mark long, n long, node long, bitmap binary, prefix array<long>")
 
 
 def node_ids(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -177,7 +178,7 @@ def parity_bitmap(tokens: np.ndarray) -> bytes:
 
 
 def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """node, n, tokens (rising, little-endian), bitmap and the prefixes under further orders, of the wanted (node, _key)."""
+    """node, tokens (rising, little-endian) and the prefixes under further orders, of the wanted (node, _key)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +196,11 @@ def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: in
                 for seed in MORE_ORDERS:
                     more.append([np.sort(order.places(s, seed))[: prefix_size(len(s), percent)].view(np.int64) for s in sets])
                 listed = lambda xs: lists(np.concatenate(xs), np.concatenate([[0], np.cumsum([len(x) for x in xs])]), pa.int64())
-                columns = [batch.column(0).slice(low, high - low).take(pa.array(index)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), *map(listed, more)]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "tokens", "bitmap", *[f"prefix{i}" for i in range(len(more))]])
+                columns = [batch.column(0).slice(low, high - low).take(pa.array(index)), pa.array([s.tobytes() for s in sets], pa.binary()), *map(listed, more)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", *[f"prefix{i}" for i in range(len(more))]])
 
     rows = _text(docs, text, docs[key].alias("k")).join(wanted, F.col("k").eqNullSafe(F.col("_key"))).select("node", "_text")
-    schema = "node long, n long, tokens binary, bitmap binary, " + ", ".join(f"prefix{i} array<long>" for i in range(len(MORE_ORDERS)))
+    schema = "node long, tokens binary, " + ", ".join(f"prefix{i} array<long>" for i in range(len(MORE_ORDERS)))
     return rows.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
@@ -322,14 +323,18 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     entries = entries.withColumns({"before": F.lag("n").over(near), "after": F.lead("n").over(near)})
     entries = store.stage(entries.where(fits(F.col("before")) | fits(F.col("after"))).select("token", "node", "n"), "shared-prefixes")
 
-    wanted = rows.where("node is not null").select("node", "_key").join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
-    sets = store.stage(survivor_sets(docs, wanted, order, shingle, percent, text, key), "sets")
-    grouped = entries.join(sets.select("node", "bitmap"), "node").withColumn("label", F.lit(0).cast("long"))
+    bits = rows.where("prefix is not null").select("node", "bitmap").dropDuplicates(["node"])
+    grouped = entries.join(bits, "node").withColumn("label", F.lit(0).cast("long"))
     tried = store.stage(_by_token(grouped, forest, percent), "forest")
+    # Sets are fetched for documents in candidate pairs only; no other document can be in a link.
+    paired = store.stage(tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct(), "paired")
+    wanted = rows.where("node is not null").select("node", "_key").join(paired, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
+    sets = store.stage(survivor_sets(docs, wanted, order, shingle, percent, text, key), "sets")
     links = store.stage(verify(tried, sets, percent), "links")
     first = store.stage(components(links), "components")
 
-    grouped = grouped.drop("label").join(first.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = paired.join(first.select("node", F.col("root").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    grouped = entries.join(store.stage(labels, "labels"), "node").join(bits, "node")
     rest = _by_token(grouped, between, percent).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verify(store.stage(rest, "rest"), sets, percent))
     roots = store.stage(components(links), "components")
