@@ -130,7 +130,7 @@ def cite_sentences(answer: Column, allowed: Column) -> Column:
 def pack_paragraphs(text: Column, most: int) -> Column:
     """Paragraphs joined up to a number of characters, longer ones cut; a fold over the text's paragraphs."""
     clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
-    parts = F.filter(F.transform(F.split(clean, "\n\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(clean, "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
     start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, p: Column) -> Column:

@@ -12,7 +12,7 @@ def normalize_text(text: Column) -> Column:
     """Control characters to blanks, one kind of line break, blanks collapsed, lines trimmed, empty lines dropped."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f&&[^\r]]", " ")
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[ \t]+", " ")
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
