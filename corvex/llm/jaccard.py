@@ -5,16 +5,17 @@ either set under any one order of all tokens.  The first order puts frequent
 tokens last (by counts over the whole corpus, gathered exactly enough to tell
 frequent tokens from others) and finds the candidates: documents that share a
 prefix token.  Sizes and the parity bitmaps of the sets prune them inside the
-token's group.  Pairs that are left must also share prefix tokens under further
+token's group, as does the token's place: a link shows in the group of the first
+token that its documents share.  Pairs that are left must also share prefix tokens under further
 orders (the same classes of frequency, other permutations inside them), and
 those that do are verified on the whole sets.
 
 Only the components of the link graph are asked for, so a group of n near copies
-need not yield its n * n pairs.  A first round verifies a spanning forest of each
-token group's candidate pairs; a second one verifies every candidate pair whose
-documents are still in different components.  No link that joins two components
-can be missed: any link is a candidate pair, and in the end each candidate pair
-either lies inside one component or has been verified.
+need not yield its n * n pairs.  The first round verifies each document's least
+candidate, the second one a spanning forest between the components found so far,
+and the last one every candidate pair that still lies between two components.  No
+link that joins components can be missed: any link is a candidate pair, and in the
+end each candidate pair either lies inside one component or has been verified.
 
 Documents with equal sets are one node from the start.
 """
@@ -30,16 +31,18 @@ from pyspark.sql import functions as F
 
 from corvex.llm import store
 from corvex.llm.components import components
-from corvex.llm.wordhash import SortedKeys, U, Words, chunks, lists, mix
+from corvex.llm.wordhash import SortedKeys, U, Words, chunks, lean, lists, mix
 
-#: Bits of a set's parity bitmap.
-BITS = 512
+#: Bits of a set's parity bitmap at least.
+LEAST_BITS = 512
+#: Hash values of wanted keys.
+FILTER_SIZE = 1 << 20
 #: Orders after the first.
 MORE_ORDERS = (101, 102)
 #: A token counts as frequent from this share of documents on, and from this number on at least.
-FREQUENT_SHARE, FREQUENT_LEAST = 1e-4, 16
+FREQUENT_SHARE, FREQUENT_LEAST = 5e-5, 16
 #: A task reports tokens that this many of its documents have; how many tokens it holds before it drops the single ones.
-REPORT_LEAST, HELD_TOKENS = 4, 8_000_000
+REPORT_LEAST, HELD_TOKENS = 4, 2_000_000
 
 
 def token_sets(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +127,7 @@ def frequent_tokens(docs: DataFrame, shingle: int, text: str = "text") -> _Order
         keep = counts >= REPORT_LEAST
         yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], ["token", "n"])
 
-    found = _text(docs, text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = _text(docs, text).mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     table = found.toArrow()
     tokens, n = table["token"].to_numpy().view(U), table["n"].to_numpy()
     return _Order(tokens, 1 + np.log2(np.maximum(n, 1)).astype(np.int64))
@@ -152,7 +155,7 @@ def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: s
                             seen.clear()
                         seen.add(name)
                         parts.append(np.sort(places[a : ends[i + 1]])[: prefix_size(n, percent)])
-                    bits.append(parity_bitmap(tokens[a : ends[i + 1]]) if fresh else None)
+                    bits.append(parity_bitmap(tokens[a : ends[i + 1]], percent) if fresh else None)
                     valid.append(fresh)
                     bound.append(bound[-1] + (len(parts[-1]) if fresh else 0))
                 flat = np.concatenate([np.zeros(0, dtype=U), *parts]).view(np.int64)
@@ -161,7 +164,7 @@ def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: s
                 yield pa.RecordBatch.from_arrays(columns, ["_key", "mark", "n", "node", "bitmap", "prefix"])
 
     rows = _text(docs, text, docs[key].alias("_key"), _mark(docs[text]).alias("mark"))
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, mark long, n long, node long, bitmap binary, prefix array<long>")
+    return rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, mark long, n long, node long, bitmap binary, prefix array<long>")
 
 
 def node_ids(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -171,14 +174,88 @@ def node_ids(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix(sums[ends[1:]] - sums[ends[:-1]] + np.diff(ends).astype(U), 22).view(np.int64)
 
 
-def parity_bitmap(tokens: np.ndarray) -> bytes:
-    """Bit i is the parity of the tokens that hash to i: two bitmaps differ in at most as many bits as the sets in tokens."""
-    odd = np.bincount((mix(tokens, 77) % U(BITS)).astype(np.int64), minlength=BITS) & 1
+def parity_bitmap(tokens: np.ndarray, percent: int) -> bytes:
+    """Bit i is the parity of the tokens that hash to i: two bitmaps differ in at most as many bits as the sets in tokens.
+
+    The bits are a power of two and twice as many as the tokens in which two
+    sets of this size may differ, so that unrelated sets differ in more.
+    """
+    need = 4 * len(tokens) * (100 - percent) // (100 + percent)
+    bits = max(LEAST_BITS, 1 << (need - 1).bit_length() if need > 1 else 1)
+    odd = np.bincount((mix(tokens, 77) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class Bitmaps:
+    """The bitmaps of a token group; one of more bits is folded by exclusive or to be compared with one of fewer."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.width = np.array([len(r) // 8 for r in raw])
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        widths = np.unique(self.width)
+        for w in widths.tolist():
+            place, rows = np.full(len(raw), -1), []
+            n = 0
+            for v in widths[widths >= w].tolist():
+                own = np.flatnonzero(self.width == v)
+                matrix = np.frombuffer(b"".join([raw[i] for i in own]), dtype=np.uint64).reshape(len(own), v // w, w)
+                rows.append(np.bitwise_xor.reduce(matrix, axis=1))
+                place[own] = n + np.arange(len(own))
+                n += len(own)
+            self.levels[w] = place, np.concatenate(rows)
+
+    def differ(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which one and each of the others differ."""
+        out, level = np.zeros(len(others), dtype=np.int64), np.minimum(self.width[others], self.width[one])
+        for w in np.unique(level).tolist():
+            place, matrix = self.levels[w]
+            part = level == w
+            out[part] = np.bitwise_count(matrix[place[others[part]]] ^ matrix[place[one]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+class Group:
+    """The documents that share a prefix token: nodes, set sizes, the token's place in each order, bitmaps, labels."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, place: np.ndarray, raw: list[bytes], label: np.ndarray, percent: int) -> None:
+        self.node, self.n, self.rest, self.label, self.percent = node, n, n - place, label, percent
+        self.raw, self.bitmaps = raw, None
+
+    def passes(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may be similar enough to one.
+
+        By size; by the tokens from this one on, if it is the first that the
+        two share (a link is found in the group of its first token); by bitmap.
+        """
+        size, mine, total = self.n[others], self.n[one], 100 + self.percent
+        both = size + mine
+        fits = 100 * np.minimum(size, mine) >= self.percent * np.maximum(size, mine)
+        fits &= np.minimum(self.rest[others], self.rest[one]) * total >= self.percent * both
+        index = np.flatnonzero(fits)
+        if len(index):
+            if self.bitmaps is None:
+                self.bitmaps = Bitmaps(self.raw)
+            fits[index] = self.bitmaps.differ(one, others[index]) * total <= both[index] * (100 - self.percent)
+        return fits
+
+    def pair(self) -> list[tuple[int, int]]:
+        """The edge of a group of two, without arrays."""
+        (a, b), (x, y), (r, q) = self.n.tolist(), self.raw, self.rest.tolist()
+        total, both = 100 + self.percent, a + b
+        if self.label[0] == self.label[1] or 100 * min(a, b) < self.percent * max(a, b) or min(r, q) * total < self.percent * both:
+            return []
+        if len(x) == len(y):
+            differ = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+        else:
+            differ = int(Bitmaps(self.raw).differ(0, np.array([1]))[0])
+        return [(int(self.node[0]), int(self.node[1]))] if differ * total <= both * (100 - self.percent) else []
+
+
 def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """node, tokens (rising, little-endian) and the prefixes under further orders, of the wanted (node, _key)."""
+    """node, tokens (rising, little-endian) and the prefixes under further orders, of the wanted (node, _key).
+
+    A node is there more than once if its key's row repeats.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,37 +276,48 @@ def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: in
                 columns = [batch.column(0).slice(low, high - low).take(pa.array(index)), pa.array([s.tobytes() for s in sets], pa.binary()), *map(listed, more)]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", *[f"prefix{i}" for i in range(len(more))]])
 
-    rows = _text(docs, text, docs[key].alias("k")).join(wanted, F.col("k").eqNullSafe(F.col("_key"))).select("node", "_text")
+    rows = near_keys(_text(docs, text, docs[key].alias("k")), "k", wanted, "_key")
+    rows = rows.join(wanted, F.col("k").eqNullSafe(F.col("_key"))).select("node", "_text")
     schema = "node long, tokens binary, " + ", ".join(f"prefix{i} array<long>" for i in range(len(MORE_ORDERS)))
-    return rows.mapInArrow(run, schema).dropDuplicates(["node"])
+    return rows.mapInArrow(lean(run), schema)
+
 
+def near_keys(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key may be wanted: those whose hash is among the hashes of wanted keys, of FILTER_SIZE values in all.
 
-def _passes(bits: np.ndarray, n: np.ndarray, one: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the others may be similar enough to one, by size and bitmap."""
-    size, mine = n[others], n[one]
-    fits = 100 * np.minimum(size, mine) >= percent * np.maximum(size, mine)
-    differ = np.bitwise_count(bits[others] ^ bits[one]).sum(axis=1, dtype=np.int64)
-    return fits & (differ * (100 + percent) <= (size + mine) * (100 - percent))
+    It only spares texts an exchange before the join that decides; what is
+    broadcast is at most FILTER_SIZE numbers.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SIZE))
+    hashes = wanted.select(place(wanted_key).alias("_at")).distinct()
+    return rows.join(F.broadcast(hashes), place(F.col(key)) == F.col("_at"), "left_semi")
 
 
-def forest(node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that span each component of a token group's candidate graph."""
+
+def forest(group: Group) -> list[tuple[int, int]]:
+    """Edges that join each component of a token group's candidate graph; documents of one label are joined already."""
+    node = group.node
+    label = np.unique(group.label, return_inverse=True)[1]
+    members = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])
     left, edges = np.arange(len(node)), []
     while len(left):
-        front, left = [left[0]], left[1:]
+        front = members[label[left[0]]].tolist()
+        left = left[label[left] != label[left[0]]]
         while front and len(left):
             one = front.pop()
-            hit = _passes(bits, n, one, left, percent)
-            found = left[hit]
-            left = left[~hit]
-            edges += [(node[one], node[x]) for x in found]
-            front += found.tolist()
+            found = left[group.passes(one, left)]
+            if len(found):
+                first = np.unique(label[found], return_index=True)[1]
+                edges += [(node[one], node[x]) for x in found[first]]
+                reached = np.unique(label[found])
+                left = left[~np.isin(label[left], reached)]
+                front += [x for k in reached for x in members[k].tolist()]
     return edges
 
 
-def between(node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def between(group: Group) -> list[tuple[int, int]]:
     """Candidate pairs of a token group whose documents have different labels."""
-    names, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
+    names, inverse, counts = np.unique(group.label, return_inverse=True, return_counts=True)
     if len(names) == 1:
         return []
     rank, edges = np.argsort(np.argsort(counts, kind="stable")), []
@@ -237,22 +325,23 @@ def between(node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray
     mine = rank[inverse]
     for one in np.flatnonzero(mine < len(names) - 1):
         others = np.flatnonzero(mine > mine[one])
-        edges += [(node[one], node[x]) for x in others[_passes(bits, n, one, others, percent)]]
+        edges += [(group.node[one], group.node[x]) for x in others[group.passes(one, others)]]
     return edges
 
 
 def _by_token(entries: DataFrame, choose, percent: int) -> DataFrame:  # noqa: ANN001
-    """Distinct pairs (a < b) that choose finds in the token groups of entries (token, node, n, bitmap, label)."""
+    """Distinct pairs (a < b) that choose finds in the token groups of entries (token, node, n, place, bitmap, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
-            token, node, n, label = (rows.column(i).to_numpy() for i in (0, 1, 2, 4))
-            bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            token, node, n, place, label = (rows.column(i).to_numpy() for i in (0, 1, 2, 3, 5))
+            raw = rows.column(4).to_pylist()
             bound = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             found = set()
-            for a, b in zip(bound[:-1], bound[1:], strict=True):
+            for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
                 if b - a > 1:
-                    found.update((min(e), max(e)) for e in choose(node[a:b], n[a:b], bits[a:b], label[a:b], percent))
+                    group = Group(node[a:b], n[a:b], place[a:b], raw[a:b], label[a:b], percent)
+                    found.update((min(e), max(e)) for e in (group.pair() if b - a == 2 else choose(group)))
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -273,19 +362,21 @@ def _by_token(entries: DataFrame, choose, percent: int) -> DataFrame:  # noqa: A
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    rows = entries.select("token", "node", "n", "bitmap", "label").repartition("token").sortWithinPartitions("token", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = entries.select("token", "node", "n", "place", "bitmap", "label").repartition("token").sortWithinPartitions("token", "node")
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that share prefix tokens under all further orders and whose whole sets are similar enough."""
     more = [f"prefix{i}" for i in range(len(MORE_ORDERS))]
+    ends = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need")))
+    sets = near_keys(sets, "node", ends, "need")
     light = sets.select("node", *more)
     side = lambda rows, end: rows.select(*[F.col(c).alias(f"{end}_{c}" if c != "node" else end) for c in rows.columns])
     shared = F.lit(True)
     for c in more:
         shared = shared & F.arrays_overlap(f"a_{c}", f"b_{c}")
-    pairs = store.stage(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(shared).select("a", "b"), "candidates")
+    pairs = store.stage(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(shared).select("a", "b").distinct(), "candidates")
     whole = sets.select("node", "tokens")
     rows = pairs.join(side(whole, "a"), "a").join(side(whole, "b"), "b").select("a", "b", "a_tokens", "b_tokens")
 
@@ -301,7 +392,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", marks: bool = False) -> DataFrame:
@@ -317,26 +408,36 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     store.small_batches(docs.sparkSession)
     order = frequent_tokens(docs, shingle, text)
     rows = store.stage(prefixes(docs, order, shingle, percent, text, key), "prefixes")
-    entries = rows.where("prefix is not null").select("node", "n", F.explode("prefix").alias("token")).repartition("token").dropDuplicates()
+    entries = rows.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("place", "token")).repartition("token").dropDuplicates()
     near = Window.partitionBy("token").orderBy("n", "node")
     fits = lambda other: other.isNotNull() & (100 * F.least("n", other) >= percent * F.greatest("n", other))
     entries = entries.withColumns({"before": F.lag("n").over(near), "after": F.lead("n").over(near)})
-    entries = store.stage(entries.where(fits(F.col("before")) | fits(F.col("after"))).select("token", "node", "n"), "shared-prefixes")
+    entries = store.stage(entries.where(fits(F.col("before")) | fits(F.col("after"))).select("token", "node", "n", "place"), "shared-prefixes")
 
     bits = rows.where("prefix is not null").select("node", "bitmap").dropDuplicates(["node"])
-    grouped = entries.join(bits, "node").withColumn("label", F.lit(0).cast("long"))
-    tried = store.stage(_by_token(grouped, forest, percent), "forest")
+    grouped = entries.join(bits, "node").withColumn("label", F.col("node"))
+    spanning = store.stage(_by_token(grouped, forest, percent), "forest")
     # Sets are fetched for documents in candidate pairs only; no other document can be in a link.
-    paired = store.stage(tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct(), "paired")
+    paired = store.stage(spanning.select(F.col("a").alias("node")).unionByName(spanning.select(F.col("b").alias("node"))).distinct(), "paired")
     wanted = rows.where("node is not null").select("node", "_key").join(paired, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
-    sets = store.stage(survivor_sets(docs, wanted, order, shingle, percent, text, key), "sets")
+    sets = store.stage(survivor_sets(docs, store.stage(wanted, "wanted"), order, shingle, percent, text, key), "sets")
+    # First each document with its least candidate, so that there are fewer pairs than documents.
+    tried = store.stage(spanning.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     links = store.stage(verify(tried, sets, percent), "links")
-    first = store.stage(components(links), "components")
-
-    labels = paired.join(first.select("node", F.col("root").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    grouped = entries.join(store.stage(labels, "labels"), "node").join(bits, "node")
-    rest = _by_token(grouped, between, percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(store.stage(rest, "rest"), sets, percent))
+    entries = store.stage(entries.join(paired, "node", "left_semi").join(bits, "node"), "paired-prefixes")
+    # Then what joins the components so far; in the end all that still lies between components.
+    for choose in (forest, between):
+        roots = components(links)
+        labels = paired.join(roots.select("node", F.col("root").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        labels = store.stage(labels, "labels")
+        rest = _by_token(entries.join(labels, "node"), choose, percent).join(tried, ["a", "b"], "left_anti")
+        if choose is forest:
+            side = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+            rest = rest.join(side("a"), "a").join(side("b"), "b").select(F.least("a_label", "b_label").alias("low"), F.greatest("a_label", "b_label").alias("high"), "a", "b")
+            rest = rest.groupBy("high").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
+        rest = store.stage(rest, "rest")
+        tried = tried.unionByName(rest)
+        links = store.stage(links.unionByName(verify(rest, sets, percent)), "links")
     roots = store.stage(components(links), "components")
 
     # Least key of each node, then of each component.

@@ -66,12 +66,12 @@ def test_query(spark, sf):
 def test_filters_lose_nothing():
     rng = np.random.default_rng(4)
     for _ in range(300):
-        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 80), dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 62, rng.integers(0, 6), dtype=np.uint64)]))
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 1500), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 62, rng.integers(0, 40), dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
         if len(b) and 100 * common >= 80 * (len(a) + len(b) - common):
-            bits = np.frombuffer(jaccard.parity_bitmap(a) + jaccard.parity_bitmap(b), np.uint64).reshape(2, -1)
-            assert jaccard._passes(bits, np.array([len(a), len(b)]), 0, np.array([1]), 80)[0]
+            group = jaccard.Group(np.array([1, 2]), np.array([len(a), len(b)]), np.array([0, 0]), [jaccard.parity_bitmap(x, 80) for x in (a, b)], np.array([1, 2]), 80)
+            assert group.passes(0, np.array([1]))[0] and group.pair() == [(1, 2)]
 
 
 def test_repeats_nulls_empty(spark):
