@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvex.llm.wordhash import SortedKeys, Words, chunks
+from corvex.llm.wordhash import SortedKeys, Words, chunks, lean
 
 #: Words of a passage's half; passages overlap by one half.
 HALF = 32
@@ -122,7 +122,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray, text: str = "text")
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], n))], ["term", "n"])
 
-    found = docs.select(docs[text].cast("binary")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(docs[text].cast("binary")).mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size + 1, dtype=np.int64)
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return int(out[-1]), out[:-1]
@@ -149,7 +149,7 @@ def randomised_svd(rows: DataFrame, columns: int, rank: int = RANK, steps: int =
                     total[at] += np.outer(weight, weight @ shared.value[at])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-        z = sum(np.frombuffer(r[0], dtype=np.float32).reshape(columns, width).astype(np.float64) for r in rows.mapInArrow(run, "total binary").collect())
+        z = sum(np.frombuffer(r[0], dtype=np.float32).reshape(columns, width).astype(np.float64) for r in rows.mapInArrow(lean(run), "total binary").collect())
         before, q = q, np.linalg.qr(z)[0]
     values, vectors = np.linalg.eigh(before.T @ z)
     best = np.argsort(-values)[: min(rank, width)]
@@ -246,7 +246,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
                         rest = [pa.array([space.items[f[1]].item_id for f in found], pa.int64()), *(pa.array([f[i] for f in found], t) for i, t in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_())))]
                         yield pa.RecordBatch.from_arrays([own, *rest], ["_key", "item_id", "cosine", "lcs_share", "answer_found"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     out = docs.sparkSession.createDataFrame([], schema) if out is None else out
     return out.withColumnRenamed("_key", key)
@@ -267,5 +267,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank: int =
                     keep[[low + f[0] for f in _search(shared.value, data, offsets, cosine)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean(run), schema)
     return out

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvex.llm.wordhash import lean
+
 DIMENSIONS = 1024
 NGRAM = 3
 UNKNOWN = "und"
@@ -156,9 +158,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "vector"])
 
     rows = docs.select(docs[lang].alias("lang"), docs[text].alias("text")).where(F.col("lang").isNotNull())
-    parts = rows.mapInArrow(partial, "lang string, vector binary")
-    parts = parts.repartition(32, F.rand(7)).mapInArrow(add, "lang string, vector binary")
-    parts = parts.repartition(8, "lang").mapInArrow(add, "lang string, vector binary")
+    parts = rows.mapInArrow(lean(partial), "lang string, vector binary")
+    parts = parts.repartition(32, F.rand(7)).mapInArrow(lean(add), "lang string, vector binary")
+    parts = parts.repartition(8, "lang").mapInArrow(lean(add), "lang string, vector binary")
     found = parts.limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
@@ -196,5 +198,5 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | Non
 
     rows = docs.select(*fields, docs[text].alias("_text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = rows.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
     return out.toDF(*keep, "lang_pred", "score")

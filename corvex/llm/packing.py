@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from corvex.llm.wordhash import lean
+
 from corvex.llm import pieces
 
 ROW_TOKENS = 2048
@@ -157,7 +159,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, group_tokens: int = GROU
             yield from flush(keys, ids, first)[0]
 
     schema = f"pack_id long, n_tokens long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{key_type}>, doc_offsets array<long>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def write(packed: DataFrame, path: str) -> None:

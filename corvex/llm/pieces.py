@@ -21,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvex.llm.wordhash import SortedKeys, U, _Powers, mix
+from corvex.llm.wordhash import SortedKeys, U, _Powers, lean, mix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct words that a worker remembers, characters that it takes at a time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CHUNK_CHARS = 1 << 20
 #: Slots (as powers of two) of the tables of words and of pairs of pieces.
-WORD_BITS, PAIR_BITS = 21, 20
+WORD_BITS, PAIR_BITS = 20, 19
 _POWERS = _Powers(0xA0761D6478BD642F)
 _CODE = np.random.default_rng(20240301).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
 
@@ -345,7 +345,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key:
                 yield pa.RecordBatch.from_arrays(columns, ["_key", "n_tokens", "token_ids", "round_trip"])
 
     rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
-    out = rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n_tokens long, token_ids array<int>, round_trip boolean")
+    out = rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, n_tokens long, token_ids array<int>, round_trip boolean")
     return out.withColumnRenamed("_key", key)
 
 
@@ -362,4 +362,4 @@ def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "token_ids",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t if ok else None for t, ok in zip(texts, valid, strict=True)], pa.string())], ["_key", "text"])
 
     rows = rows.select(rows[key].alias("_key"), rows[ids].alias("_ids"))
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, text string").withColumnRenamed("_key", key)
+    return rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, text string").withColumnRenamed("_key", key)

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvex.llm.wordhash import lean
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 THRESHOLD = 0.6
@@ -143,7 +145,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, found array<struct<kind:string,start:int,end:int,score:double>>").withColumnRenamed("_key", key)
+    return rows.mapInArrow(lean(run), f"_key {kind}, found array<struct<kind:string,start:int,end:int,score:double>>").withColumnRenamed("_key", key)
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -161,4 +163,4 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns[n] = pa.array([old if t is None else len(t) for t, old in zip(texts, columns[n].to_pylist(), strict=True)], type=batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

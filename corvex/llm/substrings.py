@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvex.llm import store
-from corvex.llm.wordhash import Words, chunks, lists, mix
+from corvex.llm.wordhash import Words, chunks, lean, lists, mix
 
 WINDOW, GRAM = 35, 18
 #: Runs of one level that are compacted into one of the next.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
                 yield pa.RecordBatch.from_arrays(columns, ["_key", "n_words", "sha", "content", "anchors"])
 
     rows = _rows(docs, text, key)
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n_words long, sha binary, content long, anchors array<long>")
+    return rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, n_words long, sha binary, content long, anchors array<long>")
 
 
 class FingerprintIndex:
@@ -163,7 +163,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
     touched = touched.groupBy("content", "_key").agg(F.max("n").alias("n"), F.collect_set("hash").alias("hits"))
     texts = _rows(docs, text, key)
     near = texts.withColumnRenamed("_key", "k").join(touched, F.col("k").eqNullSafe(F.col("_key"))).select("content", "n", "hits", "_text")
-    near = store.stage(near.mapInArrow(_own_content, near.schema), "passages")
+    near = store.stage(near.mapInArrow(lean(_own_content), near.schema), "passages")
 
     def windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -180,7 +180,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
                 columns = [content[doc], (starts - words.first[doc]).astype(np.int32), first[starts].view(np.int64), second[starts].view(np.int64), np.minimum(n[doc], 2).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["content", "start", "h1", "h2", "n"])
 
-    found = store.stage(near.mapInArrow(windows, "content long, start int, h1 long, h2 long, n int"), "windows")
+    found = store.stage(near.mapInArrow(lean(windows), "content long, start int, h1 long, h2 long, n int"), "windows")
     twice = found.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
     twice = store.stage(twice, "twice")
     repeated = found.where("n = 1").select("content", "start", "h1", "h2").join(twice, ["h1", "h2"], "left_semi")
@@ -201,7 +201,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["content", "n_removed", "kept"])
 
     parts = near.where("n = 1").select("content", "_text").join(cuts, "content")
-    parts = parts.mapInArrow(cut, "content long, n_removed long, kept binary")
+    parts = parts.mapInArrow(lean(cut), "content long, n_removed long, kept binary")
     # Contents that occur more than once are removed whole, without another look at the text.
     parts = parts.unionByName(groups.where("n > 1").select("content", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept"))).withColumnRenamed("content", "c")
     out = marks.select("_key", "n_words", "sha", "content").join(parts, F.col("content") == F.col("c"), "left")
