@@ -282,15 +282,17 @@ def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: in
     return rows.mapInArrow(lean(run), schema)
 
 
-def near_keys(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+def near_keys(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, how: str = "left_semi") -> DataFrame:
     """Rows whose key may be wanted: those whose hash is among the hashes of wanted keys, of FILTER_SIZE values in all.
 
+    With how = "left_anti" the others, whose key is surely not wanted.
+
     It only spares texts an exchange before the join that decides; what is
     broadcast is at most FILTER_SIZE numbers.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SIZE))
     hashes = wanted.select(place(wanted_key).alias("_at")).distinct()
-    return rows.join(F.broadcast(hashes), place(F.col(key)) == F.col("_at"), "left_semi")
+    return rows.join(F.broadcast(hashes), place(rows[key]) == hashes["_at"], how)
 
 
 
@@ -460,9 +462,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "
     facts = found.groupBy(F.col(key).alias("__k"), F.col("mark").alias("__m")).agg(F.count("*").alias("__n"), F.min("component_id").alias("__c"))
     facts = facts.select("__k", "__m", (~F.col("__c").eqNullSafe(F.col("__k"))).alias("__lost"), (F.col("__n") > 1).alias("__many")).where("__lost or __many")
     facts = store.stage(facts, "lost")
-    own = docs.select("*", _mark(docs[text]).alias("__mark"))
+    # Only documents whose key may be among the facts are joined with them; the others' texts are not exchanged.
+    clear, near = near_keys(docs, key, facts, "__k", "left_anti"), near_keys(docs, key, facts, "__k")
+    own = near.select("*", _mark(near[text]).alias("__mark"))
     joined = own.join(facts, own[key].eqNullSafe(facts["__k"]) & (own["__mark"] == facts["__m"]), "left")
-    kept = joined.where("__lost is null").select(*docs.columns)
+    kept = clear.unionByName(joined.where("__lost is null").select(*docs.columns))
     if facts.where("__many and not __lost").isEmpty():
         return kept
     return kept.unionByName(joined.where("__many and not __lost").dropDuplicates([key, "__mark"]).select(*docs.columns))
