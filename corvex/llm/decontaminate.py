@@ -3,7 +3,9 @@
 Benchmark passages become TF-IDF rows over the benchmark's own words, with
 document frequencies from the whole corpus; a distributed randomised SVD gives
 their latent space.  Every passage of every document is projected into it and
-compared with all benchmark passages by cosine.  Candidates are verified word by
+compared with all benchmark passages by cosine.  What the latent space misses is
+found by rare words: a leak may lack only so many of an item's words, so some of
+its rarest ones must stand close together.  Candidates are verified word by
 word: the longest common subsequence with the item must cover most of it, or
 less if the item's answer stands there too, as in a paraphrase.
 
@@ -24,10 +26,10 @@ from corvex.llm.wordhash import SortedKeys, Words, chunks, lean
 
 #: Words of a passage's half; passages overlap by one half.
 HALF = 32
-RANK, OVERSAMPLE, POWER_STEPS = 96, 16, 2
+RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 #: Items of one block of the benchmark.
 BLOCK_ITEMS = 1024
-COSINE = 0.55
+COSINE = 0.45
 #: Share of an item's words in the common subsequence, without and with its answer beside it.
 SURE, WITH_ANSWER = 0.8, 0.6
 #: Items of fewer words than this match only whole.
@@ -70,6 +72,14 @@ class Item:
                 row = ((row + hit) | (row - hit)) & full
         return len(self.words) - row.bit_count()
 
+    def least(self) -> int:
+        """The fewest words that a leak has in common with the item."""
+        n = len(self.words)
+        if n < SHORT_ITEM:
+            return n
+        share = WITH_ANSWER if self.answer else SURE
+        return next(c for c in range(int(share * n), n + 1) if c / n >= share)
+
     def matches(self, region: list[int]) -> tuple[bool, float, bool]:
         """(whether the region leaks the item, share of its words in common, whether its answer is there).
 
@@ -91,12 +101,29 @@ def _hashes(text: str) -> np.ndarray:
 class Space:
     """What a block of the benchmark needs to be searched: words, their latent vectors, passages and items."""
 
-    def __init__(self, items: list[Item], keys: SortedKeys, vectors: np.ndarray, passages: np.ndarray, owner: np.ndarray) -> None:
+    def __init__(self, items: list[Item], keys: SortedKeys, vectors: np.ndarray, passages: np.ndarray, owner: np.ndarray, df: np.ndarray) -> None:
         self.items, self.keys, self.vectors, self.passages, self.owner = items, keys, vectors, passages, owner
         #: Which words each item has.
         self.has = np.zeros((len(items), len(vectors) + 1), dtype=bool)
         for k, item in enumerate(items):
             self.has[k, keys.find(item.words)[0]] = True
+        #: Words of each item, how many of them a leak has at least, how many of its rare words, and the items of each rare word.
+        self.sizes = np.array([len(i.words) for i in items])
+        self.least = [i.least() for i in items]
+        self.need = np.zeros(len(items), dtype=np.int64)
+        posts = []
+        for k, item in enumerate(items):
+            at, count = np.unique(keys.find(item.words)[0], return_counts=True)
+            order = np.argsort(df[at], kind="stable")
+            total, spare = np.cumsum(count[order]), len(item.words) - self.least[k]
+            # Enough words that a leak can't lack them all, and some more to tell it from chance.
+            to = min(int(np.searchsorted(total, spare + max(1, len(item.words) // 8))), len(total) - 1)
+            self.need[k] = total[to] - spare
+            posts += [(t, k) for t in at[order[: to + 1]].tolist()]
+        term, self.post_item = np.array(sorted(posts), dtype=np.int64).T
+        # The last place is for words of no item.
+        self.post_count = np.bincount(term, minlength=len(vectors) + 1)
+        self.post_first = np.cumsum(self.post_count) - self.post_count
 
 
 def item_passages(words: np.ndarray) -> list[np.ndarray]:
@@ -180,7 +207,28 @@ def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank: int
         space = randomised_svd(table, len(terms), rank)
         passages = np.stack([np.array(w) @ space[at] for at, w in rows])
         passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
-        yield Space(items, SortedKeys(terms, np.arange(len(terms))), (idf[:, None] * space).astype(np.float32), passages.astype(np.float32), np.array(owner))
+        yield Space(items, SortedKeys(terms, np.arange(len(terms))), (idf[:, None] * space).astype(np.float32), passages.astype(np.float32), np.array(owner), df)
+
+
+def _rare(space: Space, words: Words, column: np.ndarray, doc: np.ndarray, first_half: np.ndarray) -> np.ndarray:
+    """half * number of items + item, for all halves whose region has as many of an item's rare words as a leak of it."""
+    k = len(space.items)
+    at = np.flatnonzero(space.post_count[column])
+    times = space.post_count[column[at]]
+    begin = np.repeat(space.post_first[column[at]] - np.cumsum(times) + times, times)
+    item, place = space.post_item[begin + np.arange(len(begin))], np.repeat(at, times)
+    group = doc[place] * k + item
+    order = np.argsort(group, kind="stable")
+    item, place, group = item[order], place[order], group[order]
+    last = np.arange(len(order)) + space.need[item] - 1
+    here = np.flatnonzero(last < len(order))
+    here = here[(group[last[here]] == group[here]) & (place[last[here]] - place[here] < 2 * HALF + 2 * space.sizes[item[here]])]
+    d, item = doc[place[here]], item[here]
+    low = np.maximum(0, (place[last[here]] - words.first[d] - 2 * HALF - space.sizes[item]) // HALF + 1)
+    high = np.minimum(np.diff(first_half)[d] - 1, (place[here] - words.first[d] + space.sizes[item]) // HALF)
+    times = np.maximum(0, high - low + 1)
+    half = np.repeat(first_half[d] + low - np.cumsum(times) + times, times) + np.arange(times.sum())
+    return np.unique(half * k + np.repeat(item, times))
 
 
 def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float) -> list[tuple[int, int, float, float, bool]]:
@@ -208,19 +256,21 @@ def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float)
     close = both @ space.passages.T
     at, passage = np.nonzero(close >= cosine)
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    for h, p in zip(at.tolist(), passage.tolist(), strict=True):
-        d, k = int(half_doc[h]), int(space.owner[p])
-        item = space.items[k]
+    for pair in np.union1d(at * len(space.items) + space.owner[passage], _rare(space, words, column, doc, first_half)).tolist():
+        h, k = divmod(pair, len(space.items))
+        d, item = int(half_doc[h]), space.items[k]
         start = int(words.first[d]) + (h - int(first_half[d])) * HALF
         pad = len(item.words)
         low, high = max(int(words.first[d]), start - pad), min(int(words.first[d + 1]), start + 2 * HALF + pad)
         # No more words can be in common than the region has of the item's.
         own = space.has[k][column[low:high]]
-        if np.count_nonzero(own) < WITH_ANSWER * pad:
+        if np.count_nonzero(own) < space.least[k]:
             continue
         leak, share, answer = item.matches(words.hash[low:high][own].tolist())
-        if leak and share >= best.get((d, k), (0.0, -1.0))[1]:
-            best[d, k] = float(close[h, p]), share, answer
+        if leak:
+            near = float(close[h, space.owner == k].max())
+            if (share, near) > best.get((d, k), (0.0, -1.0))[1::-1]:
+                best[d, k] = near, share, answer
     return [(d, k, *v) for (d, k), v in sorted(best.items())]
 
 

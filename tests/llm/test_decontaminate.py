@@ -70,3 +70,24 @@ def test_paraphrases_and_edges(spark):
     assert kept.columns == table.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, _, _ in docs if d is not None and d not in {x for x, _ in got})
     assert dec.leaks(table, bench.where("item_id < 0")).count() == 0 and dec.leaks(table.where("doc_id < 0"), bench).count() == 0
+
+
+def test_all_verbatim_copies_of_a_full_block(spark):
+    rng = random.Random(9)
+    # Function words stand everywhere; an item shares its other words with a few items and with the texts.
+    common, words = [f"of{i}" for i in range(30)], [f"word{i}" for i in range(1500)]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(words) for _ in range(n)]
+    items = [prose(rng.randint(15, 40)) for _ in range(dec.BLOCK_ITEMS)]
+    docs = [(i, " ".join(prose(rng.randint(100, 300)) + items[i] + prose(200))) for i in range(0, len(items), 5)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.leaks(table, bench).collect()}
+    assert {(i, i) for i, _ in docs} <= got
+    assert dec.clean(table, bench).count() == 0
+
+
+def test_leaks_without_any_cosine(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = lambda cosine: {(r.doc_id, r.item_id, r.lcs_share) for r in dec.leaks(docs, bench, cosine=cosine).collect()}
+    assert found(-1.0) == found(2.0) != set()
