@@ -58,8 +58,8 @@ def query_prefixes(query: str, most: int = 24) -> list[str]:
 
 
 def full_text_metrics(docs: DataFrame, query: str, phrases: list[str]) -> DataFrame:
-    """Adds full_text_rank, term_hits and phrase_hits over the first 800 000 characters."""
-    low = F.lower(F.substring("text", 1, 800_000))
+    """Adds full_text_rank, term_hits and phrase_hits over the whole text."""
+    low = F.lower("text")
     words = query_prefixes(query)
     tokens = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: x != "")
     count = lambda xs: sum((F.when(low.contains(x), 1).otherwise(0) for x in xs), F.lit(0))

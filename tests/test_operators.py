@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvex.functions import classify, html, registry as reg, text as tx
-from corvex.operators import chunking, evaluate, fusion, relational as rel, search
+from corvex.operators import chunking, evaluate, fusion, relational as rel, search, two_stage
 from corvex.sources import files
 from corvex.streaming import rates
 
@@ -129,3 +129,10 @@ def test_bm25_by_hand(spark):
     idf = math.log(1 + (2 - 1 + 0.5) / 1.5)
     assert got["a"] == pytest.approx(idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2)))
     assert got["b"] == pytest.approx(0.4)
+
+
+def test_metrics_of_very_long_texts(spark):
+    docs = spark.createDataFrame([("a", "x " * 500_000 + "on bail and customs")], "document_id string, text string")
+    row = two_stage.full_text_metrics(docs, "bail customs", ["bail and customs", "no bail"]).first()
+    assert (row.term_hits, row.phrase_hits) == (2, 1)
+    assert row.full_text_rank == pytest.approx(0.2 / 1.2)
