@@ -93,15 +93,14 @@ def quality_multiplier(level: Column, flags: Column, exact: Column) -> Column:
     return out * F.when(F.array_contains(flags, "exact_citation_match") | F.coalesce(exact, F.lit(False)), 1.25).otherwise(1.0)
 
 
-def select_pack(hits: DataFrame, max_items: int, max_tokens: int, pack_id: str = "pack_id", candidates: int = 1000) -> DataFrame:
+def select_pack(hits: DataFrame, max_items: int, max_tokens: int, pack_id: str = "pack_id") -> DataFrame:
     """Items of each pack in order of seq: what would go over the budget is skipped, the first always stays.
 
-    A fold over a pack's ranked hits (columns pack_id, seq, chunk_id,
-    document_id, tokens), of which the first ``candidates`` are looked at, as
-    the lists that are fused have a fixed length.
+    A fold over all of a pack's ranked hits (columns pack_id, seq, chunk_id,
+    document_id, tokens).
     """
     entry = F.struct("seq", "chunk_id", "document_id", "tokens")
-    listed = hits.where(F.col("seq") <= candidates).groupBy(pack_id).agg(F.array_sort(F.collect_list(entry)).alias("hits"))
+    listed = hits.groupBy(pack_id).agg(F.array_sort(F.collect_list(entry)).alias("hits"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<item:int,chunk_id:string,document_id:string,tokens:bigint,note:string>>)").alias("items"))
 
     def step(acc: Column, h: Column) -> Column:

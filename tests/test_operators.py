@@ -136,3 +136,9 @@ def test_metrics_of_very_long_texts(spark):
     row = two_stage.full_text_metrics(docs, "bail customs", ["bail and customs", "no bail"]).first()
     assert (row.term_hits, row.phrase_hits) == (2, 1)
     assert row.full_text_rank == pytest.approx(0.2 / 1.2)
+
+
+def test_pack_takes_a_late_item_that_fits(spark):
+    rows = [(i + 1, f"c{i}", f"d{i}", 50 if i in (0, 2500) else 60) for i in range(3000)]
+    hits = spark.createDataFrame(rows, "seq int, chunk_id string, document_id string, tokens long").withColumn("pack_id", F.lit(1))
+    assert [r.chunk_id for r in fusion.select_pack(hits, 3, 100).orderBy("item").collect()] == ["c0", "c2500"]
