@@ -36,6 +36,16 @@ def hint_multiplier(title: Column, hints: list[str]) -> Column:
     return F.when(reduce(lambda a, b: a | b, [low.contains(h.lower()) for h in specific]), MATCHED).otherwise(UNMATCHED)
 
 
+def candidate_filter(docs: DataFrame, summary_type: str, language: str | None = None, document_types: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of downloaded documents with text and a summary of the type; a language counts where the document, its summary or its text has it."""
+    out = docs.where((F.col("summary_type") == summary_type) & (F.col("acquisition_status") == "downloaded") & F.col("text").isNotNull() & (F.col("char_count") > 0))
+    if language:
+        out = out.where(reduce(lambda a, b: a | b, [F.col(c) == language for c in ("language", "summary_language", "text_language")]))
+    if document_types:
+        out = out.where(F.col("document_type").isin(*document_types))
+    return out
+
+
 def title_expansion(docs: DataFrame, query: str, limit: int = 1500) -> DataFrame:
     """document_id and score of documents whose title has a hint of the query, however they rank otherwise."""
     hints = title_hints(query)

@@ -142,3 +142,11 @@ def test_pack_takes_a_late_item_that_fits(spark):
     rows = [(i + 1, f"c{i}", f"d{i}", 50 if i in (0, 2500) else 60) for i in range(3000)]
     hits = spark.createDataFrame(rows, "seq int, chunk_id string, document_id string, tokens long").withColumn("pack_id", F.lit(1))
     assert [r.chunk_id for r in fusion.select_pack(hits, 3, 100).orderBy("item").collect()] == ["c0", "c2500"]
+
+
+def test_candidate_filter(spark):
+    good = ("short", "downloaded", "x", 1, "en", "si", None, "Act")
+    rows = {"a": good, "b": ("long", *good[1:]), "c": ("short", "failed", *good[2:]), "d": (*good[:2], None, *good[3:]), "e": (*good[:3], 0, *good[4:]), "f": (*good[:4], "ta", "ta", "en", "Bill"), "g": (*good[:4], None, None, None, None)}
+    docs = spark.createDataFrame([(k, *v) for k, v in rows.items()], "id string, summary_type string, acquisition_status string, text string, char_count int, language string, summary_language string, text_language string, document_type string")
+    ids = lambda *args: "".join(sorted(r.id for r in two_stage.candidate_filter(docs, "short", *args).collect()))
+    assert [ids(), ids("en"), ids("si"), ids("ta", ("Act",)), ids(None, ("Act", "Bill"))] == ["afg", "af", "a", "", "af"]
