@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corvex.llm import store
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node that has an edge to another; root is the component's least node.
+def components(edges: DataFrame, scratch: store.Scratch | None = None, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node that has an edge to another; root is the component's least node.  Staged.
 
     Large-star and small-star steps alternate until the edges form stars around
     their least nodes.  Each step sends a node's least neighbour to its
@@ -17,20 +17,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     in the shared folder, and only their number and a checksum come back.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now = store.stage(now, "edges")
+    scratch = scratch or store.Scratch(edges.sparkSession)
+    now = scratch.stage(now, "edges")
     mark = None
     while True:
         new = _mark(now)
         if new == mark or not new[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            stars = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            out = scratch.stage(stars, "components")
+            scratch.drop(now)
+            return out
         mark = new
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = store.stage(large, "edges")
+        large = scratch.stage(large, "edges")
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(lows.select("u", F.col("m").alias("v"))).distinct()
-        now = store.stage(small, "edges")
+        before, now = now, scratch.stage(small, "edges")
+        scratch.drop(before, large)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -17,7 +17,13 @@ and the last one every candidate pair that still lies between two components.  N
 link that joins components can be missed: any link is a candidate pair, and in the
 end each candidate pair either lies inside one component or has been verified.
 
-Documents with equal sets are one node from the start.
+The group of a frequent token is dealt in blocks of about ``GROUP_ROWS`` nodes,
+each of which finds its own forest; the second round joins one representative of
+each label, and the last one compares those that are not of the token's largest
+label with the nodes of every block, which is exact.
+
+Documents with equal sets are one node from the start.  Candidates come from one
+hash of the words' bytes, verification counts common tokens by another.
 """
 
 from __future__ import annotations
@@ -31,27 +37,33 @@ from pyspark.sql import functions as F
 
 from corvex.llm import store
 from corvex.llm.components import components
-from corvex.llm.wordhash import SortedKeys, U, Words, chunks, lean, lists, mix
+from corvex.llm.wordhash import SortedKeys, U, Words, chunks, combine, lean, lists, mix
 
 #: Bits of a set's parity bitmap at least.
 LEAST_BITS = 512
-#: Hash values of wanted keys.
-FILTER_SIZE = 1 << 20
+#: Wanted keys for which a filter of hashes is broadcast; for more of them rows are joined without it.
+FILTER_KEYS = 1 << 20
+#: Nodes of a token's group that one task takes at a time.
+GROUP_ROWS = 512
 #: Orders after the first.
 MORE_ORDERS = (101, 102)
 #: A token counts as frequent from this share of documents on, and from this number on at least.
 FREQUENT_SHARE, FREQUENT_LEAST = 5e-5, 16
 #: A task reports tokens that this many of its documents have; how many tokens it holds before it drops the single ones.
-REPORT_LEAST, HELD_TOKENS = 4, 2_000_000
+REPORT_LEAST, HELD_TOKENS = 4, 1_000_000
+#: Frequent tokens that are broadcast at most; if there are more, those of the lower classes count as not frequent.
+MOST_FREQUENT = 1 << 20
 
 
-def token_sets(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def token_sets(words: Words, shingle: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(distinct tokens of each document in rising order, offsets).
 
     A token is the hash of ``shingle`` words; a document with fewer words has
     the hash of all its words as its only token, one without words has none.
+    Hashes stand for those of the words, if given.
     """
-    first, grams = words.first, words.grams(shingle)
+    hashes = words.hash if hashes is None else hashes
+    first, grams = words.first, combine(hashes, shingle)
     sizes = np.diff(first)
     parts, ends = [], np.zeros(len(sizes) + 1, dtype=np.int64)
     for i, n in enumerate(sizes.tolist()):
@@ -59,7 +71,7 @@ def token_sets(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             s = np.sort(grams[first[i] : first[i] + n - shingle + 1])
             s = s[np.concatenate([[True], s[1:] != s[:-1]])]
         elif n:
-            s = mix(_short_token(words.hash[first[i] : first[i] + n]), n)
+            s = mix(_short_token(hashes[first[i] : first[i] + n]), n)
         else:
             s = grams[:0]
         parts.append(s)
@@ -101,8 +113,8 @@ def frequent_tokens(docs: DataFrame, shingle: int, text: str = "text") -> _Order
     """Frequent tokens of all documents.
 
     The order only steers the work; any order gives the same links.  The table
-    is bounded: tokens of at least a share s of n documents with m tokens on
-    average number at most m / s.
+    is bounded by MOST_FREQUENT: the least class of counts that it takes in
+    rises until it fits.
     """
     least = max(FREQUENT_LEAST, int(docs.count() * FREQUENT_SHARE))
 
@@ -128,9 +140,17 @@ def frequent_tokens(docs: DataFrame, shingle: int, text: str = "text") -> _Order
         yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], ["token", "n"])
 
     found = _text(docs, text).mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    table = found.toArrow()
-    tokens, n = table["token"].to_numpy().view(U), table["n"].to_numpy()
-    return _Order(tokens, 1 + np.log2(np.maximum(n, 1)).astype(np.int64))
+    scratch = store.Scratch(docs.sparkSession)
+    found = scratch.stage(found.withColumn("class", F.floor(F.log2("n")).cast("int")), "frequent")
+    sizes, lowest, total = dict(found.groupBy("class").count().collect()), 64, 0
+    for c in sorted(sizes, reverse=True):
+        total += sizes[c]
+        if total > MOST_FREQUENT:
+            break
+        lowest = c
+    table = found.where(F.col("class") >= lowest).toArrow()
+    scratch.drop_all()
+    return _Order(table["token"].to_numpy().view(U), 1 + table["class"].to_numpy().astype(np.int64))
 
 
 def prefixes(docs: DataFrame, order: _Order, shingle: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -220,6 +240,8 @@ class Group:
     def __init__(self, node: np.ndarray, n: np.ndarray, place: np.ndarray, raw: list[bytes], label: np.ndarray, percent: int) -> None:
         self.node, self.n, self.rest, self.label, self.percent = node, n, n - place, label, percent
         self.raw, self.bitmaps = raw, None
+        #: Which nodes come from other blocks of the token.
+        self.sent = np.zeros(len(node), dtype=bool)
 
     def passes(self, one: int, others: np.ndarray) -> np.ndarray:
         """Which of the others may be similar enough to one.
@@ -252,7 +274,7 @@ class Group:
 
 
 def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """node, tokens (rising, little-endian) and the prefixes under further orders, of the wanted (node, _key).
+    """node, tokens (by the second hash; rising, little-endian) and the prefixes under further orders, of the wanted (node, _key).
 
     A node is there more than once if its key's row repeats.
     """
@@ -262,18 +284,21 @@ def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: in
         order = shared.value
         for batch in batches:
             for low, high, data, offsets in chunks(batch.column(1)):
-                tokens, ends = token_sets(Words(data, offsets, lower=True), shingle)
+                words = Words(data, offsets, lower=True)
+                tokens, ends = token_sets(words, shingle)
                 # Another row may have the same key: its set is not the wanted one.
                 right = node_ids(tokens, ends) == batch.column(0).slice(low, high - low).to_numpy()
                 index = np.flatnonzero(right)
                 if not len(index):
                     continue
                 sets = [tokens[ends[i] : ends[i + 1]] for i in index]
+                others, bounds = token_sets(words, shingle, words.second())
+                others = [others[bounds[i] : bounds[i + 1]] for i in index]
                 more = []
                 for seed in MORE_ORDERS:
                     more.append([np.sort(order.places(s, seed))[: prefix_size(len(s), percent)].view(np.int64) for s in sets])
                 listed = lambda xs: lists(np.concatenate(xs), np.concatenate([[0], np.cumsum([len(x) for x in xs])]), pa.int64())
-                columns = [batch.column(0).slice(low, high - low).take(pa.array(index)), pa.array([s.tobytes() for s in sets], pa.binary()), *map(listed, more)]
+                columns = [batch.column(0).slice(low, high - low).take(pa.array(index)), pa.array([s.tobytes() for s in others], pa.binary()), *map(listed, more)]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", *[f"prefix{i}" for i in range(len(more))]])
 
     rows = near_keys(_text(docs, text, docs[key].alias("k")), "k", wanted, "_key")
@@ -283,19 +308,21 @@ def survivor_sets(docs: DataFrame, wanted: DataFrame, order: _Order, shingle: in
 
 
 def near_keys(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, how: str = "left_semi") -> DataFrame:
-    """Rows whose key may be wanted: those whose hash is among the hashes of wanted keys, of FILTER_SIZE values in all.
+    """Rows whose key may be wanted, by a hash of it; with how = "left_anti" those whose key is surely not wanted.
 
-    With how = "left_anti" the others, whose key is surely not wanted.
-
-    It only spares texts an exchange before the join that decides; what is
-    broadcast is at most FILTER_SIZE numbers.
+    It only spares texts an exchange before the join that decides.  What is
+    broadcast is at most FILTER_KEYS numbers; for more wanted keys any row may
+    be wanted.  wanted should be staged, as it is counted.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SIZE))
+    n = wanted.count()
+    if n > FILTER_KEYS:
+        return rows if how == "left_semi" else rows.limit(0)
+    slots = 1 << max(10, (16 * n).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
     hashes = wanted.select(place(wanted_key).alias("_at")).distinct()
     return rows.join(F.broadcast(hashes), place(rows[key]) == hashes["_at"], how)
 
 
-
 def forest(group: Group) -> list[tuple[int, int]]:
     """Edges that join each component of a token group's candidate graph; documents of one label are joined already."""
     node = group.node
@@ -331,18 +358,34 @@ def between(group: Group) -> list[tuple[int, int]]:
     return edges
 
 
+def across(group: Group) -> list[tuple[int, int]]:
+    """Candidate pairs of the nodes that were sent to this block and its own nodes of other labels."""
+    edges, own = [], np.flatnonzero(~group.sent)
+    for one in np.flatnonzero(group.sent):
+        others = own[group.label[own] != group.label[one]]
+        edges += [(group.node[one], group.node[x]) for x in others[group.passes(one, others)]]
+    return edges
+
+
+def blocks(token: Column) -> Column:
+    """Blocks of a token's group, by the least count of its class."""
+    least = F.pow(F.lit(2.0), F.shiftrightunsigned(token, 56) - 1)
+    return F.greatest(F.lit(1), F.ceil(least / GROUP_ROWS)).cast("int")
+
+
 def _by_token(entries: DataFrame, choose, percent: int) -> DataFrame:  # noqa: ANN001
-    """Distinct pairs (a < b) that choose finds in the token groups of entries (token, node, n, place, bitmap, label)."""
+    """Distinct pairs (a < b) that choose finds in the groups of entries (token, salt, sent, node, n, place, bitmap, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
-            token, node, n, place, label = (rows.column(i).to_numpy() for i in (0, 1, 2, 3, 5))
-            raw = rows.column(4).to_pylist()
-            bound = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            token, salt, sent, node, n, place, label = (rows.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5, 7))
+            raw = rows.column(6).to_pylist()
+            bound = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]), [True]]))
             found = set()
             for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
                 if b - a > 1:
                     group = Group(node[a:b], n[a:b], place[a:b], raw[a:b], label[a:b], percent)
+                    group.sent = sent[a:b].astype(bool)
                     found.update((min(e), max(e)) for e in (group.pair() if b - a == 2 else choose(group)))
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -351,36 +394,56 @@ def _by_token(entries: DataFrame, choose, percent: int) -> DataFrame:  # noqa: A
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token = batch.column(0).to_numpy()
-            at = int(np.searchsorted(token, token[-1]))
-            # The last token may go on in the next batch.
+            token, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # The last group may go on in the next batch.
+            low = int(np.searchsorted(token, token[-1]))
+            at = low + int(np.searchsorted(salt[low:], salt[-1]))
             if at:
                 yield pairs(pa.Table.from_batches([*held, batch.slice(0, at)]))
                 held = []
-            elif held and held[-1].column(0)[-1].as_py() != token[0]:
+            elif held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (token[0], salt[0]):
                 yield pairs(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(at))
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    rows = entries.select("token", "node", "n", "place", "bitmap", "label").repartition("token").sortWithinPartitions("token", "node")
+    rows = entries.select("token", "salt", "sent", "node", "n", "place", "bitmap", "label")
+    rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
     return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that share prefix tokens under all further orders and whose whole sets are similar enough."""
+def _representatives(entries: DataFrame) -> DataFrame:
+    """Of each label one node in each token's group, dealt in blocks by the number of labels; a group of one label has no rows."""
+    first = entries.groupBy("token", "label").agg(F.min(F.struct("node", "n", "place", "bitmap")).alias("r"))
+    counts = first.groupBy("token").agg(F.count("*").alias("labels")).where("labels > 1")
+    first = first.join(counts, "token").withColumn("salt", F.pmod(F.xxhash64("label"), F.ceil(F.col("labels") / (4 * GROUP_ROWS))).cast("int"))
+    return first.select("token", "salt", F.lit(0).alias("sent"), "r.*", "label")
+
+
+def _crossing(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries of undivided groups of several labels; those of divided ones, with the nodes outside the group's largest label sent to every block)."""
+    counts = entries.groupBy("token", "label").agg(F.count("*").alias("n"))
+    several = counts.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    left = entries.join(several.select("token", F.col("top.label").alias("largest")), "token")
+    small, large = left.where("blocks = 1"), left.where("blocks > 1")
+    sent = large.where("label <> largest").withColumn("sent", F.lit(1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return small, large.unionByName(sent)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: store.Scratch) -> DataFrame:
+    """The pairs that share prefix tokens under all further orders and whose whole sets are similar enough; staged."""
     more = [f"prefix{i}" for i in range(len(MORE_ORDERS))]
-    ends = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need")))
-    sets = near_keys(sets, "node", ends, "need")
-    light = sets.select("node", *more)
+    ends = scratch.stage(pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct(), "ends")
+    near = near_keys(sets, "node", ends, "need")
+    light = near.select("node", *more)
     side = lambda rows, end: rows.select(*[F.col(c).alias(f"{end}_{c}" if c != "node" else end) for c in rows.columns])
     shared = F.lit(True)
     for c in more:
         shared = shared & F.arrays_overlap(f"a_{c}", f"b_{c}")
-    pairs = store.stage(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(shared).select("a", "b").distinct(), "candidates")
-    whole = sets.select("node", "tokens")
-    rows = pairs.join(side(whole, "a"), "a").join(side(whole, "b"), "b").select("a", "b", "a_tokens", "b_tokens")
+    kept = scratch.stage(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(shared).select("a", "b").distinct(), "candidates")
+    whole = near.select("node", "tokens")
+    rows = kept.join(side(whole, "a"), "a").join(side(whole, "b"), "b").select("a", "b", "a_tokens", "b_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,10 +457,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return rows.mapInArrow(lean(run), "a long, b long").distinct()
+    out = scratch.stage(rows.mapInArrow(lean(run), "a long, b long").distinct(), "links")
+    scratch.drop(ends, kept)
+    return out
 
 
-def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", marks: bool = False) -> DataFrame:
+def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", marks: bool = False, scratch: store.Scratch | None = None) -> DataFrame:
     """key, n_shingles and component_id of each document; with marks also mark, a hash of the text.
 
     Two documents link if 100 times the number of common shingles is at least
@@ -405,50 +470,71 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     links reach.  Null text and text without words have an empty set, no links
     and their own key as component_id.  Rows that repeat are equal documents; a
     null key is never a component's least key unless all are null.  Other
-    columns are dropped first.
+    columns are dropped first.  Very long texts are hashed whole, one at a time.
+    Tables that the result still reads are left to the scratch, if one is given.
     """
     store.small_batches(docs.sparkSession)
+    scratch = scratch or store.Scratch(docs.sparkSession)
     order = frequent_tokens(docs, shingle, text)
-    rows = store.stage(prefixes(docs, order, shingle, percent, text, key), "prefixes")
+    rows = scratch.stage(prefixes(docs, order, shingle, percent, text, key), "prefixes")
     entries = rows.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("place", "token")).repartition("token").dropDuplicates()
-    near = Window.partitionBy("token").orderBy("n", "node")
+    entries = entries.withColumn("blocks", blocks(F.col("token"))).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    near = Window.partitionBy("token", "salt").orderBy("n", "node")
     fits = lambda other: other.isNotNull() & (100 * F.least("n", other) >= percent * F.greatest("n", other))
     entries = entries.withColumns({"before": F.lag("n").over(near), "after": F.lead("n").over(near)})
-    entries = store.stage(entries.where(fits(F.col("before")) | fits(F.col("after"))).select("token", "node", "n", "place"), "shared-prefixes")
-
-    bits = rows.where("prefix is not null").select("node", "bitmap").dropDuplicates(["node"])
-    grouped = entries.join(bits, "node").withColumn("label", F.col("node"))
-    spanning = store.stage(_by_token(grouped, forest, percent), "forest")
-    # Sets are fetched for documents in candidate pairs only; no other document can be in a link.
-    paired = store.stage(spanning.select(F.col("a").alias("node")).unionByName(spanning.select(F.col("b").alias("node"))).distinct(), "paired")
-    wanted = rows.where("node is not null").select("node", "_key").join(paired, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
-    sets = store.stage(survivor_sets(docs, store.stage(wanted, "wanted"), order, shingle, percent, text, key), "sets")
+    entries = entries.where((F.col("blocks") > 1) | fits(F.col("before")) | fits(F.col("after")))
+    entries = scratch.stage(entries.select("token", "blocks", "salt", "node", "n", "place"), "shared-prefixes")
+    bits = rows.where("prefix is not null").select("node", "bitmap").join(entries.select("node").distinct(), "node", "left_semi")
+    bits = scratch.stage(bits.dropDuplicates(["node"]), "bitmaps")
+    light = scratch.stage(rows.select("_key", "mark", "n", "node"), "keys")
+    scratch.drop(rows)
+
+    grouped = entries.join(bits, "node").withColumn("label", F.col("node")).withColumn("sent", F.lit(0))
+    spanning = scratch.stage(_by_token(grouped, forest, percent), "forest")
+    # Sets are fetched for documents in candidate pairs only, and for those whose candidates may lie in other blocks.
+    paired = spanning.select(F.col("a").alias("node")).unionByName(spanning.select(F.col("b").alias("node"))).unionByName(entries.where("blocks > 1").select("node"))
+    paired = scratch.stage(paired.distinct(), "paired")
+    light_entries = entries
+    entries = scratch.stage(entries.join(paired, "node", "left_semi").join(bits, "node").withColumn("sent", F.lit(0)), "paired-prefixes")
+    scratch.drop(light_entries, bits)
+    wanted = light.where("node is not null").select("node", "_key").join(paired, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
+    wanted = scratch.stage(wanted, "wanted")
+    sets = scratch.stage(survivor_sets(docs, wanted, order, shingle, percent, text, key), "sets")
     # First each document with its least candidate, so that there are fewer pairs than documents.
-    tried = store.stage(spanning.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    links = store.stage(verify(tried, sets, percent), "links")
-    entries = store.stage(entries.join(paired, "node", "left_semi").join(bits, "node"), "paired-prefixes")
+    tried = scratch.stage(spanning.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    scratch.drop(wanted, spanning)
+    links = verify(tried, sets, percent, scratch)
     # Then what joins the components so far; in the end all that still lies between components.
-    for choose in (forest, between):
-        roots = components(links)
+    for last in (False, True):
+        roots = components(links, scratch)
         labels = paired.join(roots.select("node", F.col("root").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        labels = store.stage(labels, "labels")
-        rest = _by_token(entries.join(labels, "node"), choose, percent).join(tried, ["a", "b"], "left_anti")
-        if choose is forest:
-            side = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        labels = scratch.stage(labels, "labels")
+        scratch.drop(roots)
+        labelled = entries.join(labels, "node")
+        if last:
+            small, large = _crossing(labelled)
+            rest = _by_token(small, between, percent).unionByName(_by_token(large, across, percent)).distinct()
+        else:
+            rest = _by_token(_representatives(labelled), forest, percent)
+        rest = rest.join(tried, ["a", "b"], "left_anti")
+        if not last:
+            side = lambda end, labels=labels: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
             rest = rest.join(side("a"), "a").join(side("b"), "b").select(F.least("a_label", "b_label").alias("low"), F.greatest("a_label", "b_label").alias("high"), "a", "b")
             rest = rest.groupBy("high").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
-        rest = store.stage(rest, "rest")
+        rest = scratch.stage(rest, "rest")
+        scratch.drop(labels)
         tried = tried.unionByName(rest)
-        links = store.stage(links.unionByName(verify(rest, sets, percent)), "links")
-    roots = store.stage(components(links), "components")
+        links = links.unionByName(verify(rest, sets, percent, scratch))
+    roots = components(links, scratch)
 
     # Least key of each node, then of each component.
-    own = rows.where("node is not null").groupBy("node").agg(F.min("_key").alias("own"))
+    own = light.where("node is not null").groupBy("node").agg(F.min("_key").alias("own"))
     own = own.join(roots, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
-    own = store.stage(own, "nodes")
+    own = scratch.stage(own, "nodes")
+    scratch.drop(*[t for t, _ in scratch.paths.values() if t is not own and t is not light])
     least = own.groupBy("root").agg(F.min("own").alias("component_id"))
     named = own.select("node", "root").join(least, "root").select("node", "component_id")
-    out = rows.select("_key", "n", "node", "mark").join(named, "node", "left")
+    out = light.select("_key", "n", "node", "mark").join(named, "node", "left")
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("component_id")).alias("component_id"), *(["mark"] if marks else []))
 
 
@@ -458,7 +544,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "
     Documents without words are in no group and stay.  A document without a key
     goes if it is linked with one that has a key.
     """
-    found = store.stage(join(docs.select(key, text), shingle, percent, text, key, marks=True), "classes")
+    scratch = store.Scratch(docs.sparkSession)
+    found = store.stage(join(docs.select(key, text), shingle, percent, text, key, marks=True, scratch=scratch), "classes")
+    scratch.drop_all()
     facts = found.groupBy(F.col(key).alias("__k"), F.col("mark").alias("__m")).agg(F.count("*").alias("__n"), F.min("component_id").alias("__c"))
     facts = facts.select("__k", "__m", (~F.col("__c").eqNullSafe(F.col("__k"))).alias("__lost"), (F.col("__n") > 1).alias("__many")).where("__lost or __many")
     facts = store.stage(facts, "lost")

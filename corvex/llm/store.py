@@ -48,3 +48,31 @@ def drop(spark: SparkSession, path: str) -> None:
     """Deletes a staged path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Staged tables of one computation; each is dropped when its last reader is staged itself.
+
+    The driver's collector is asked to run then, so that Spark's cleaner also
+    deletes the shuffle files of the plans that are done.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            drop(self.spark, path)
+        self.spark._jvm.System.gc()
+
+    def drop_all(self) -> None:
+        """Drops what is left."""
+        self.drop(*[table for table, _ in self.paths.values()])

@@ -3,22 +3,22 @@
 All functions work on the UTF-8 bytes of many documents at once: one byte
 buffer plus document offsets, as Arrow lays out a string column.  A word is a
 maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D`` inside one document.
-Word hashes are polynomial sums over bytes (prefix sums modulo 2**64, moved
-back to the word's start with the inverse multiplier) followed by a finaliser,
-so no Python object is made for any word.
+Short words are hashed in blocks of eight bytes, all words at once, each block
+mixed into the state before the next; the few long ones go through BLAKE2.  No
+step is linear in the bytes, so that no pattern of letters cancels out as it
+does in polynomial sums modulo a power of two.
 """
 
 from __future__ import annotations
 
 import ctypes
+from hashlib import blake2b
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd multipliers; an odd number has an inverse modulo 2**64.
-P_BYTE = 0x9E3779B97F4A7C15
 P_WORD = 0xC2B2AE3D27D4EB4F
 MASK = (1 << 64) - 1
 
@@ -26,7 +26,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODE = np.random.default_rng(20240229).integers(1, MASK, 256, dtype=np.uint64, endpoint=True)
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 24
 
 #: Bytes of text that one numpy pass takes; a single longer document is taken alone.
 CHUNK_BYTES = 1 << 20
@@ -50,9 +51,6 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(P_BYTE), _Powers(P_WORD)
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective finaliser of 64-bit words (shift, multiply, shift)."""
     with np.errstate(over="ignore"):
@@ -65,6 +63,48 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def hash_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each slice of the bytes; seeds give independent functions."""
+    size = end - start
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    keep = np.array([MASK >> (64 - 8 * k) if k else 0 for k in range(9)], dtype=U)
+    with np.errstate(over="ignore"):
+        out = mix(blocks[start] & keep[np.minimum(size, 8)] ^ size.astype(U) * U(P_WORD), 2 * seed + 51)
+        left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        for at in range(8, LONG_WORD, 8):
+            if not len(left):
+                break
+            more = blocks[start[left] + at] & keep[np.minimum(size[left] - at, 8)]
+            out[left] = mix(out[left] * U(P_WORD) + more, 2 * seed + 52)
+            left = left[size[left] > at + 8]
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        key = seed.to_bytes(8, "little")
+        raw = [blake2b(data[a:b], digest_size=8, key=key).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(raw), dtype="<u8")
+    return out
+
+
+def combine(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive hashes, in order: runs of powers of two are put together from two halves."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U)
+    power, size, out, done = hashes, 1, None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if k & size:
+                out = power if out is None else mix(out[: len(power) - done] * U(P_WORD) + power[done:], size + 300)
+                done += size
+            if 2 * size > k:
+                break
+            power = mix(power[:-size] * U(P_WORD) + power[size:], size + 100)
+            size *= 2
+    return out[:n]
+
+
 class SortedKeys:
     """Sorted 64-bit keys with values; an index of the top bits leads to each key's neighbourhood."""
 
@@ -122,23 +162,15 @@ class Words:
         else:
             self.start = self.end = np.zeros(0, dtype=np.int64)
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _BYTES.upto(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=U)
-            np.cumsum(_BYTE_CODE[data] * up[:n], out=sums[1:])
-            h = (sums[self.end] - sums[self.start]) * down[self.start]
-            self.hash = mix(h + (self.end - self.start).astype(U) * U(P_WORD))
+        self.hash = hash_slices(data, self.start, self.end)
+
+    def second(self) -> np.ndarray:
+        """Hashes of the words by another function of their bytes."""
+        return hash_slices(self.data, self.start, self.end, 1)
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; those that leave the document hold no meaning (see inside())."""
-        m = len(self.hash)
-        if m < k:
-            return np.zeros(0, dtype=U)
-        up, down = _WORDS.upto(m + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(m + 1, dtype=U)
-            np.cumsum(self.hash * up[:m], out=sums[1:])
-            return mix((sums[k:] - sums[:-k]) * down[: m - k + 1])
+        return combine(self.hash, k)
 
     def word_doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
