@@ -17,8 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that divide words, as a Java character class.
-SPACE = "[\\x20\\x09-\\x0D]"
+#: A word, and a line that has one.
+WORD, NOT_SPACE = "[^\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 WINDOW = 8
 
 #: bit -> (name, predicate on the measurements).  The first two are the base rules.
@@ -50,8 +50,7 @@ def _count(pattern: str) -> Column:
 def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """_keep (a struct of the columns to keep), measurements and fail_bits."""
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("_keep"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_trim", F.expr("btrim(_text, ' \\t\\n\\u000B\\f\\r')"))
-    rows = rows.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", SPACE + "+")))
+    rows = rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     rows = rows.select(
         "_keep",
         F.size("_words").cast("long").alias("n_words"),
@@ -59,14 +58,15 @@ def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         _count("[^#*$%&|<>]+").alias("n_symbols"),
         _count("[^\\p{Lu}]+").alias("n_upper"),
         _count("[^!]+").alias("n_exclaim"),
-        F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
-        F.when(
-            F.size("_words") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
-        )
-        .otherwise(F.array().cast("array<bigint>"))
-        .alias("_hashes"),
+        F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_lines"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
+    # Each word is hashed once; windows of two, four and eight words are put together from two halves.
+    step = 1
+    while step < WINDOW:
+        rows = rows.withColumn("_hashes", F.expr(f"transform(_hashes, (h, i) -> xxhash64(h, get(_hashes, i + {step})))"))
+        step *= 2
+    rows = rows.withColumn("_hashes", F.slice("_hashes", 1, F.greatest(F.lit(0), F.size("_hashes") - (WINDOW - 1))))
     rows = rows.withColumn("n_lines", F.size("_lines").cast("long"))
     rows = rows.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
     repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
@@ -95,7 +95,10 @@ def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     )
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_starts")
     failed = [F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, rule) in RULES.items()]
-    return rows.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), failed))
+    # The row number, always true here, keeps the optimiser from moving a later filter below the projections, which
+    # would write each measurement's expression out wherever it is used.
+    bits = reduce(lambda a, b: a.bitwiseOR(b), failed)
+    return rows.withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, bits).otherwise(F.lit(0)))
 
 
 def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -105,19 +108,21 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     key stays null; rows that repeat are judged one by one; an empty table
     gives an empty ledger.  Other columns are dropped before anything is
     computed, so that their names cannot clash.  Repeated windows are found by
-    a 64-bit hash of their words.
+    64-bit hashes that are put together from those of their words.  A text is
+    judged whole, however long it is.
     """
     rows = _measured(docs, text, [key])
     return rows.select(F.col(f"_keep.{key}"), *[c for c in rows.columns if c != "_keep"])
 
 
 def passing(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with all their columns and no others."""
+    """The documents that the policy keeps, with all their columns and no others.
+
+    Null and blank texts go, as they have too few words; rows that repeat are
+    judged one by one; a null key changes nothing.
+    """
     rows = _measured(docs, text, docs.columns)
-    # The row number keeps the optimiser from moving the filter below the projections, which would write each
-    # measurement's expression out wherever it is used.
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    return rows.where((F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy] | BASE_MASK)) == 0) & (F.col("_row") >= 0)).select("_keep.*")
+    return rows.where(F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy] | BASE_MASK)) == 0).select("_keep.*")
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
