@@ -2,15 +2,20 @@
 
 Distinct words of equal length advance together, one character at a time.  At
 each end position the hashes of the substrings that end there are looked up
-among the sorted piece keys; the score of a piece after the best path's last
-piece is its length where the two may stand side by side and nothing otherwise,
-and the vectorised maximum over lengths is stored as a backpointer.
+among the sorted piece keys; a path's score is the sum of its pieces' scores, or
+minus infinity where two neighbours may not stand side by side, and the
+vectorised maximum over lengths is stored as a backpointer.
 
 The public vocabularies at hand are merge vocabularies, whose scores are merge
 ranks and not log probabilities.  There, exactly one piece may follow the best
 path of a prefix: a segmentation is the merge result if and only if no merge
 across any of its borders would have come earlier than the merges around it.
 That makes the maximum unique and the result equal to merging.
+
+What follows depends on the last ``longest`` characters' states alone.  So a very
+long word is cut into overlapping windows, which advance together like words of
+equal length; a window whose states have not met its predecessor's by the end of
+the overlap is run again from the predecessor's states.
 """
 
 from __future__ import annotations
@@ -30,6 +35,12 @@ CACHE_WORDS = 300_000
 CHUNK_CHARS = 1 << 20
 #: Slots (as powers of two) of the tables of words and of pairs of pieces.
 WORD_BITS, PAIR_BITS = 20, 19
+#: Characters of a word from which it is cut into windows, of the windows' steps and overlaps.
+LONG_WORD, STEP, LAP = 4096, 1024, 128
+#: Words of more characters than this are compared as such, not by their hash alone: their sums may cancel out.
+HASHED_WORD = 32
+#: Characters of equal words that one numpy pass takes.
+PASS_CHARS = 1 << 17
 _POWERS = _Powers(0xA0761D6478BD642F)
 _CODE = np.random.default_rng(20240301).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
 
@@ -67,6 +78,8 @@ class Vocabulary:
                 self.left[i], self.right[i] = parts
                 reachable[i] = True
         self.lengths = np.array([len(p) for p in self.pieces])
+        #: Characters without a piece have the score after the last piece's.
+        self.scores = np.append(scores, scores.min() - 1)
         self.key_of = np.zeros(n, dtype=U)
         for p, i in ids.items():
             self.key_of[i] = self._key(p)
@@ -161,9 +174,13 @@ class Vocabulary:
         low = 0
         while low < len(order):
             size = int(sizes[low])
-            high = min(int(np.searchsorted(sizes, size, side="right")), low + max(1, (1 << 19) // size))
-            rows = order[low:high]
-            ids, counts[rows] = self._viterbi(codes[start[rows][:, None] + np.arange(size)])
+            if size > LONG_WORD:
+                rows, high = order[low : low + 1], low + 1
+                ids, counts[rows] = self._long(codes[start[rows[0]] : start[rows[0]] + size])
+            else:
+                high = min(int(np.searchsorted(sizes, size, side="right")), low + max(1, PASS_CHARS // size))
+                rows = order[low:high]
+                ids, counts[rows] = self._viterbi(codes[start[rows][:, None] + np.arange(size)])
             parts.append((rows, ids))
             low = high
         ends = np.cumsum(counts)
@@ -173,8 +190,11 @@ class Vocabulary:
             flat[np.repeat(ends[rows] - n - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return flat, counts
 
-    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, ids of each row) of words of equal length."""
+    def _states(self, codes: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(last piece of the best path to each place, its size) for rows of equal length.
+
+        before holds the last pieces at the first places, if the rows go on from there.
+        """
         n, length = codes.shape
         up, down = _POWERS.upto(length + 1)
         with np.errstate(over="ignore"):
@@ -183,7 +203,8 @@ class Vocabulary:
         # Pieces by size: a start stays as long as what follows begins some piece.
         row, start = (x.ravel() for x in np.indices((n, length)))
         found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
-        for size in range(1, min(length, self.longest) + 1):
+        widest = min(length, self.longest)
+        for size in range(1, widest + 1):
             keep = start + size <= length
             row, start = row[keep], start[keep]
             with np.errstate(over="ignore"):
@@ -201,18 +222,31 @@ class Vocabulary:
             row, start = row[known], start[known]
             if not len(row):
                 break
-        last = np.full((n, length + 1), -1, dtype=np.int64)
-        back = np.zeros((n, length + 1), dtype=np.int64)
-        for end in range(1, length + 1):
+        last, back = np.full((n, length + 1), -1, dtype=np.int64), np.zeros((n, length + 1), dtype=np.int64)
+        best = np.full((n, length + 1), -np.inf)
+        known = 0 if before is None else before.shape[1] - 1
+        best[:, 0] = 0.0
+        if before is not None:
+            last[:, : known + 1] = before
+            best[:, : known + 1] = np.where(before >= 0, 0.0, -np.inf)
+        every = np.arange(n)
+        for end in range(known + 1, length + 1):
             r, s, p = (np.concatenate(x) for x in zip(*found[end], strict=True))
-            before = last[r, s]
-            on = (s == 0) | (before >= 0)
-            r, s, p, before = r[on], s[on], p[on], before[on]
-            after = np.flatnonzero(s > 0)
-            ok = np.ones(len(s), dtype=bool)
-            ok[after] = self.may_follow(before[after], p[after])
-            # Sizes rise, so the last to be written is the maximum.
-            back[r[ok], end], last[r[ok], end] = end - s[ok], p[ok]
+            score, left = best[r, s] + self.scores[np.minimum(p, self.size)], last[r, s]
+            after = np.flatnonzero((left >= 0) & np.isfinite(score))
+            score[after[~self.may_follow(left[after], p[after])]] = -np.inf
+            by_size, pieces = np.full((n, widest), -np.inf), np.zeros((n, widest), dtype=np.int64)
+            by_size[r, end - s - 1], pieces[r, end - s - 1] = score, p
+            size = by_size.argmax(axis=1)
+            best[:, end] = by_size[every, size]
+            there = np.isfinite(best[:, end])
+            last[there, end], back[there, end] = pieces[every, size][there], size[there] + 1
+        return last, back
+
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, ids of each row) of words of equal length."""
+        n, length = codes.shape
+        last, back = self._states(codes)
         paths, at, every = [], np.full(n, length), np.arange(n)
         while (at > 0).any():
             paths.append(np.where(at > 0, last[every, at], -1))
@@ -224,6 +258,34 @@ class Vocabulary:
             ids, counts = self._with_bytes(ids, np.repeat(every, counts), n)
         return ids, counts
 
+    def _long(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number) of one long word, by windows of STEP + LAP characters."""
+        length, width = len(codes), STEP + LAP
+        last, back = np.full(length + 1, -1, dtype=np.int32), np.zeros(length + 1, dtype=np.uint8)
+        starts, rows = np.arange(0, length - LAP, STEP), max(1, PASS_CHARS // width)
+        first = self._states(codes[None, :width])
+        last[: width + 1], back[: width + 1] = first[0][0], first[1][0]
+        for low in range(1, len(starts), rows):
+            part = starts[low : low + rows]
+            full = part[part + width <= length]
+            states = [*zip(*self._states(codes[full[:, None] + np.arange(width)]), strict=True)] if len(full) else []
+            states += [tuple(x[0] for x in self._states(codes[None, at:])) for at in part[len(full) :].tolist()]
+            for at, (new, size) in zip(part.tolist(), states, strict=True):
+                met = slice(LAP - self.longest, LAP + 1)
+                if not (new[met] == last[at + met.start : at + met.stop]).all():
+                    again = self._states(codes[None, at : at + width], last[None, at : at + LAP + 1].astype(np.int64))
+                    new, size = again[0][0], again[1][0]
+                to = at + len(new) - 1
+                last[at + LAP + 1 : to + 1], back[at + LAP + 1 : to + 1] = new[LAP + 1 :], size[LAP + 1 :]
+        ids, at, sizes, lasts = [], length, memoryview(back), memoryview(last)
+        while at:
+            ids.append(lasts[at])
+            at -= sizes[at]
+        ids = np.array(ids[::-1], dtype=np.int64)
+        if ids.max() >= self.size:
+            return self._with_bytes(ids, np.zeros(len(ids), dtype=np.int64), 1)
+        return ids, np.array([len(ids)])
+
     def _with_bytes(self, ids: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become their bytes."""
         code = np.maximum(ids - self.size, 0)
@@ -244,6 +306,27 @@ class Coder:
     def _forget(self) -> None:
         self.tag, self.word = np.zeros(1 << WORD_BITS, dtype=U), np.zeros(1 << WORD_BITS, dtype=np.int64)
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Code points of the remembered words that are longer than HASHED_WORD.
+        self.codes, self.code_start, self.code_length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Remembers new words with their ids."""
+        flat, counts = self.vocabulary.segment(codes, start, length)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.length = np.concatenate([self.length, counts])
+        self.flat = np.concatenate([self.flat, flat])
+        kept = np.where(length > HASHED_WORD, length, 0)
+        ends = np.cumsum(kept)
+        own = codes[np.repeat(start - ends + kept, kept) + np.arange(ends[-1])]
+        self.code_start = np.concatenate([self.code_start, len(self.codes) + ends - kept])
+        self.code_length = np.concatenate([self.code_length, length])
+        self.codes = np.concatenate([self.codes, own])
+
+    def _others(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The long words that differ from the remembered ones at their places: their hashes alone are equal."""
+        long = np.flatnonzero(length > HASHED_WORD)
+        same = [int(self.code_length[at[i]]) == int(length[i]) and np.array_equal(codes[start[i] : start[i] + length[i]], self.codes[(c := self.code_start[at[i]]) : c + length[i]]) for i in long.tolist()]
+        return long[~np.array(same, dtype=bool)]
 
     def _units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(code points, start, length and hash of each unit, first unit of each text): no merge crosses a unit's ends."""
@@ -271,22 +354,23 @@ class Coder:
         if not any(texts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         codes, start, length, key, first = self._units(texts)
-        if len(self.start) > CACHE_WORDS:
+        if len(self.start) > CACHE_WORDS or len(self.codes) > 8 * CACHE_WORDS:
             self._forget()
         slot = (key >> U(64 - WORD_BITS)).astype(np.int64)
         at = self.word[slot]
         new = np.flatnonzero(self.tag[slot] != key)
         if len(new):
             fresh, one, back = np.unique(key[new], return_index=True, return_inverse=True)
-            flat, counts = self.vocabulary.segment(codes, start[new[one]], length[new[one]])
-            at[new] = len(self.start) + back
+            known = len(self.start)
+            self._add(codes, start[new[one]], length[new[one]])
+            at[new] = known + back
             where = (fresh >> U(64 - WORD_BITS)).astype(np.int64)
             # One assignment of row numbers decides which of two words that meet in a slot has it.
-            self.word[where] = len(self.start) + np.arange(len(fresh))
-            self.tag[where] = fresh[self.word[where] - len(self.start)]
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-            self.length = np.concatenate([self.length, counts])
-            self.flat = np.concatenate([self.flat, flat])
+            self.word[where] = known + np.arange(len(fresh))
+            self.tag[where] = fresh[self.word[where] - known]
+        if len(others := self._others(codes, start, length, at)):
+            at[others] = len(self.start) + np.arange(len(others))
+            self._add(codes, start[others], length[others])
         lengths = self.length[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.start[at] - ends[:-1], lengths) + np.arange(ends[-1])]
@@ -331,7 +415,8 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key:
     Null and empty text give no ids.  The space mark U+2581 in a text reads as
     a space, as in the public library, so that such a text does not come back
     whole (round_trip false).  Rows that repeat are coded one by one; other
-    columns are dropped first.
+    columns are dropped first; an empty table gives no rows.  A text, and a
+    word of it, may be as long as a string can be: work grows in proportion.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

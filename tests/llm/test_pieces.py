@@ -1,6 +1,7 @@
 """Piece ids against the public library, and round trips."""
 
 import random
+import string
 
 import sentencepiece
 
@@ -28,3 +29,42 @@ def test_edges(spark):
     assert pieces.encode(rows.where("doc_id > 9")).count() == 0
     back = pieces.decode(pieces.encode(rows)).collect()
     assert sorted(r.text for r in back) == ["", "", "a b", "a b"]
+
+
+def swapped(n, a, b):
+    """A word whose letters follow the parity of the bits of their places."""
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_polynomials_confuse():
+    model, code = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL), pieces.coder()
+    texts = [swapped(n, *ab) for n in (1024, 2048, 4096) for ab in ("ab", "ba")]
+    ids, at = code.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [model.encode(t) for t in texts]
+    assert code.decode(ids, at) == texts
+
+
+def test_equal_hashes(monkeypatch):
+    """Long words whose hashes are all alike still get their own ids."""
+    model, code = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL), pieces.Coder(pieces.coder().vocabulary)
+    units = code._units
+    monkeypatch.setattr(code, "_units", lambda texts: (lambda c, s, n, k, f: (c, s, n, k * 0 + k[0], f))(*units(texts)))
+    for texts in (["one" * 20, "four" * 30, "one" * 20], ["two" * 20, "four" * 30, "five" * 15]):
+        ids, at = code.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [model.encode(t) for t in texts]
+
+
+def test_long_words():
+    rng, letters = random.Random(3), string.ascii_letters + string.digits + "+/"
+    model, code = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL), pieces.coder()
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (4095, 4097, 9999, 30000)]
+    texts += ["=" * 7001, "ab" * 4000 + "c" * 5000, "a" * 9001 + "é漢" * 3000, "abc" * 3001, "word " * 9000]
+    ids, at = code.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [model.encode(t) for t in texts]
+
+
+def test_empty_table_and_clashes(spark):
+    rows = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6), (None, None, 7)], "doc_id long, text string, token_ids int")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.round_trip) for r in pieces.encode(rows).collect())
+    assert got[0] == (0, 0, True) and got[1] == got[2]
+    assert pieces.encode(rows.where("doc_id > 5")).count() == 0
