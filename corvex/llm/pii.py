@@ -2,7 +2,7 @@
 
 Base kinds (email, ip, card, phone) are decided by pattern and checksum alone.
 Further kinds (iban by mod-97, ssn) also need a score of ``THRESHOLD``, to which
-words near the span add.  Offsets count code points; ends are exclusive.
+words near the span add, or from which they take.  Offsets count code points; ends are exclusive.
 
 Every scan is linear in the text: where the plain pattern would be tried from
 each character of a long run, the scan starts at the run or at its anchor.
@@ -30,14 +30,26 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_BODY = {
+    c: re.compile(rf"(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])")
+    for n, names in _IBAN_LENGTHS.items()
+    for c in names.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Score of a confirmed span, and the words that raise it by CONTEXT_GAIN.
+#: Score of a confirmed span, and the words that raise it by CONTEXT_GAIN or lower it by CONTEXT_LOSS.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
-CONTEXT_GAIN = 0.3
+CONTEXT_GAIN, CONTEXT_LOSS = 0.3, 0.3
+_FAR = re.compile(r"(?i)\b(?:example|sample|dummy|fictitious|placeholder|version|isbn|part no|order no|invoice|tracking)\b")
 _NEAR = {
     "email": re.compile(r"(?i)\b(?:e-?mail|contact|correo|courriel)\b"),
     "ip": re.compile(r"(?i)\b(?:ip|host|server|address)\b"),
@@ -100,8 +112,10 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             if 8 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
                 yield "phone", m.start(), m.end()
     for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield "iban", m.start(), m.end()
+        # The country tells the length, so that no word after the number is taken for a part of it.
+        body = _IBAN_BODY[m[1]].match(text, m.end()) if m[1] in _IBAN_BODY else None
+        if body and mod97(text[m.start() : body.end()].replace(" ", "")):
+            yield "iban", m.start(), body.end()
     if "-" in text:
         for m in _SSN.finditer(text):
             area, group, serial = m.group().split("-")
@@ -114,7 +128,8 @@ def find(text: str | None) -> list[Span]:
     found = []
     for kind, start, end in _proposed(text or ""):
         near = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}"
-        score = min(1.0, SCORES[kind] + CONTEXT_GAIN * (_NEAR[kind].search(near) is not None))
+        score = SCORES[kind] + CONTEXT_GAIN * (_NEAR[kind].search(near) is not None) - CONTEXT_LOSS * (_FAR.search(near) is not None)
+        score = round(min(1.0, max(0.0, score)), 2)
         if kind in BASE_KINDS or score >= THRESHOLD:
             found.append((kind, start, end, score))
     return found
@@ -149,7 +164,11 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs with the spans of the text replaced; n_chars, if there, follows the text."""
+    """All columns of docs with the spans of the text replaced; n_chars, if there, follows the text.
+
+    Null text stays null, with its n_chars; an empty one stays empty; rows that
+    repeat are treated one by one; an empty table stays empty.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

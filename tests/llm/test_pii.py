@@ -37,6 +37,13 @@ def test_cases():
     kinds = [s[0] for s in pii.find("pay DE89 3704 0044 0532 0130 00 or DE88 3704 0044 0532 0130 00")]
     assert kinds == ["iban"]
     assert [s[0] for s in pii.find("SSN 123-45-6789")] == ["ssn"]
+    # A word after the number is no part of it; the country tells the length.
+    for text in ("IBAN BE68 5390 0754 7034 BIC KRED", "BE68539007547034 ABC", "GB82 WEST 1234 5698 7654 32 THE", "NO93 8601 1117 947 A"):
+        assert [s[0] for s in pii.find(text)] == ["iban"], text
+    assert pii.find("XX68 5390 0754 7034") == pii.find("BE68 5390 0754 70345") == []
+    # Nearby words lower the score as well as raise it.
+    assert pii.find("for example BE68539007547034") == pii.find("ssn of an example: ISBN 123-45-6789 version")[1:] == []
+    assert pii.find("bank account, as in the example: BE68539007547034")[0][3] == 0.8
     assert pii.find("part 123-45-6789 of a catalogue") == []
     assert pii.redact("to a@b.co, 10.0.0.1.", pii.find("to a@b.co, 10.0.0.1.")) == "to <EMAIL>, <IP>."
 
