@@ -2,10 +2,13 @@
 
 A window of 35 words that occurs twice holds, in both places, the same gram of
 18 words whose hash is the least of its 18 grams.  Those grams (about one word
-in nine) are a document's fingerprints.  The index keeps them in sorted,
-immutable runs; each new batch is merge-joined with the runs, becomes a run
-itself, and runs are compacted once there are enough of them.  Windows around a
-fingerprint that occurred before are then verified by 128 bits of all 35 words.
+in nine) are a document's fingerprints.  The index keeps postings (fingerprint,
+document) in sorted, immutable runs, all of them in the same buckets by
+fingerprint, so that a new batch is merge-joined with each run without moving or
+sorting the run.  The batch becomes a run itself, and runs are compacted before
+the next batch once there are enough of them.  Windows around a fingerprint that
+occurred before are then verified by 128 bits of all 35 words, 64 each from two
+independent functions of the words' bytes.
 
 Nothing is lost by the choice: equal windows have equal least grams.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvex.llm import store
-from corvex.llm.wordhash import Words, chunks, lean, lists, mix
+from corvex.llm.wordhash import Words, chunks, combine, lean, lists
 
 WINDOW, GRAM = 35, 18
 #: Runs of one level that are compacted into one of the next.
@@ -62,8 +66,13 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(docs[key].alias("_key"), docs[text].cast("binary").alias("_text"))
 
 
+def _sha(raw: bytes) -> bytes:
+    """SHA-256 of the words, joined by one space."""
+    return hashlib.sha256(b" ".join(raw.split())).digest()
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """_key, n_words, sha (over the words), content (a 64-bit id of them) and anchors (fingerprints) of each document."""
+    """_key, n_words, sha (over the words) and anchors (fingerprints) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,24 +82,25 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
                 anchor = anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])] if len(anchor) else anchor
                 bound = np.searchsorted(anchor, words.first)
                 raw = data.tobytes()
-                sha = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                content = np.frombuffer(b"".join(s[:8] for s in sha), dtype="<i8")
-                columns = [batch.column(0).slice(low, high - low), pa.array(np.diff(words.first)), pa.array(sha, pa.binary()), pa.array(content), lists(grams[anchor].view(np.int64), bound, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["_key", "n_words", "sha", "content", "anchors"])
+                sha = [_sha(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                columns = [batch.column(0).slice(low, high - low), pa.array(np.diff(words.first)), pa.array(sha, pa.binary()), lists(grams[anchor].view(np.int64), bound, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "n_words", "sha", "anchors"])
 
     rows = _rows(docs, text, key)
-    return rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, n_words long, sha binary, content long, anchors array<long>")
+    return rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, n_words long, sha binary, anchors array<long>")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (hash, n) under a shared folder.
+    """Sorted immutable runs of postings (hash, doc) under a shared folder.
 
-    A run is a Parquet folder ``run-<level>-<number>``; it counts once its
-    writer has committed it (_SUCCESS), so a lost writer leaves no half run.
+    A run is a Parquet folder ``run-<level>-<number>-<buckets>``; it counts once
+    its writer has committed it (_SUCCESS), so a lost writer leaves no half run.
+    All runs have as many buckets as the first one, which Spark is told by
+    registering the folder as an external table.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT) -> None:
-        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, doc_type: str = "bigint") -> None:
+        self.spark, self.path, self.fanout, self.doc_type = spark, path.rstrip("/"), fanout, doc_type
 
     def runs(self) -> list[str]:
         """Names of the committed runs."""
@@ -102,91 +112,106 @@ class FingerprintIndex:
         done = lambda n: system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
         return sorted(n for n in names if n.startswith("run-") and done(n))
 
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema("hash long, n long").parquet(*[f"{self.path}/{n}" for n in names])
+    def _table(self, name: str) -> str:
+        return f"corvex_{hashlib.sha256(self.path.encode()).hexdigest()[:20]}_{name.replace('-', '_')}"
+
+    def read(self, name: str) -> DataFrame:
+        """The postings of a run, in its buckets."""
+        table, buckets = self._table(name), int(name.split("-")[3])
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"CREATE TABLE {table} (hash BIGINT, doc {self.doc_type}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(table)
 
     def _write(self, rows: DataFrame, level: int) -> str:
-        number = 1 + max([int(n.split("-")[2]) for n in self.runs()], default=0)
-        name = f"run-{level:02d}-{number:06d}"
-        rows.sortWithinPartitions("hash").write.parquet(f"{self.path}/{name}")
+        runs = self.runs()
+        buckets = int(runs[0].split("-")[3]) if runs else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"run-{level:02d}-{1 + max([int(n.split('-')[2]) for n in runs], default=0):06d}-{buckets}"
+        # Dealt by the buckets' own hash, so that each bucket is one file.
+        rows = rows.select("hash", "doc").repartition(buckets, "hash")
+        rows.write.format("parquet").bucketBy(buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").saveAsTable(self._table(name))
         return name
 
-    def add(self, hashes: DataFrame) -> DataFrame:
-        """Adds a batch (column hash, a row for each occurrence) as a run; returns the hashes of it that have occurred twice by now."""
+    def add(self, posts: DataFrame) -> DataFrame:
+        """Adds a batch (hash, doc; a row for each occurrence) as a run; returns the hashes of it that have occurred twice by now."""
+        self.compact()
         old = self.runs()
-        name = self._write(hashes.groupBy("hash").agg(F.count("*").alias("n")), 0)
-        new = self._read([name])
+        new = self.read(self._write(posts, 0)).groupBy("hash").agg(F.count("*").alias("n"))
         seen = new.where("n > 1").select("hash")
         for run in old:
-            seen = seen.unionByName(new.where("n = 1").select("hash").hint("merge").join(self._read([run]).select("hash"), "hash", "left_semi"))
-        seen = store.stage(seen.distinct(), "repeated")
-        self.compact()
-        return seen
+            seen = seen.unionByName(new.where("n = 1").select("hash").hint("merge").join(self.read(run).select("hash"), "hash", "left_semi"))
+        return store.stage(seen.distinct(), "repeated")
+
+    def postings(self, hashes: DataFrame) -> DataFrame:
+        """The postings of the hashes in all runs; the runs stay where they are."""
+        parts = [self.read(run).join(hashes.hint("merge"), "hash", "left_semi") for run in self.runs()]
+        return reduce(DataFrame.unionByName, parts)
 
     def compact(self) -> None:
         """Merges the runs of any level that has reached the fanout into one of the next."""
         level = 0
         while levels := [n for n in self.runs() if int(n.split("-")[1]) == level]:
             if len(levels) >= self.fanout:
-                self._write(self._read(levels).groupBy("hash").agg(F.sum("n").alias("n")), level + 1)
+                self._write(reduce(DataFrame.unionByName, map(self.read, levels)), level + 1)
                 for n in levels:
-                    store.drop(self.spark, f"{self.path}/{n}")
+                    self._forget(n)
             level += 1
 
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+        store.drop(self.spark, f"{self.path}/{name}")
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256 and kept_text (null where nothing is removed) of each document.
+    def close(self) -> None:
+        """Takes the runs' tables out of the session's catalog; the runs stay."""
+        for name in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
 
-    A word is removed if a window over it occurs anywhere else too.  Null text
-    has no words; documents of fewer words than a window lose nothing; rows
-    that repeat are occurrences like any other, so both lose all their windows;
-    other columns are dropped first.  Documents with equal words have equal
-    results, so one of each is worked on, counted twice.
-    """
-    spark = docs.sparkSession
-    store.small_batches(spark)
-    marks = store.stage(fingerprints(docs, text, key, window, gram), "fingerprints")
-    groups = marks.groupBy("content").agg(F.count("*").alias("n"), F.min("_key").alias("rep"))
-    groups = store.stage(groups, "contents")
-    own = marks.join(groups.withColumnRenamed("content", "c"), (F.col("content") == F.col("c")) & F.col("_key").eqNullSafe(F.col("rep")))
-    own = store.stage(own.where(F.size("anchors") > 0).select("content", "_key", "n", F.explode("anchors").alias("hash"), F.pmod(F.xxhash64("content"), F.lit(batches)).alias("batch")), "anchors")
-
-    path = store.fresh(spark, "index")
-    index = FingerprintIndex(spark, path, min(FANOUT, max(2, batches)))
-    hits = None
-    for b in range(batches):
-        seen = index.add(own.where(F.col("batch") == b).select("hash"))
-        hits = seen if hits is None else hits.unionByName(seen)
-    # Staged, so that below the join stands nothing but its own exchange, whose hot partitions can be split.
-    hits = store.stage(hits.distinct(), "hits")
-    touched = own.select("content", "_key", "n", "hash").join(hits, "hash", "left_semi")
-    touched = touched.groupBy("content", "_key").agg(F.max("n").alias("n"), F.collect_set("hash").alias("hits"))
-    texts = _rows(docs, text, key)
-    near = texts.withColumnRenamed("_key", "k").join(touched, F.col("k").eqNullSafe(F.col("_key"))).select("content", "n", "hits", "_text")
-    near = store.stage(near.mapInArrow(lean(_own_content), near.schema), "passages")
-
-    def windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def delete(self) -> None:
+        """Deletes the index."""
+        for name in self.runs():
+            self._forget(name)
+        store.drop(self.spark, self.path)
+
+
+def _passages(docs: DataFrame, touched: DataFrame, text: str, key: str) -> DataFrame:
+    """content, n, hits and _text of the touched (content, _key, sha, n, hits)."""
+    texts = _rows(docs, text, key).withColumnRenamed("_key", "k")
+    near = texts.join(touched, F.col("k").eqNullSafe(F.col("_key"))).select("content", "n", "hits", "_text", "sha")
+
+    def own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Another row may have the same key.
+        for batch in rows:
+            right = [sha is None or _sha(t or b"") == sha for t, sha in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(right, pa.bool_())).select([0, 1, 2, 3])
+
+    kind = near.schema["content"].dataType.simpleString()
+    return near.mapInArrow(lean(own), f"content {kind}, n long, hits array<long>, _text binary")
+
+
+def _windows(near: DataFrame, window: int, gram: int) -> DataFrame:
+    """content, start, h1, h2 (two hashes) and n (2 at most) of all windows at the hits of the passages."""
+    kind = near.schema["content"].dataType.simpleString()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for low, high, data, offsets in chunks(batch.column(3)):
                 words = Words(data, offsets)
                 starts, anchor, grams = window_anchors(words, window, gram)
                 wanted = batch.column(2).slice(low, high - low).flatten().to_numpy()
                 starts = starts[np.isin(grams[anchor].view(np.int64), wanted)]
-                first = words.grams(window)
-                words.hash = mix(words.hash, 11)
-                second = words.grams(window)
+                first, second = words.grams(window), combine(words.second(), window)
                 doc = words.word_doc()[starts]
-                content, n = (batch.column(i).slice(low, high - low).to_numpy() for i in (0, 1))
-                columns = [content[doc], (starts - words.first[doc]).astype(np.int32), first[starts].view(np.int64), second[starts].view(np.int64), np.minimum(n[doc], 2).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["content", "start", "h1", "h2", "n"])
+                n = batch.column(1).slice(low, high - low).to_numpy()
+                columns = [batch.column(0).slice(low, high - low).take(pa.array(doc)), *map(pa.array, [(starts - words.first[doc]).astype(np.int32), first[starts].view(np.int64), second[starts].view(np.int64), np.minimum(n[doc], 2).astype(np.int32)])]
+                yield pa.RecordBatch.from_arrays(columns, ["content", "start", "h1", "h2", "n"])
+
+    return near.mapInArrow(lean(run), f"content {kind}, start int, h1 long, h2 long, n int")
 
-    found = store.stage(near.mapInArrow(lean(windows), "content long, start int, h1 long, h2 long, n int"), "windows")
-    twice = found.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    twice = store.stage(twice, "twice")
-    repeated = found.where("n = 1").select("content", "start", "h1", "h2").join(twice, ["h1", "h2"], "left_semi")
-    cuts = repeated.groupBy("content").agg(F.collect_set("start").alias("starts"))
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(parts: DataFrame, window: int) -> DataFrame:
+    """content, n_removed and kept (bytes) of passages (content, _text, starts of their repeated windows)."""
+    kind = parts.schema["content"].dataType.simpleString()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             removed, kept = [], []
             starts = batch.column(2)
@@ -200,25 +225,85 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
                 kept.append(b" ".join(compress(words, keep.tolist())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["content", "n_removed", "kept"])
 
-    parts = near.where("n = 1").select("content", "_text").join(cuts, "content")
-    parts = parts.mapInArrow(lean(cut), "content long, n_removed long, kept binary")
+    return parts.mapInArrow(lean(run), f"content {kind}, n_removed long, kept binary")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """key, n_words, n_removed, kept_sha256 and kept_text (null where nothing is removed) of each document.
+
+    A word is removed if a window over it occurs anywhere else too.  Null text
+    has no words; documents of fewer words than a window lose nothing; rows
+    that repeat are occurrences like any other, so both lose all their windows;
+    other columns are dropped first.  Documents with equal words (by SHA-256)
+    have equal results, so one of each is worked on, counted twice.  A text is
+    hashed whole, however long it is.  The table is fed to a new index in
+    batches, as it would grow over time.
+    """
+    spark = docs.sparkSession
+    store.small_batches(spark)
+    scratch = store.Scratch(spark)
+    marks = scratch.stage(fingerprints(docs, text, key, window, gram), "fingerprints")
+    groups = marks.groupBy("sha").agg(F.count("*").alias("n"), F.min("_key").alias("rep")).withColumn("content", F.monotonically_increasing_id())
+    groups = scratch.stage(groups, "contents")
+    other = groups.select(F.col("sha").alias("s"), "rep", "content")
+    own = marks.where(F.size("anchors") > 0).join(other, (F.col("sha") == F.col("s")) & F.col("_key").eqNullSafe(F.col("rep")))
+    own = scratch.stage(own.select(F.col("content").alias("doc"), F.explode("anchors").alias("hash"), F.pmod(F.xxhash64("content"), F.lit(batches)).alias("batch")), "anchors")
+    marks, before = scratch.stage(marks.drop("anchors"), "marks"), marks
+    scratch.drop(before)
+
+    index = FingerprintIndex(spark, store.fresh(spark, "index"))
+    seen = [index.add(own.where(F.col("batch") == b).select("hash", "doc")) for b in range(batches)]
+    scratch.drop(own)
+    # Staged, so that below the join stands nothing but its own exchange, whose hot partitions can be split.
+    hits = scratch.stage(reduce(DataFrame.unionByName, seen).distinct(), "hits")
+    touched = index.postings(hits).groupBy(F.col("doc").alias("content")).agg(F.collect_set("hash").alias("hits"))
+    touched = touched.join(groups, "content").select("content", F.col("rep").alias("_key"), "sha", "n", "hits")
+    near = scratch.stage(_passages(docs, touched, text, key), "passages")
+    index.delete()
+    found = scratch.stage(_windows(near, window, gram), "windows")
+    twice = found.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
+    twice = scratch.stage(twice, "twice")
+    repeated = found.where("n = 1").select("content", "start", "h1", "h2").join(twice, ["h1", "h2"], "left_semi")
+    cuts = scratch.stage(repeated.groupBy("content").agg(F.collect_set("start").alias("starts")), "cuts")
+    scratch.drop(found, twice, hits)
+
+    parts = _cut(near.where("n = 1").select("content", "_text").join(cuts, "content"), window)
     # Contents that occur more than once are removed whole, without another look at the text.
-    parts = parts.unionByName(groups.where("n > 1").select("content", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept"))).withColumnRenamed("content", "c")
-    out = marks.select("_key", "n_words", "sha", "content").join(parts, F.col("content") == F.col("c"), "left")
-    whole = F.col("c").isNotNull() & F.col("n_removed").isNull() & (F.col("n_words") >= window)
-    out = out.select(
+    parts = parts.unionByName(groups.where("n > 1").select("content", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept")))
+    parts = groups.select(F.col("sha").alias("s"), "content").join(parts, "content")
+    out = marks.join(parts, F.col("sha") == F.col("s"), "left")
+    whole = F.col("s").isNotNull() & F.col("n_removed").isNull() & (F.col("n_words") >= window)
+    return out.select(
         F.col("_key").alias(key),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit(b""), 256)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
         F.when(whole, F.lit("")).otherwise(F.col("kept").cast("string")).alias("kept_text"),
     )
-    return out
 
 
-def _own_content(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the rows whose words are those of their content id: another row may have the same key."""
-    for batch in rows:
-        ids = [int.from_bytes(hashlib.sha256(b" ".join((t or b"").split())).digest()[:8], "little", signed=True) for t in batch.column(3).to_pylist()]
-        keep = np.array(ids, dtype=np.int64) == batch.column(0).to_numpy()
-        yield batch.filter(pa.array(keep))
+def deduplicate_batch(docs: DataFrame, index: FingerprintIndex, history: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """key, n_words, n_removed, kept_sha256 and kept_text of each document of a new batch; the index then has the batch too.
+
+    A word is removed if a window over it occurs elsewhere in the batch or in an
+    earlier one, whose documents history holds (empty for the first batch).
+    Keys are unique over all batches and not null.  Of history only documents
+    that share a fingerprint with the batch are read as texts.
+    """
+    store.small_batches(docs.sparkSession)
+    scratch = store.Scratch(docs.sparkSession)
+    marks = scratch.stage(fingerprints(docs, text, key, window, gram), "fingerprints")
+    seen = index.add(marks.select(F.explode("anchors").alias("hash"), F.col("_key").alias("doc")))
+    touched = index.postings(seen).groupBy(F.col("doc").alias("content")).agg(F.collect_set("hash").alias("hits"))
+    touched = scratch.stage(touched.select("content", F.col("content").alias("_key"), F.lit(None).cast("binary").alias("sha"), F.lit(1).cast("long").alias("n"), "hits"), "touched")
+    both = docs.select(key, text).unionByName(history.select(key, text))
+    near = scratch.stage(_passages(both, touched, text, key), "passages")
+    found = scratch.stage(_windows(near, window, gram), "windows")
+    twice = found.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
+    repeated = found.join(marks.select(F.col("_key").alias("content")), "content", "left_semi").join(twice, ["h1", "h2"], "left_semi")
+    cuts = repeated.groupBy("content").agg(F.collect_set("start").alias("starts"))
+    parts = scratch.stage(_cut(near.select("content", "_text").join(cuts, "content"), window), "cut")
+    scratch.drop(touched, near, found)
+    out = marks.join(parts, F.col("_key") == F.col("content"), "left")
+    kept = F.coalesce(F.sha2("kept", 256), F.lower(F.hex("sha")))
+    return out.select(F.col("_key").alias(key), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), kept.alias("kept_sha256"), F.col("kept").cast("string").alias("kept_text"))

@@ -48,9 +48,41 @@ def test_empty(spark):
 
 def test_index(spark):
     index = substrings.FingerprintIndex(spark, store.fresh(spark, "index-test"), fanout=2)
-    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "hash long")
+    frame = lambda xs: spark.createDataFrame([(x, 7) for x in xs], "hash long, doc long")
     assert {r.hash for r in index.add(frame([1, 2, 2, 3])).collect()} == {2}
     assert {r.hash for r in index.add(frame([3, 4])).collect()} == {3}
-    assert [n.split("-")[1] for n in index.runs()] == ["01"]
+    # Compaction waits until a batch reads the runs.
+    assert [n.split("-")[1] for n in index.runs()] == ["00", "00"]
+    # Another session's index over the same folder goes on from there.
+    index.close()
+    index = substrings.FingerprintIndex(spark, index.path, fanout=2)
     assert {r.hash for r in index.add(frame([4, 9, 1])).collect()} == {4, 1}
-    assert {r.hash: r.n for r in index._read(index.runs()[:1]).collect()}[1] == 1
+    assert [n.split("-")[1] for n in index.runs()] == ["00", "01"]
+    new, old = (index.read(n) for n in index.runs())
+    assert sorted(r.hash for r in old.collect()) == [1, 2, 2, 3, 3, 4]
+    plan = new.select("hash").hint("merge").join(old.select("hash"), "hash", "left_semi")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.delete()
+    assert index.runs() == []
+
+
+def test_batches(spark):
+    """A batch after the other against brute force: what a batch loses lies in it or in those before."""
+    rng, window = random.Random(5), 5
+    texts = [" ".join(rng.choice("ab c d é".split(" ")) for _ in range(rng.randint(0, 14))) for _ in range(45)]
+    index = substrings.FingerprintIndex(spark, store.fresh(spark, "index-test"), fanout=2)
+    frame = lambda low, high: spark.createDataFrame(list(enumerate(texts[low:high], low)), "doc_id long, text string")
+    for low in (0, 15, 30):
+        got = substrings.deduplicate_batch(frame(low, low + 15), index, frame(0, low) if low else frame(0, 1).where("false"), window=window, gram=3).collect()
+        want = plain(texts[: low + 15], window)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == dict(enumerate(want[low:], low))
+    index.delete()
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Documents that differ in one word whose letters polynomial sums can't tell apart."""
+    swapped = lambda n, a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    rest = " ".join(f"w{i}" for i in range(20))
+    texts = [f"{rest} {swapped(n, *ab)} {' '.join(f'{n}v{i}' for i in range(14))}" for n in (1024, 4096) for ab in ("ab", "ba")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in substrings.deduplicate(rows).collect()} == {0}
