@@ -90,3 +90,28 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_words_that_polynomials_confuse(spark):
+    swapped = lambda n, a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    rows = [(10 * n + i, f"A {swapped(n, *ab)} z") for n in (1024, 2048, 4096) for i, ab in enumerate(("ab", "ba"))]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {d: d for d, _ in rows}
+
+
+def test_blocks(spark, monkeypatch):
+    """Groups of frequent tokens dealt in blocks: large groups of near copies, and texts of frequent words."""
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 4)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 12])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
+        rows.append((n, " ".join(copy)))
+    rows += [(500 + n, " ".join(rng.choice("abc") for _ in range(rng.randint(3, 14)))) for n in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, percent in ((3, 90), (2, 60)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, k, percent).collect()}
+        assert got == plain(rows, k, percent), (k, percent)
