@@ -9,8 +9,9 @@ its rarest ones must stand close together.  Candidates are verified word by
 word: the longest common subsequence with the item must cover most of it, or
 less if the item's answer stands there too, as in a paraphrase.
 
-The benchmark is the query set; it is taken in blocks of a fixed number of items
-so that what is broadcast stays bounded whatever its size.
+The benchmark is the query set; it is taken in blocks of a fixed number of items,
+a few blocks to a pass over the documents, so that what is broadcast stays
+bounded whatever its size.  The words of all blocks are counted in one pass.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ HALF = 32
 RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 #: Items of one block of the benchmark.
 BLOCK_ITEMS = 1024
+#: Blocks that are searched in one pass over the documents, and words that are counted in one.
+PASS_BLOCKS, PASS_TERMS = 4, 1 << 22
 COSINE = 0.45
 #: Share of an item's words in the common subsequence, without and with its answer beside it.
 SURE, WITH_ANSWER = 0.8, 0.6
-#: Items of fewer words than this match only whole.
+#: Items of fewer words than this match only as a run of words without gaps.
 SHORT_ITEM = 8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -80,16 +83,24 @@ class Item:
         share = WITH_ANSWER if self.answer else SURE
         return next(c for c in range(int(share * n), n + 1) if c / n >= share)
 
-    def matches(self, region: list[int]) -> tuple[bool, float, bool]:
+    def stands(self, region: np.ndarray) -> bool:
+        """Whether the item's words follow each other somewhere in the region."""
+        places = len(region) - len(self.words) + 1
+        hit = np.ones(max(0, places), dtype=bool)
+        for k, w in enumerate(self.words):
+            hit &= region[k : k + len(hit)] == w
+        return bool(hit.any())
+
+    def matches(self, region: np.ndarray, own: np.ndarray) -> tuple[bool, float, bool]:
         """(whether the region leaks the item, share of its words in common, whether its answer is there).
 
-        The region's words that the item lacks may be left out; they are in no common subsequence.
+        own marks the region's words that the item has; the others are in no common subsequence.
         """
-        n = len(self.words)
-        share, there = self.common(region) / n, set(region)
+        n, words = len(self.words), region[own].tolist()
+        share, there = self.common(words) / n, set(words)
         answer = bool(self.answer) and self.answer <= there and self.numbers <= there
         if n < SHORT_ITEM:
-            return share == 1, share, answer
+            return self.stands(region), share, answer
         return share >= SURE or (share >= WITH_ANSWER and answer), share, answer
 
 
@@ -183,31 +194,57 @@ def randomised_svd(rows: DataFrame, columns: int, rank: int = RANK, steps: int =
     return (before @ vectors[:, best])[:, values[best] > 1e-9]
 
 
-def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank: int = RANK, block: int = BLOCK_ITEMS) -> Iterator[Space]:
-    """A latent space for each block of the benchmark; null texts and texts without words are no items."""
-    n = benchmark.count()
-    blocks = max(1, -(-n // block))
-    numbered = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
+def _terms(benchmark: DataFrame) -> np.ndarray:
+    """The distinct words of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_words(data, offsets).hash).view(np.int64))], ["term"])
+
+    found = benchmark.select(F.col("text").cast("binary")).mapInArrow(lean(run), "term long").distinct().toArrow()
+    return np.sort(found["term"].to_numpy().view(np.uint64))
+
+
+def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank: int = RANK, block: int = BLOCK_ITEMS) -> Iterator[list[Space]]:
+    """A latent space for each block of the benchmark, a few at a time; null texts and texts without words are no items."""
+    benchmark = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    blocks = max(1, -(-benchmark.count() // block))
+    terms = _terms(benchmark)
+    df, total = np.zeros(len(terms), dtype=np.int64), 0
+    for low in range(0, len(terms), PASS_TERMS):
+        total, df[low : low + PASS_TERMS] = document_frequencies(docs, terms[low : low + PASS_TERMS], text)
+    numbered = benchmark.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    group: list[Space] = []
     for b in range(blocks):
-        found = [Item(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == b).where(F.col("text").isNotNull()).collect()]
+        found = [Item(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == b).collect()]
         items = sorted((i for i in found if len(i.words)), key=lambda i: (i.item_id is None, i.item_id or 0))
-        if not items:
-            continue
-        terms = np.unique(np.concatenate([i.words for i in items]))
-        total, df = document_frequencies(docs, terms, text)
-        idf = np.log((1 + total) / (1 + df)) + 1e-3
-        rows, owner = [], []
-        for k, item in enumerate(items):
-            for part in item_passages(item.words):
-                at, count = np.unique(np.searchsorted(terms, part), return_counts=True)
-                weight = count * idf[at]
-                rows.append((at.tolist(), (weight / np.linalg.norm(weight)).tolist()))
-                owner.append(k)
-        table = docs.sparkSession.createDataFrame(rows, "at array<int>, weight array<double>").repartition(8)
-        space = randomised_svd(table, len(terms), rank)
-        passages = np.stack([np.array(w) @ space[at] for at, w in rows])
-        passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
-        yield Space(items, SortedKeys(terms, np.arange(len(terms))), (idf[:, None] * space).astype(np.float32), passages.astype(np.float32), np.array(owner), df)
+        # Blocks are dealt by a hash, so one may have some more items; it is cut then.
+        for low in range(0, len(items), block):
+            group.append(_space(docs, items[low : low + block], terms, df, total, rank))
+            if len(group) == PASS_BLOCKS:
+                yield group
+                group = []
+    if group:
+        yield group
+
+
+def _space(docs: DataFrame, items: list[Item], every: np.ndarray, frequency: np.ndarray, total: int, rank: int) -> Space:
+    terms = np.unique(np.concatenate([i.words for i in items]))
+    df = frequency[np.searchsorted(every, terms)]
+    idf = np.log((1 + total) / (1 + df)) + 1e-3
+    rows, owner = [], []
+    for k, item in enumerate(items):
+        for part in item_passages(item.words):
+            at, count = np.unique(np.searchsorted(terms, part), return_counts=True)
+            weight = count * idf[at]
+            rows.append((at.tolist(), (weight / np.linalg.norm(weight)).tolist()))
+            owner.append(k)
+    table = docs.sparkSession.createDataFrame(rows, "at array<int>, weight array<double>").repartition(8)
+    space = randomised_svd(table, len(terms), rank)
+    passages = np.stack([np.array(w) @ space[at] for at, w in rows])
+    passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
+    return Space(items, SortedKeys(terms, np.arange(len(terms))), (idf[:, None] * space).astype(np.float32), passages.astype(np.float32), np.array(owner), df)
 
 
 def _rare(space: Space, words: Words, column: np.ndarray, doc: np.ndarray, first_half: np.ndarray) -> np.ndarray:
@@ -266,7 +303,7 @@ def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float)
         own = space.has[k][column[low:high]]
         if np.count_nonzero(own) < space.least[k]:
             continue
-        leak, share, answer = item.matches(words.hash[low:high][own].tolist())
+        leak, share, answer = item.matches(words.hash[low:high], own)
         if leak:
             near = float(close[h, space.owner == k].max())
             if (share, near) > best.get((d, k), (0.0, -1.0))[1::-1]:
@@ -278,23 +315,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     """key, item_id, cosine, lcs_share and answer_found of every pair of a document and an item that it leaks.
 
     Null and empty texts leak nothing; rows that repeat are searched one by
-    one; other columns are dropped first; an empty benchmark gives no rows.
+    one; other columns are dropped first; an empty benchmark gives no rows, and
+    neither does an empty table.  Items that repeat (equal id and text) count
+    once.  A very long text is searched whole, by itself.
     """
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("binary").alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     schema = f"_key {kind}, item_id long, cosine double, lcs_share double, answer_found boolean"
     out = None
-    for space in spaces(docs, benchmark, text, rank):
-        shared = docs.sparkSession.sparkContext.broadcast(space)
+    for group in spaces(docs, benchmark, text, rank):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            space = shared.value
             for batch in batches:
                 for low, high, data, offsets in chunks(batch.column(1)):
-                    if found := _search(space, data, offsets, cosine):
-                        own = batch.column(0).slice(low, high - low).take(pa.array([f[0] for f in found]))
-                        rest = [pa.array([space.items[f[1]].item_id for f in found], pa.int64()), *(pa.array([f[i] for f in found], t) for i, t in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_())))]
-                        yield pa.RecordBatch.from_arrays([own, *rest], ["_key", "item_id", "cosine", "lcs_share", "answer_found"])
+                    for space in shared.value:
+                        if found := _search(space, data, offsets, cosine):
+                            own = batch.column(0).slice(low, high - low).take(pa.array([f[0] for f in found]))
+                            rest = [pa.array([space.items[f[1]].item_id for f in found], pa.int64()), *(pa.array([f[i] for f in found], t) for i, t in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_())))]
+                            yield pa.RecordBatch.from_arrays([own, *rest], ["_key", "item_id", "cosine", "lcs_share", "answer_found"])
 
         part = rows.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
@@ -303,18 +342,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
-    """The documents that leak no item, with all their columns; rows are judged by their own text."""
+    """The documents that leak no item, with all their columns; rows are judged by their own text.
+
+    Null and empty texts leak nothing and stay; rows that repeat are judged one
+    by one; with an empty benchmark all rows stay.
+    """
     names, schema = docs.columns, docs.schema
     out = docs
-    for space in spaces(docs, benchmark, text, rank):
-        shared = docs.sparkSession.sparkContext.broadcast(space)
+    for group in spaces(docs, benchmark, text, rank):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 column = batch.column(names.index(text)).cast(pa.binary())
                 for low, _, data, offsets in chunks(column):
-                    keep[[low + f[0] for f in _search(shared.value, data, offsets, cosine)]] = False
+                    for space in shared.value:
+                        keep[[low + f[0] for f in _search(space, data, offsets, cosine)]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(lean(run), schema)

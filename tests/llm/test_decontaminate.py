@@ -91,3 +91,51 @@ def test_leaks_without_any_cosine(spark):
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
     found = lambda cosine: {(r.doc_id, r.item_id, r.lcs_share) for r in dec.leaks(docs, bench, cosine=cosine).collect()}
     assert found(-1.0) == found(2.0) != set()
+
+
+def brute(text, items):
+    """The items that a text leaks, by the plain subsequence of every region with every item."""
+    words, out = dec._hashes(text or "").tolist(), set()
+    for item in items:
+        own, n = item.words.tolist(), len(item.words)
+        for start in range(0, len(words), dec.HALF):
+            region = words[max(0, start - n) : start + 2 * dec.HALF + n]
+            if n < dec.SHORT_ITEM:
+                leak = any(region[i : i + n] == own for i in range(len(region)))
+            else:
+                share = lcs(own, [w for w in region if w in item.places]) / n if sum(w in item.places for w in region) >= dec.WITH_ANSWER * n else 0
+                leak = share >= dec.SURE or share >= dec.WITH_ANSWER and bool(item.answer) and item.answer | item.numbers <= set(region)
+            if leak:
+                out.add(item.item_id)
+                break
+    return out
+
+
+def test_recall_against_every_subsequence(spark, monkeypatch):
+    """More passages than factors, edited copies of all sizes, answers, short items; several blocks in one pass."""
+    monkeypatch.setattr(dec, "BLOCK_ITEMS", 100)
+    rng = random.Random(31)
+    words = [f"word{i}" for i in range(900)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [" ".join(prose(rng.randint(8, 70))) + (f". Answer: {rng.randrange(90)} apples" if i % 3 == 0 else "") for i in range(240)]
+    texts += [" ".join(prose(n)) for n in (1, 2, 3, 5, 7)]
+    docs = []
+    for i in range(0, len(texts), 4):
+        edited = [w if rng.random() > rng.choice([0, 0.1, 0.2, 0.35, 0.45]) else rng.choice(words) for w in texts[i].split()]
+        docs.append((i, " ".join(prose(rng.randint(0, 150)) + edited + prose(rng.randint(0, 150)))))
+    docs += [(1000, " ".join(prose(1)).join(texts[-1].split())), (1001, texts[-2]), (1002, None), (1003, "")]
+    items = [dec.Item(i, t) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "item_id long, text string")
+    want = {(d, i) for d, t in docs for i in brute(t, items)}
+    got = {(r.doc_id, r.item_id) for r in dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, rank=40).collect()}
+    assert got <= want and len(want) > 30 and len(got) >= 0.98 * len(want)
+
+
+def test_query_against_every_subsequence(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [dec.Item(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    near = {w for i in items for w in i.words.tolist()}
+    docs = [(d, t) for d, t in docs if len(near & set(dec._hashes(t or "").tolist())) > 3]
+    want = {(d, i) for d, t in docs[:80] for i in brute(t, items)}
+    got = {(r.doc_id, r.item_id) for r in op7_decontamination(spark, sf).collect()}
+    assert {g for g in got if g[0] in dict(docs[:80])} == want
