@@ -16,7 +16,6 @@ AUTHORITY_BY_TYPE = {
 }
 AUTHORITY_BOOSTS = {1: 1.35, 2: 1.30, 3: 1.25, 4: 1.15, 5: 1.05, 6: 1.00, 7: 0.95, 8: 0.90, 9: 0.80}
 SOURCE_HINTS = (("SUPREME", 3), ("COURT_OF_APPEAL", 4), ("ACT", 2), ("GAZETTE", 5), ("HANSARD", 6))
-AUTHORITY_LABELS = {"primary": 1, "statute": 2, "case_law": 3, "secondary": 6}
 
 
 def _cases(tests: list[tuple[Column, object]], default: object) -> Column:
@@ -122,15 +121,47 @@ def searchability(language: Column, assets: Column, pages: Column, text_pages: C
     )
 
 
+# How acts, provisions and case names are written, and what ends a list of provisions.
 ACT_RE = r"(?i)\b(?:act\s*,?\s*)?no\.?\s*([0-9]+[a-z]?)\s+of\s+(\d{4})\b"
-PROVISION_RE = r"(?i)\b(?:sections?|sec\.?|s\.|articles?|art\.?)\s+([0-9]+[a-z]?(?:\s*\(\s*[a-z0-9]+\s*\))*)"
-CASE_RE = r"\b([A-Z][A-Za-z0-9 .&'’/-]{1,80}?)\s+(?:v\.?|vs\.?|versus)\s+([A-Z][A-Za-z0-9 .&'’/-]{1,80}?)(?=$|[,.;:\n])"
+PROVISION_RE = r"(?i)\b(section|sections|sec\.?|s\.|article|articles|art\.?)\s+"
+LABEL_RE = r"(?i)[0-9]+[a-z]?(?:\s*\(\s*[a-z0-9]+\s*\))*"
+STOP_RE = r"(?i)\b(of|under|from|in|by|for|regarding|concerning|where|which|that|shall|is|are)\b|[.;:\n]"
+CASE_RE = r"(?i)\b([A-Z][A-Za-z0-9 .&'’/-]{1,80}?)\s+(?:v\.?|vs\.?|versus)\s+([A-Z][A-Za-z0-9 .&'’/-]{1,80}?)(?=$|[,.;:\n])"
+PARTY_LEAD_RE = r"(?i)^(find|search for|locate|case of|judgment in)\s+"
+SEGMENT_CHARS = 120
+
+
+def act_label(number: Column) -> Column:
+    """An act's number: letters and digits, upper case."""
+    return F.upper(F.regexp_replace(number, "[^0-9A-Za-z]", ""))
+
+
+def provision_label(label: Column) -> Column:
+    """A provision's label without blanks, lower case."""
+    return F.lower(F.regexp_replace(label, r"\s+", ""))
+
+
+def party_name(name: Column) -> Column:
+    """A party without marks around it, double blanks and words that lead up to it."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(name, r"^[ ,.;:\n\t]+|[ ,.;:\n\t]+$", ""), r"\s+", " ")), PARTY_LEAD_RE, "")
 
 
 def citation_signals(text: Column) -> Column:
-    """Acts (number/year), provisions and case names that a text cites."""
-    both = lambda re: F.zip_with(F.regexp_extract_all(text, F.lit(re), F.lit(1)), F.regexp_extract_all(text, F.lit(re), F.lit(2)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    acts = F.transform(both(ACT_RE), lambda x: F.concat_ws("/", F.lower(x["a"]), x["b"]))
-    provisions = F.transform(F.regexp_extract_all(text, F.lit(PROVISION_RE), F.lit(1)), lambda x: F.lower(F.regexp_replace(x, r"\s+", "")))
-    cases = F.transform(both(CASE_RE), lambda x: F.concat(F.trim(x["a"]), F.lit(" v "), F.trim(x["b"])))
-    return F.struct(F.array_distinct(acts).alias("acts"), F.array_distinct(provisions).alias("provisions"), F.array_distinct(cases).alias("cases"))
+    """Acts (NUMBER/year), provisions (kind label; all of a list) and case names that a text cites, each once."""
+    groups = lambda re, i: F.regexp_extract_all(text, F.lit(re), F.lit(i))
+    acts = F.zip_with(groups(ACT_RE, 1), groups(ACT_RE, 2), lambda a, b: F.concat_ws("/", act_label(a), b))
+    # What follows an indicator is looked at without being passed over, as the next indicator may stand in it.
+    ahead = PROVISION_RE + r"(?=([\s\S]{0,%d}))" % SEGMENT_CHARS
+
+    def labels(kind: Column, segment: Column) -> Column:
+        stop = F.regexp_instr(segment, F.lit(STOP_RE))
+        cut = F.when(stop > 1, F.substring(segment, F.lit(1), stop - 1)).otherwise(segment)
+        found = F.regexp_extract_all(cut, F.lit(LABEL_RE), F.lit(0))
+        return F.transform(found, lambda x: F.concat_ws(" ", F.lower(F.regexp_replace(kind, r"\.+$", "")), provision_label(x)))
+
+    provisions = F.flatten(F.zip_with(groups(ahead, 1), groups(ahead, 2), labels))
+    names = F.zip_with(groups(CASE_RE, 1), groups(CASE_RE, 2), lambda a, b: F.struct(party_name(a).alias("a"), party_name(b).alias("b")))
+    names = F.transform(F.filter(names, lambda x: (x["a"] != "") & (x["b"] != "")), lambda x: F.concat(x["a"], F.lit(" v "), x["b"]))
+    low = F.transform(names, lambda x: F.lower(x))
+    cases = F.filter(names, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return F.struct(F.array_distinct(acts).alias("acts"), F.array_distinct(provisions).alias("provisions"), cases.alias("cases"))

@@ -57,23 +57,42 @@ def reliability_tier(source_id: Column, url: Column) -> Column:
     return F.when(begins(OFFICIAL), "official").when(begins(COURTS), "court_or_tribunal").when(hosted, "official").when(begins(LICENSED), "licensed_publisher").when(begins(SECONDARY), "secondary").otherwise("unverified")
 
 
-def category(source_id: Column, document_type: Column) -> Column:
-    """The corpus category of a document, the first rule that holds."""
-    rules = (
-        (source_id == "GOV_GAZETTES", "01_ordinary_gazettes"),
-        (source_id == "GOV_EXTRA_GAZETTES", "02_extraordinary_gazettes"),
-        (source_id == "PARL_GOV_BILLS", "04_government_bills"),
-        (document_type.contains("Supreme Court"), "05_supreme_court"),
-        (document_type.contains("Court of Appeal"), "06_court_of_appeal"),
-        (source_id.startswith("PARL_HANSARD"), "07_hansard"),
-        (document_type == "Law Report", "09_law_reports"),
-        (document_type == "Provincial Statute", "13_provincial_subnational_law"),
-        (source_id == "CBSL_RULES_DIRECTIONS", "14_administrative_practice_materials"),
-        (document_type.isin("Act", "Constitution", "Consolidated Act"), "03_legislation_acts_constitution"),
-        (document_type.contains("Parliament"), "08_parliament_business_records"),
-        (source_id == "LANKALAW_NET", "15_lankalaw_library"),
-    )
-    return reduce(lambda out, r: F.when(r[0], r[1]).otherwise(out), reversed(rules), F.lit("99_other"))
+# Types and sources of the categories.
+LEGISLATION_TYPES = ("Act", "Acts and Ordinances", "Consolidated Act", "Constitution", "Core Legislation", "Legislation", "Legislative Enactments")
+LAW_REPORT_TYPES = ("Ceylon Law Recorder", "Ceylon Law Reports", "Lanka Law Reporter", "New Law Report", "Sri Lanka Law Report")
+PARLIAMENT_SOURCES = (
+    "PARL_ADDENDUMS", "PARL_COMMITTEE_REPORTS", "PARL_CONSULTATIVE_MONTHLY_REPORTS", "PARL_MINISTERIAL_CONSULTATIVE_REPORTS", "PARL_MINUTES", "PARL_ORDER_BOOKS",
+    "PARL_ORDER_OF_BUSINESS", "PARL_ORDER_PAPERS", "PARL_PAPERS_PRESENTED", "PARL_PROGRESS_REPORTS", "PARL_SPEAKER_PAPERS",
+)
+#: Fixed values: (category, sources, types, part of the type) in the order in which they are tried.
+CATEGORIES = (
+    ("01_ordinary_gazettes", ("GOV_GAZETTES",), (), None),
+    ("02_extraordinary_gazettes", ("GOV_EXTRA_GAZETTES",), (), None),
+    ("04_government_bills", ("PARL_GOV_BILLS",), (), None),
+    ("05_supreme_court", ("SC_OFFICIAL", "PARL_SC_DECISIONS_ON_BILLS"), (), "Supreme Court"),
+    ("06_court_of_appeal", ("CA_OFFICIAL",), (), "Court of Appeal"),
+    ("07_hansard", "PARL_HANSARD", (), None),
+    ("09_law_reports", (), LAW_REPORT_TYPES, None),
+    ("13_provincial_subnational_law", ("UVA_HEALTH_STATUTES",), ("Provincial Statute",), None),
+    ("uva", ("UVA_PSC_LEGAL_PROVISIONS",), (), None),
+    ("14_administrative_practice_materials", ("CBSL_RULES_DIRECTIONS",), (), None),
+    ("03_legislation_acts_constitution", ("PARL_ACTS",), LEGISLATION_TYPES, None),
+    ("08_parliament_business_records", PARLIAMENT_SOURCES, (), None),
+    ("15_lankalaw_library", ("LANKALAW_NET",), (), None),
+)
+
+
+def category(source_id: Column, document_type: Column, title: Column | None = None) -> Column:
+    """The corpus category of a document, the first of CATEGORIES that holds; one source is told apart by type and title."""
+    kind, title = F.coalesce(document_type, F.lit("")), F.lit("") if title is None else F.coalesce(title, F.lit(""))
+    mixed = F.when(kind.contains("Constitution"), "03_legislation_acts_constitution").when(kind.contains("Provincial") | title.contains("Provincial"), "13_provincial_subnational_law").otherwise("14_administrative_practice_materials")
+    out = F.lit("99_other")
+    for name, sources, types, part in reversed(CATEGORIES):
+        test = source_id.startswith(sources) if isinstance(sources, str) else source_id.isin(*sources)
+        test = test | kind.isin(*types) if types else test
+        test = test | kind.contains(part) if part else test
+        out = F.when(F.coalesce(test, F.lit(False)), mixed if name == "uva" else F.lit(name)).otherwise(out)
+    return out
 
 
 def page_flags(text: Column, error: Column, method: Column, confidence: Column) -> Column:
@@ -101,10 +120,10 @@ def sync_status(asset: Column, n_text_pages: Column, old_hash: Column, new_hash:
     return F.when(asset.isNull(), "missing_source_asset").when(n_text_pages == 0, "no_page_text").when(F.coalesce(old_hash == new_hash, F.lit(False)), "skipped_current").otherwise("synced")
 
 
-#: Signals of an intake text, as (code, pattern).
+#: Signals of an intake text, as (code, pattern).
 INTAKE = (
     ("dates", r"(?i)\b(?:19|20)\d{2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"),
-    ("client_position", r"(?i)\b(?:we act for|acting for|client is|our client|claimant|plaintiff|petitioner|appellant|respondent|defendant|accused|employer|employee|union)\b"),
+    ("client_position", r"(?i)\b(?:we act for|acting for|client is|our client|claimant|plaintiff|petitioner|appellant|respondent|defendant|accused|right[- ]holder|employer|employee|union)\b"),
     ("parties", r"(?i)\b(?:v\.| vs | versus |appellant|respondent|plaintiff|defendant|petitioner|company|limited|pvt|ltd)\b"),
     ("case_number", r"(?i)\b(?:sc|ca|hc|dc|mc|lt)\s*(?:appeal|application|case|writ)?\s*no\.?\b"),
 )

@@ -43,7 +43,10 @@ def bm25_tokens(text: Column) -> Column:
 
 
 #: Words that carry no meaning in a query.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "had", "not", "but", "any", "all")
+STOP_WORDS = (
+    "and", "the", "for", "with", "from", "that", "this", "into", "under", "about", "after", "before", "between", "where", "which", "says", "wants", "case", "legal", "sri", "lanka", "ceylon",
+    "act", "acts", "law", "laws", "section", "article", "ordinance",
+)
 
 
 def query_tokens(text: Column) -> Column:
@@ -60,19 +63,30 @@ def terms(text: Column) -> Column:
 def important_phrases(text: Column) -> Column:
     """Quoted strings of 4 to 80 characters, then runs of 2 to 6 capitalised words; 16 at most."""
     quoted = F.regexp_extract_all(text, F.lit('"([^"]{4,80})"'), F.lit(1))
-    names = F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,5})\b"), F.lit(1))
+    names = F.regexp_extract_all(text, F.lit(r"\b((?:[A-Z][A-Za-z]+(?:\s+|$)){2,6})"), F.lit(1))
     clean = F.transform(F.concat(quoted, names), lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
     return F.slice(F.array_distinct(F.filter(clean, lambda x: F.length(x) >= 5)), 1, 16)
 
 
 def excerpt(text: Column, wanted: list[str], radius: int = 420) -> Column:
-    """The text around the first of the wanted words, with dots where it is cut."""
-    low = F.lower(text)
-    places = F.filter(F.array(*[F.locate(w, low) for w in wanted]), lambda p: p > 0)
-    at = F.coalesce(F.array_min(places), F.lit(1))
-    start = F.greatest(F.lit(1), at - radius)
-    end = F.least(F.length(text), at + radius)
-    return F.concat(F.when(start > 1, F.lit("...")).otherwise(""), F.trim(F.substring(text, start, end - start + 1)), F.when(end < F.length(text), F.lit("...")).otherwise(""))
+    """The text on one line around the first of the wanted words, with dots where it is cut; its head if none is there."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    low, n = F.lower(flat), F.length(flat)
+    at = F.array_min(F.filter(F.array(*[F.locate(w, low) for w in wanted]), lambda p: p > 0))
+    start, end = F.greatest(F.lit(1), at - radius), F.least(n, at - 1 + radius)
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.trim(F.substring(flat, start, end - start + 1)), F.when(end < n, "...").otherwise(""))
+    return F.when(at.isNull(), F.trim(F.substring(flat, 1, 2 * radius))).otherwise(cut)
+
+
+def extractive_summary(text: Column, wanted: list[str], most: int) -> Column:
+    """The text on one line if it is short enough, else what stands around the first of the wanted words, else its head."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.when(any_word(F.lower(flat), wanted), excerpt(flat, wanted, max(120, most // 2))).otherwise(F.rtrim(F.substring(flat, 1, most))))
+
+
+def any_word(low: Column, wanted: list[str]) -> Column:
+    """Whether any of the words stands in a lower-case text."""
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in wanted], F.lit(False))
 
 
 def trigrams(text: Column) -> Column:

@@ -36,6 +36,15 @@ def hint_multiplier(title: Column, hints: list[str]) -> Column:
     return F.when(reduce(lambda a, b: a | b, [low.contains(h.lower()) for h in specific]), MATCHED).otherwise(UNMATCHED)
 
 
+def source_quality(document_type: Column, origin: Column, review: Column, flags: Column) -> Column:
+    """The factor of a document's type, of a translated or unreviewed text and of its quality flags."""
+    kind = F.when(document_type.isin("Constitution", "Core Legislation", "Act"), 1.15).when(document_type.contains("Judgment"), 1.12).when(document_type.contains("Gazette"), 1.04).when(document_type.contains("Parliament Paper"), 0.86).otherwise(1.0)
+    open_review = ~F.coalesce(review, F.lit("")).isin("", "not_applicable", "reviewed")
+    low = F.arrays_overlap(flags, F.array(F.lit("low_confidence_ocr"), F.lit("low_ocr_confidence")))
+    factors = ((origin == "translated", 0.82), (open_review, 0.86), (low, 0.75), (F.array_contains(flags, "machine_translation_unreviewed"), 0.80))
+    return reduce(lambda out, f: out * F.when(f[0], f[1]).otherwise(1.0), factors, kind)
+
+
 def candidate_filter(docs: DataFrame, summary_type: str, language: str | None = None, document_types: tuple[str, ...] = ()) -> DataFrame:
     """Rows of downloaded documents with text and a summary of the type; a language counts where the document, its summary or its text has it."""
     out = docs.where((F.col("summary_type") == summary_type) & (F.col("acquisition_status") == "downloaded") & F.col("text").isNotNull() & (F.col("char_count") > 0))
@@ -55,7 +64,7 @@ def title_expansion(docs: DataFrame, query: str, limit: int = 1500) -> DataFrame
     named = docs.where(reduce(lambda a, b: a | b, [low.contains(h.lower()) for h in hints]))
     prefixes = query_prefixes(query)
     tokens = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    score = 0.6 + tx.or_rank(tokens(F.substring("text", 1, 1200)), prefixes) + 3.5 * tx.or_rank(tokens(F.col("title")), prefixes) + 2.0 * tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(query)))
+    score = 0.6 + tx.or_rank(tokens(tx.spread_summary(F.col("text"))), prefixes) + 3.5 * tx.or_rank(tokens(F.col("title")), prefixes) + 2.0 * tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(query)))
     return named.select("document_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "document_id").limit(limit)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvex.functions import classify, text as tx
+from corvex.functions import classify, rules, text as tx
 from corvex.operators import relational as rel
 from corvex.sources.tables import corpus, pages, table
 
@@ -25,14 +25,17 @@ def searchability_audit(spark: SparkSession, folder: str) -> DataFrame:
     # Spanish stands in for a language that must be translated.
     language = F.when(F.col("language") == "es", "tamil").otherwise(F.col("language"))
     out = rows.select("document_id", classify.searchability(language, *map(F.col, ("assets", "pages", "text_pages", "versions", "english", "chunks"))).alias("c"), F.coalesce("assets", F.lit(0)).alias("original_asset_count"))
-    return out.select("document_id", "c.*", "original_asset_count")
+    plan = rules.recovery_plan(F.when(F.col("language") == "es", "tamil").otherwise(F.col("language")), F.col("c.classification"))
+    return out.join(docs.select("document_id", "language"), "document_id").select("document_id", "c.*", "original_asset_count", plan["next_action"].alias("next_action"), plan["language_plan"].alias("language_plan"))
 
 
 AUDIT_SQL = """WITH a AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1), v AS (SELECT doc_id, count(*) AS n, count(*) FILTER (toxic = 0) AS e FROM labels WHERE quality = 1 GROUP BY 1),
 d AS (SELECT doc_id, lang, length(text) AS n FROM documents),
 j AS (SELECT d.*, coalesce(a.n, 0) AS assets, ceil(d.n / 2000) AS pages, (d.n > 200)::INT AS tp, coalesce(v.n, 0) AS versions, coalesce(v.e, 0) AS english, (doc_id % 5 <> 0)::INT AS chunks FROM d LEFT JOIN a USING (doc_id) LEFT JOIN v USING (doc_id)),
 c AS (SELECT *, CASE WHEN assets = 0 THEN 'needs_original_asset' WHEN pages = 0 THEN 'needs_page_extraction' WHEN tp = 0 THEN 'needs_ocr_or_text_recovery' WHEN versions = 0 THEN 'needs_text_version' WHEN lang = 'es' AND english = 0 THEN 'needs_translation_fallback' WHEN chunks = 0 THEN 'needs_chunk_indexing' ELSE 'fully_searchable' END AS k FROM j)
-SELECT 'doc_' || doc_id AS document_id, k AS classification, CASE k WHEN 'needs_original_asset' THEN 'critical' WHEN 'needs_page_extraction' THEN 'high' WHEN 'needs_ocr_or_text_recovery' THEN 'high' WHEN 'needs_text_version' THEN 'high' WHEN 'fully_searchable' THEN 'none' ELSE 'normal' END AS recovery_priority, assets::BIGINT AS original_asset_count FROM c"""
+SELECT 'doc_' || doc_id AS document_id, k AS classification, CASE k WHEN 'needs_original_asset' THEN 'critical' WHEN 'needs_page_extraction' THEN 'high' WHEN 'needs_ocr_or_text_recovery' THEN 'high' WHEN 'needs_text_version' THEN 'high' WHEN 'fully_searchable' THEN 'none' ELSE 'normal' END AS recovery_priority, assets::BIGINT AS original_asset_count,
+ CASE k WHEN 'needs_original_asset' THEN 'sync_original' WHEN 'needs_page_extraction' THEN 'extract_pages' WHEN 'needs_ocr_or_text_recovery' THEN 'run_ocr' WHEN 'needs_text_version' THEN 'build_text_version' WHEN 'needs_translation_fallback' THEN 'translate' WHEN 'needs_chunk_indexing' THEN 'build_chunks' ELSE 'none' END AS next_action,
+ CASE WHEN lang = 'es' THEN 'label_translation' WHEN coalesce(lang, '') NOT IN ('en', 'english', '') THEN 'detect_language' ELSE 'use_original' END AS language_plan FROM c"""
 
 
 def searchability_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,10 +288,10 @@ def event_json_extract(spark: SparkSession, folder: str) -> DataFrame:
     """A JSON field, a rebuilt object and its hash, by value of the field."""
     rows = table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type")
     made = F.to_json(F.struct(F.col("event_type").alias("a"), F.col("k").alias("k")), {"ignoreNullFields": "false"})
-    return rows.where("k % 7 = 3").select("event_id", "k", made.alias("object"), F.sha2(made, 256).alias("hash"))
+    return rows.select("event_id", "k", made.alias("object"), F.sha2(made, 256).alias("hash"))
 
 
-JSON_SQL = """WITH e AS (SELECT event_id, (props->>'$.k')::INT AS k, event_type FROM events), m AS (SELECT event_id, k, '{"a":"' || event_type || '","k":' || k || '}' AS object FROM e WHERE k % 7 = 3) SELECT event_id, k, object, sha256(object) AS hash FROM m"""
+JSON_SQL = """WITH e AS (SELECT event_id, (props->>'$.k')::INT AS k, event_type FROM events), m AS (SELECT event_id, k, '{"a":"' || event_type || '","k":' || k || '}' AS object FROM e) SELECT event_id, k, object, sha256(object) AS hash FROM m"""
 
 
 def argmax_band(spark: SparkSession, folder: str) -> DataFrame:
@@ -360,11 +363,11 @@ def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Recall, reciprocal rank and gain of ranked lists against expected ids, with means by label."""
     from corvex.operators import evaluate
 
-    cases = table(spark, folder, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 3 == 0, "adverse").otherwise("supportive").alias("evidence_label"), F.array(*[((F.col("o_custkey") * k) % 9).cast("string") for k in (1, 2)]).alias("expected"), F.array(*[((F.col("o_custkey") * k + k) % 11).cast("string") for k in range(1, 8)]).alias("ranked"))
+    cases = table(spark, folder, "orders").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 3 == 0, "adverse").otherwise("supportive").alias("evidence_label"), F.array(*[((F.col("o_custkey") * k) % 9).cast("string") for k in (1, 2)]).alias("expected"), F.array(*[((F.col("o_custkey") * k + k) % 11).cast("string") for k in range(1, 8)]).alias("ranked"))
     return evaluate.by_label(evaluate.metrics(cases, 5))
 
 
-EVAL_SQL = """WITH c AS (SELECT o_orderkey AS q, CASE WHEN o_orderkey % 3 = 0 THEN 'adverse' ELSE 'supportive' END AS evidence_label, list_distinct([o_custkey % 9, o_custkey * 2 % 9]) AS e, list_slice([(o_custkey + 1) % 11, (o_custkey * 2 + 2) % 11, (o_custkey * 3 + 3) % 11, (o_custkey * 4 + 4) % 11, (o_custkey * 5 + 5) % 11, (o_custkey * 6 + 6) % 11, (o_custkey * 7 + 7) % 11], 1, 5) AS r FROM orders WHERE o_orderkey % 50 = 1),
+EVAL_SQL = """WITH c AS (SELECT o_orderkey AS q, CASE WHEN o_orderkey % 3 = 0 THEN 'adverse' ELSE 'supportive' END AS evidence_label, list_distinct([o_custkey % 9, o_custkey * 2 % 9]) AS e, list_slice([(o_custkey + 1) % 11, (o_custkey * 2 + 2) % 11, (o_custkey * 3 + 3) % 11, (o_custkey * 4 + 4) % 11, (o_custkey * 5 + 5) % 11, (o_custkey * 6 + 6) % 11, (o_custkey * 7 + 7) % 11], 1, 5) AS r FROM orders),
 m AS (SELECT *, list_transform(r, lambda x: list_contains(e, x)) AS h FROM c),
 v AS (SELECT *, len(list_intersect(e, r)) / len(e) AS recall, CASE WHEN list_contains(h, true) THEN 1.0 / list_position(h, true) ELSE 0 END AS rr, list_sum(list_transform(h, lambda x, i: CASE WHEN x THEN 1 / log2(i + 1) ELSE 0 END)) / list_sum(list_transform(range(1, least(5, len(e)) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM m)
 SELECT evidence_label, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, avg(recall) >= 0.90 AND avg(rr) >= 0.75 AND avg(ndcg) >= 0.75 AS meets_bar FROM v GROUP BY 1"""

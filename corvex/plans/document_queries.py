@@ -75,7 +75,7 @@ SELECT conv_id, unnest(list_filter([CASE WHEN ids < n THEN 'duplicate_item_ids'
 def evidence_by_stance(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence in four stances, empty ones kept, with the support status that follows from them."""
     stance = F.get(F.array(*map(F.lit, ("supports", "contradicts", "limits", "context"))), (F.col("l_linenumber") % 3).cast("int"))
-    rows = table(spark, folder, "lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", stance.alias("stance"), "l_quantity")
+    rows = table(spark, folder, "lineitem").select("l_orderkey", stance.alias("stance"), "l_quantity")
     by = rows.groupBy("l_orderkey").agg(F.collect_set("stance").alias("s"), F.max("l_quantity").alias("most"))
     has = lambda k: F.array_contains("s", k)
     status = F.when(has("supports") & has("contradicts"), "contested").when(has("contradicts"), "contradicted").when(has("supports") & has("limits"), "partly_supported").when(has("supports"), "supported").otherwise("unsupported")
@@ -84,7 +84,7 @@ def evidence_by_stance(spark: SparkSession, folder: str) -> DataFrame:
     return counts.unionByName(by.groupBy(status.alias("name")).agg(F.count("*").alias("n")).select(F.lit("status").alias("kind"), "name", "n"))
 
 
-STANCE_SQL = """WITH r AS (SELECT l_orderkey, ['supports', 'contradicts', 'limits', 'context'][(l_linenumber % 3 + 1)::INT] AS stance FROM lineitem WHERE l_orderkey % 40 = 0), b AS (SELECT l_orderkey, list(DISTINCT stance) AS s FROM r GROUP BY 1),
+STANCE_SQL = """WITH r AS (SELECT l_orderkey, ['supports', 'contradicts', 'limits', 'context'][(l_linenumber % 3 + 1)::INT] AS stance FROM lineitem), b AS (SELECT l_orderkey, list(DISTINCT stance) AS s FROM r GROUP BY 1),
 st AS (SELECT CASE WHEN list_contains(s, 'supports') AND list_contains(s, 'contradicts') THEN 'contested' WHEN list_contains(s, 'contradicts') THEN 'contradicted' WHEN list_contains(s, 'supports') AND list_contains(s, 'limits') THEN 'partly_supported' WHEN list_contains(s, 'supports') THEN 'supported' ELSE 'unsupported' END AS name FROM b)
 SELECT 'stance' AS kind, k AS name, count(r.stance) AS n FROM (SELECT unnest(['supports', 'contradicts', 'limits', 'context']) AS k) LEFT JOIN r ON stance = k GROUP BY k UNION ALL SELECT 'status', name, count(*) FROM st GROUP BY name"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvex.functions import text as tx
+from corvex.functions import rules, text as tx
 from corvex.operators import relational as rel, search, two_stage
 from corvex.plans import text_queries
 from corvex.sources.tables import CORPUS_SQL, corpus, table
@@ -29,7 +29,7 @@ def title_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return two_stage.title_expansion(_docs(spark, folder), QUERY, 40)
 
 
-TITLE_SQL = f"""WITH {_DOCS_SQL}, a AS (SELECT document_id, {_HITS("substr(text, 1, 1200)")} AS s, {_HITS("title")} AS t, {text_queries._TRI(_TOK("title"))} AS g, {text_queries._TRI("['bail', 'and', 'customs', 'thing', 'that', 'with']")} AS h FROM dd WHERE contains(lower(title), 'bail') OR contains(lower(title), 'customs'))
+TITLE_SQL = f"""WITH {_DOCS_SQL}, a AS (SELECT document_id, {_HITS(text_queries.sql_summary("text"))} AS s, {_HITS("title")} AS t, {text_queries._TRI(_TOK("title"))} AS g, {text_queries._TRI("['bail', 'and', 'customs', 'thing', 'that', 'with']")} AS h FROM dd WHERE contains(lower(title), 'bail') OR contains(lower(title), 'customs'))
 SELECT document_id, round(0.6 + s / (s + 1) + 3.5 * t / (t + 1) + 2.0 * len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6)::DOUBLE AS score FROM a ORDER BY score DESC, document_id LIMIT 40"""
 
 
@@ -78,14 +78,20 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS most FROM f GROUP
 
 
 def canonical_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents under a canonical key (text hash, else title), merged: best score, first id, types in order of appearance."""
+    """Rows under a canonical key, merged: best level, first id, types in order of appearance.
+
+    A third of the rows have an address, another one nothing but title, type and source.
+    """
     docs = corpus(spark, folder)
-    key = F.coalesce(F.when(F.length("text") > 0, F.md5(F.substring("text", 1, 200))), F.col("title"))
-    rows = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("authority_level").alias("level"), F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "document_type"))), lambda x: x["document_type"])), "|").alias("types"))
-    return rows.where("n > 1")
+    third, none = F.col("doc_id") % 3, F.lit(None).cast("string")
+    key = rules.canonical_key(F.when(third == 0, F.concat(F.lit(" Doc_"), F.col("doc_id") % 50)), none, F.when(third == 1, F.concat(F.lit("http://H/"), F.col("doc_id") % 70)), F.substring("title", 1, 3), F.col("document_type"), F.col("source_id"), none)
+    rows = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("authority_level").alias("level"))
+    types = docs.groupBy(key.alias("key"), "document_type").agg(F.min("doc_id").alias("seen")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seen", "document_type"))).alias("t"))
+    return rows.where("n > 1").join(types, "key").select("key", "n", "first_id", "level", F.array_join("t.document_type", "|").alias("types"))
 
 
-CANON_SQL = f"""WITH {CORPUS_SQL}, k AS (SELECT coalesce(CASE WHEN length(text) > 0 THEN md5(substr(text, 1, 200)) END, title) AS key, * FROM corpus), o AS (SELECT key, document_type, min(doc_id) AS seen FROM k GROUP BY 1, 2), s AS (SELECT key, string_agg(document_type, '|' ORDER BY seen) AS types FROM o GROUP BY 1)
+CANON_SQL = f"""WITH {CORPUS_SQL}, k AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'document_id:doc_' || (doc_id % 50) WHEN 1 THEN 'source_url:http://h/' || (doc_id % 70) ELSE 'fallback:' || lower(trim(regexp_replace(coalesce(substr(title, 1, 3), ''), '\\s+', ' ', 'g'))) || '|' || lower(document_type) || '|' || lower(source_id) || '|' END AS key, * FROM corpus),
+o AS (SELECT key, document_type, min(doc_id) AS seen FROM k GROUP BY 1, 2), s AS (SELECT key, string_agg(document_type, '|' ORDER BY seen) AS types FROM o GROUP BY 1)
 SELECT k.key, count(*) AS n, min(doc_id) AS first_id, max(authority_level) AS level, any_value(types) AS types FROM k JOIN s ON k.key = s.key GROUP BY 1 HAVING count(*) > 1"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvex.functions import classify, text as tx
-from corvex.operators import fusion, search
+from corvex.operators import fusion, search, two_stage
 from corvex.operators.relational import first_per_key
 from corvex.sources.tables import CORPUS_SQL, corpus, table
 
@@ -121,18 +121,21 @@ SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_conca
 def query_parsing(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens, terms and phrases of the benchmark's texts."""
     rows = table(spark, folder, "benchmark")
-    return rows.select("item_id", F.array_join(tx.query_tokens(F.col("text")), " ").alias("tokens"), F.array_join(tx.terms(F.col("text")), " ").alias("terms"), F.size(tx.bm25_tokens(F.col("text"))).alias("n_bm25"), F.array_join(tx.important_phrases(F.col("text")), "|").alias("phrases"), tx.excerpt(F.col("text"), ["that"], 40).alias("excerpt"))
+    return rows.select("item_id", F.array_join(tx.query_tokens(F.col("text")), " ").alias("tokens"), F.array_join(tx.terms(F.col("text")), " ").alias("terms"), F.size(tx.bm25_tokens(F.col("text"))).alias("n_bm25"), F.array_join(tx.important_phrases(F.col("text")), "|").alias("phrases"), tx.excerpt(F.col("text"), ["thing", "inly"], 40).alias("excerpt"), tx.extractive_summary(F.col("text"), ["thing", "inly"], 100).alias("summary"))
 
 
 
 PARSING_SQL = r"""WITH b AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}') AS t, regexp_extract_all(lower(text), '[a-z][a-z_]{2,}') AS u,
-   list_filter(list_transform(list_concat(regexp_extract_all(text, '"([^"]{4,80})"', 1), regexp_extract_all(text, '\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,5})\b', 1)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), lambda x: length(x) >= 5) AS p,
-   CASE WHEN contains(lower(text), 'that') THEN instr(lower(text), 'that') ELSE 1 END AS pos FROM benchmark),
-c AS (SELECT *, list_filter(t, lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was', 'were', 'has', 'have', 'had', 'not', 'but', 'any', 'all')) AS v, greatest(1, pos - 40) AS s, least(length(text), pos + 40) AS e FROM b)
+   list_filter(list_transform(list_concat(regexp_extract_all(text, '"([^"]{4,80})"', 1), regexp_extract_all(text, '\b((?:[A-Z][A-Za-z]+(?:\s+|$)){2,6})', 1)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), lambda x: length(x) >= 5) AS p,
+   trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM benchmark),
+a AS (SELECT *, least(nullif(instr(lower(f), 'thing'), 0), nullif(instr(lower(f), 'inly'), 0)) AS pos, length(f) AS n FROM b),
+c AS (SELECT *, list_filter(t, lambda x: x NOT IN ('and', 'the', 'for', 'with', 'from', 'that', 'this', 'into', 'under', 'about', 'after', 'before', 'between', 'where', 'which', 'says', 'wants', 'case', 'legal', 'sri', 'lanka', 'ceylon', 'act', 'acts', 'law', 'laws', 'section', 'article', 'ordinance')) AS v FROM a),
+e AS (SELECT *, CASE WHEN pos IS NOT NULL THEN CASE WHEN pos - 40 > 1 THEN '...' ELSE '' END || trim(substr(f, greatest(1, pos - 40)::INTEGER, (least(n, pos + 39) - greatest(1, pos - 40) + 1)::INTEGER)) || CASE WHEN pos + 39 < n THEN '...' ELSE '' END END AS near,
+   CASE WHEN pos IS NOT NULL THEN CASE WHEN pos - 120 > 1 THEN '...' ELSE '' END || trim(substr(f, greatest(1, pos - 120)::INTEGER, (least(n, pos + 119) - greatest(1, pos - 120) + 1)::INTEGER)) || CASE WHEN pos + 119 < n THEN '...' ELSE '' END END AS wide FROM c)
 SELECT item_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ' ') AS tokens, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' ') AS terms,
   len(list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9()./-]*'), lambda x: length(x) > 1))::INTEGER AS n_bm25,
   array_to_string(list_slice(list_filter(p, lambda x, i: list_position(p, x) = i), 1, 16), '|') AS phrases,
-  CASE WHEN s > 1 THEN '...' ELSE '' END || trim(substr(text, s::INTEGER, (e - s + 1)::INTEGER)) || CASE WHEN e < length(text) THEN '...' ELSE '' END AS excerpt FROM c"""
+  coalesce(near, trim(substr(f, 1, 80))) AS excerpt, CASE WHEN n <= 100 THEN f ELSE coalesce(wide, rtrim(substr(f, 1, 100))) END AS summary FROM e"""
 
 
 def citation_projection(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,13 +168,16 @@ SELECT conv_id, turn, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT
 
 
 def citation_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    """Acts, provisions and cases in texts made from customers."""
-    rows = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("Under section "), F.col("c_custkey") % 90 + 1, F.lit("(a) of Act No. "), F.col("c_custkey") % 50 + 1, F.lit(" of "), 1950 + F.col("c_custkey") % 70, F.lit(", Alpha v. Beta; and article "), F.col("c_custkey") % 9 + 1).alias("t"))
-    rows = rows.select("c_custkey", classify.citation_signals(F.col("t")).alias("s"))
+    """Acts, provisions (whole lists of them) and cases in texts made from customers."""
+    k = F.col("c_custkey")
+    made = F.concat(F.lit("Find Under sections "), k % 90 + 1, F.lit(" (A), 7b and "), k % 13 + 1, F.lit(" of Act No. "), k % 50 + 1, F.lit("a of "), 1950 + k % 70, F.lit(", alpha "), k % 5, F.lit("  Ltd v. Beta; and article "), k % 9 + 1, F.lit(" under no 0"), k % 3, F.lit(" of 2001. see Sec. "), k % 4, F.lit("; SEC. "), k % 4)
+    rows = table(spark, folder, "customer").select("c_custkey", classify.citation_signals(made).alias("s"))
     return rows.select("c_custkey", F.array_join("s.acts", "|").alias("acts"), F.array_join("s.provisions", "|").alias("provisions"), F.array_join("s.cases", "|").alias("cases"))
 
 
-CITED_SQL = """SELECT c_custkey, (c_custkey % 50 + 1) || '/' || (1950 + c_custkey % 70) AS acts, (c_custkey % 90 + 1) || '(a)|' || (c_custkey % 9 + 1) AS provisions, 'Alpha v Beta' AS cases FROM customer"""
+CITED_SQL = """WITH k AS (SELECT c_custkey AS k FROM customer)
+SELECT k AS c_custkey, (k % 50 + 1) || 'A/' || (1950 + k % 70) || '|0' || (k % 3) || '/2001' AS acts,
+  'sections ' || (k % 90 + 1) || '(a)|sections 7b' || '|sections ' || (k % 13 + 1) || '|article ' || (k % 9 + 1) || '|sec ' || (k % 4) AS provisions, 'alpha ' || (k % 5) || ' Ltd v Beta' AS cases FROM k"""
 
 
 def _lists(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,54 +251,88 @@ SELECT document_id, 'keyword:' || intent AS retriever, au::DOUBLE AS authority_s
   round(0.85 + 0.25 * au + 0.15 * re + 0.25 * ex + 0.25 * CASE WHEN intent = 'supportive' THEN su ELSE ad END + CASE WHEN intent <> 'supportive' THEN 0.08 ELSE 0 END, 6)::DOUBLE AS intent_score_multiplier FROM u"""
 
 
+QUERY = 'thing les die que "thing the" Bail'
+
+
+def _tokens(text):  # noqa: ANN001, ANN202
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
 def stage1_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    """First stage: summary and title ranks, title similarity and type bonus, the best 50."""
-    prefixes = ["thing", "that", "with"]
+    """First stage: ranks of the spread summary and the title, title similarity and type bonus, the best 50."""
+    prefixes = two_stage.query_prefixes(QUERY)
     docs = corpus(spark, folder)
-    tokens = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     bonus = F.when(F.col("document_type").isin("Constitution", "Act"), 0.35).when(F.col("document_type").contains("Judgment"), 0.25).when(F.col("document_type").contains("Gazette"), 0.15).otherwise(0.0)
-    rows = docs.select("document_id", "document_type", tx.or_rank(tokens(F.substring("text", 1, 1200)), prefixes).alias("s"), tx.or_rank(tokens(F.col("title")), prefixes).alias("t"), tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit("thing that with"))).alias("sim"))
+    rows = docs.select("document_id", "document_type", tx.or_rank(_tokens(tx.spread_summary(F.col("text"))), prefixes).alias("s"), tx.or_rank(_tokens(F.col("title")), prefixes).alias("t"), tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(QUERY))).alias("sim"))
     rows = rows.where("s > 0 or t > 0 or sim >= 0.08").select("document_id", F.round(F.col("s") + 3 * F.col("t") + 1.5 * F.col("sim") + bonus, 6).cast("double").alias("score"))
     return search.top(rows, 50, F.col("score").desc(), F.col("document_id"))
 
 
+def sql_summary(t: str) -> str:
+    """SQL of a text's head, middle and tail within a tenth of it, 1200 to 12000 characters."""
+    n, gap = f"length({t})", "chr(10) || chr(10) || '[...]' || chr(10) || chr(10)"
+    b = f"least({n}, greatest(1200, least(12000, ceil({n} * 0.10::DOUBLE)::INTEGER)))::INTEGER"
+    third, rest = f"greatest(1, floor({b} / 3.0))::INTEGER", f"greatest(1, {b} - 2 * greatest(1, floor({b} / 3.0))::INTEGER)::INTEGER"
+    return f"CASE WHEN {b} + 18 >= {n} THEN {t} ELSE substr({t}, 1, {third}) || {gap} || substr({t}, greatest(1, floor({n} / 2.0 - {b} / 6.0))::INTEGER, {third}) || {gap} || substr({t}, ({n} - {rest} + 1)::INTEGER, {rest}) END"
+
+
 _TOK = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-_HIT = lambda x: f"0.1 * len(list_filter({_TOK(x)}, lambda x: starts_with(x, 'thing') OR starts_with(x, 'that') OR starts_with(x, 'with')))"
+_HIT = lambda x: f"0.1 * len(list_filter({_TOK(x)}, lambda x: starts_with(x, 'thing') OR starts_with(x, 'les') OR starts_with(x, 'die') OR starts_with(x, 'que') OR starts_with(x, 'bail')))"
+_RANK = lambda x: f"({_HIT(x)} / ({_HIT(x)} + 1))"
 _TRI = lambda x: f"list_distinct(flatten(list_transform({x}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INTEGER, 3)))))"
-STAGE1_SQL = f"""WITH {CORPUS_SQL}, a AS (SELECT document_id, document_type, {_HIT("substr(text, 1, 1200)")} AS s, {_HIT("title")} AS t, {_TRI(_TOK("title"))} AS g, {_TRI("['thing', 'that', 'with']")} AS h FROM corpus),
+_ASKED = "['thing', 'les', 'die', 'que', 'thing', 'the', 'bail']"
+STAGE1_SQL = f"""WITH {CORPUS_SQL}, a AS (SELECT document_id, document_type, {_HIT(sql_summary("text"))} AS s, {_HIT("title")} AS t, {_TRI(_TOK("title"))} AS g, {_TRI(_ASKED)} AS h FROM corpus),
 b AS (SELECT document_id, document_type, s / (s + 1) AS s, t / (t + 1) AS t, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) AS sim FROM a),
 c AS (SELECT document_id, round(s + 3 * t + 1.5 * sim + CASE WHEN document_type IN ('Constitution', 'Act') THEN 0.35 WHEN contains(document_type, 'Judgment') THEN 0.25 WHEN contains(document_type, 'Gazette') THEN 0.15 ELSE 0 END, 6)::DOUBLE AS score FROM b WHERE s > 0 OR t > 0 OR sim >= 0.08)
 SELECT document_id, score, (row_number() OVER (ORDER BY score DESC, document_id))::INTEGER AS rank FROM c ORDER BY score DESC, document_id LIMIT 50"""
 
 
 def stage2_blend(spark: SparkSession, folder: str) -> DataFrame:
-    """Second stage: normalised parts of the first stage's documents blended and scaled to 100."""
-    first = stage1_ranking(spark, folder).withColumnRenamed("score", "stage1")
-    docs = corpus(spark, folder).join(F.broadcast(first.select("document_id", "stage1")), "document_id")  # 50 rows
-    low = F.lower("text")
-    hits = sum((F.when(low.contains(w), 1).otherwise(0) for w in ("thing", "that", "with")), F.lit(0))
-    rows = docs.select("document_id", "stage1", "document_type", (F.length("text") / 1000.0).alias("full_text"), (hits / 3).alias("coverage"), F.when(low.contains("thing that"), 1.0).otherwise(0.0).alias("phrase"), F.lit("q").alias("query_id"))
-    rows = rows.withColumns({k: fusion.normalise_max(k, "query_id") for k in ("stage1", "full_text")})
-    kind = F.when(F.col("document_type").isin("Constitution", "Core Legislation", "Act"), 1.15).when(F.col("document_type").contains("Judgment"), 1.12).when(F.col("document_type").contains("Gazette"), 1.04).when(F.col("document_type").contains("Parliament Paper"), 0.86).otherwise(1.0)
-    raw = fusion.stage2_blend({"stage1": F.col("stage1"), "full_text": F.col("full_text"), "chunk": F.lit(0.0), "coverage": F.col("coverage"), "title": F.lit(0.0), "phrase": F.col("phrase")}) * kind
+    """Second stage over the first one's documents: all six parts, source quality and title hint, scaled to 100.
+
+    Documents ⋈ first stage ⋈ best chunks; each line of a text is a chunk.
+    Origin, review and flags of the texts are made from the document's number.
+    """
+    prefixes, phrases, n = two_stage.query_prefixes(QUERY), ["thing the"], F.col("doc_id")
+    first = stage1_ranking(spark, folder).select("document_id", F.col("score").alias("stage1"))
+    docs = corpus(spark, folder).join(F.broadcast(first), "document_id")  # 50 rows
+    docs = docs.withColumn("title", F.concat(F.when(n % 5 == 0, "Bail ").otherwise(""), "title"))
+    lines = docs.select("document_id", F.explode(F.split("text", "\n")).alias("chunk"))
+    similar = tx.similarity(tx.trigrams(F.substring("chunk", 1, 5000)), tx.trigrams(F.lit(QUERY)))
+    chunks = lines.select("document_id", tx.or_rank(_tokens(F.col("chunk")), prefixes).alias("r"), similar.alias("sim")).where("r > 0 or sim >= 0.03")
+    best = chunks.groupBy("document_id").agg(F.max(F.col("r") + F.col("sim")).alias("chunk"))
+    rows = two_stage.full_text_metrics(docs, QUERY, phrases).join(best, "document_id", "left")
+    title = tx.or_rank(_tokens(F.col("title")), prefixes) + tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(QUERY)))
+    rows = rows.withColumns({"title_score": title, "chunk": F.coalesce("chunk", F.lit(0.0)), "query_id": F.lit("q")})
+    parts = {"stage1": "stage1", "full_text": "full_text_rank", "chunk": "chunk", "title": "title_score"}
+    rows = rows.withColumns({f"p_{k}": fusion.normalise_max(c, "query_id") for k, c in parts.items()})
+    origin, review = F.when(n % 5 == 1, "translated").otherwise("original"), F.when(n % 7 == 0, "pending").otherwise("reviewed")
+    flags = F.array_compact(F.array(F.when(n % 3 == 0, "low_confidence_ocr"), F.when(n % 11 == 0, "machine_translation_unreviewed")))
+    factor = two_stage.source_quality(F.col("document_type"), origin, review, flags) * two_stage.hint_multiplier(F.col("title"), two_stage.title_hints(QUERY))
+    coverage, phrase = F.col("term_hits") / len(prefixes), F.least(F.lit(1.0), F.col("phrase_hits") / len(phrases))
+    raw = fusion.stage2_blend({**{k: F.col(f"p_{k}") for k in parts}, "coverage": coverage, "phrase": phrase}) * factor
     rows = rows.withColumn("raw", raw).withColumn("share", fusion.normalise_max("raw", "query_id"))
     return rows.select("document_id", F.round("raw", 6).alias("raw_score"), F.when(F.col("raw") > 0, F.greatest(F.lit(1.0), F.round(100 * F.col("share"), 2))).otherwise(0.0).alias("relevance"))
 
 
-STAGE2_SQL = f"""WITH first AS ({STAGE1_SQL}), docs AS (SELECT 'doc_' || doc_id AS document_id, text, ['Act', 'Constitution', 'Supreme Court Judgment', 'Court of Appeal Judgment', 'Gazette', 'Parliament Paper', 'Law Report', 'Bill'][(substr(source, 4)::INTEGER % 8 + 1)::INTEGER] AS kind FROM documents),
-p AS (SELECT document_id, kind, score / max(score) OVER () AS s1, (length(text) / 1000.0) / max(length(text) / 1000.0) OVER () AS ft, (contains(lower(text), 'thing')::INTEGER + contains(lower(text), 'that')::INTEGER + contains(lower(text), 'with')::INTEGER) / 3 AS cov, contains(lower(text), 'thing that')::INTEGER AS ph FROM first JOIN docs USING (document_id)),
-r AS (SELECT document_id, (0.22 * s1 + 0.34 * ft + 0.15 * cov + 0.02 * ph) * CASE WHEN kind IN ('Constitution', 'Act') THEN 1.15 WHEN contains(kind, 'Judgment') THEN 1.12 WHEN contains(kind, 'Gazette') THEN 1.04 WHEN contains(kind, 'Parliament Paper') THEN 0.86 ELSE 1 END AS raw FROM p)
+_SIM = lambda x: f"len(list_intersect({_TRI(_TOK(x))}, {_TRI(_ASKED)})) / len(list_distinct(list_concat({_TRI(_TOK(x))}, {_TRI(_ASKED)})))"
+STAGE2_SQL = f"""WITH {CORPUS_SQL}, first AS (SELECT document_id, score FROM ({STAGE1_SQL})), docs AS (SELECT doc_id, document_id, score, document_type AS kind, CASE WHEN doc_id % 5 = 0 THEN 'Bail ' ELSE '' END || title AS title, text, lower(text) AS low FROM first JOIN corpus USING (document_id)),
+lines AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line FROM docs), chunks AS (SELECT document_id, {_RANK("line")} AS r, {_SIM("substr(line, 1, 5000)")} AS sim FROM lines), best AS (SELECT document_id, max(r + sim) AS chunk FROM chunks WHERE r > 0 OR sim >= 0.03 GROUP BY 1),
+m AS (SELECT d.*, {_RANK("text")} AS ft, coalesce(chunk, 0) AS chunk, {_RANK("title")} + {_SIM("title")} AS tt, (contains(low, 'thing')::INTEGER + contains(low, 'les')::INTEGER + contains(low, 'die')::INTEGER + contains(low, 'que')::INTEGER + contains(low, 'bail')::INTEGER) / 5 AS cov, contains(low, 'thing the')::INTEGER AS ph FROM docs d LEFT JOIN best USING (document_id)),
+r AS (SELECT document_id, (0.22 * score / max(score) OVER () + 0.34 * CASE WHEN max(ft) OVER () > 0 THEN ft / max(ft) OVER () ELSE 0 END + 0.20 * CASE WHEN max(chunk) OVER () > 0 THEN chunk / max(chunk) OVER () ELSE 0 END + 0.15 * cov + 0.07 * CASE WHEN max(tt) OVER () > 0 THEN tt / max(tt) OVER () ELSE 0 END + 0.02 * ph)
+  * CASE WHEN kind IN ('Constitution', 'Act') THEN 1.15 WHEN contains(kind, 'Judgment') THEN 1.12 WHEN contains(kind, 'Gazette') THEN 1.04 WHEN contains(kind, 'Parliament Paper') THEN 0.86 ELSE 1 END
+  * CASE WHEN doc_id % 5 = 1 THEN 0.82 ELSE 1 END * CASE WHEN doc_id % 7 = 0 THEN 0.86 ELSE 1 END * CASE WHEN doc_id % 3 = 0 THEN 0.75 ELSE 1 END * CASE WHEN doc_id % 11 = 0 THEN 0.80 ELSE 1 END * CASE WHEN contains(lower(title), 'bail') THEN 1.18 ELSE 0.62 END AS raw FROM m)
 SELECT document_id, round(raw, 6)::DOUBLE AS raw_score, (CASE WHEN raw > 0 THEN greatest(1.0, round(100 * raw / max(raw) OVER (), 2)) ELSE 0 END)::DOUBLE AS relevance FROM r"""
 
 
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """Five nearest vectors of the first ten."""
+    """Five nearest vectors of those whose id is divisible by 50."""
     vectors = table(spark, folder, "embeddings")
-    found = search.nearest(vectors.select("vec_id", "embedding"), vectors.where("vec_id < 10"), 5)
+    found = search.nearest(vectors.select("vec_id", "embedding"), vectors.where("vec_id % 50 = 0"), 5)
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
-KNN_SQL = """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id < 10 AND q.vec_id <> v.vec_id)
+KNN_SQL = """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, vec_id, round(s, 5) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id))::INTEGER AS rank FROM p QUALIFY rank <= 5"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,15 @@ def daily_totals(events: DataFrame) -> DataFrame:
 
 
 def run_once(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now and returns its table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over all that is there now and returns its table.
+
+    The result is written by the executors to the folder that they share, with
+    the stream's checkpoint beside it; nothing is held on the driver.
+    """
+    spark = result.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corvex-stream-')}"
+    path = f"{folder.rstrip('/')}/corvex-streams/{uuid.uuid4().hex}"
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/table")
+    query = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(f"{path}/table")
