@@ -1,9 +1,11 @@
 """Transcript parsing: a hidden Markov model recovers who speaks, then turns are rendered canonically.
 
-Hidden states are the roles.  What is observed of a turn is its speaker marker
-(the word before a colon, as in ``Human:``) and features of its lines; emission
-and transition chances are counted on turns whose role is known.  Roles are read
-off by Viterbi over the whole conversation, whatever roles are stored with it.
+A text is first cut into pieces before each line that begins with an unmistakable
+speaker marker, so that a whole transcript may stand in one row.  Hidden states
+are the roles.  What is observed of a piece is its speaker marker (the word
+before a colon, as in ``Human:``) and features of its lines; emission and
+transition chances are counted on turns whose role is known.  Roles are read off
+by Viterbi over all pieces of the conversation, whatever roles are stored with it.
 
 A conversation of any length is decoded in segments of ``SEGMENT`` turns.  Each
 segment becomes one small max-plus matrix, the matrices of a conversation give
@@ -29,7 +31,11 @@ MARKERS = {
     "user": "user|human|you|customer|prompt|question|q|me",
     "assistant": "assistant|ai|bot|agent|gpt|model|response|answer|a",
 }
+#: Words before a colon that begin another speaker's piece inside a text.
+SPEAKERS = "system|user|human|customer|assistant|ai|bot|agent|gpt"
 SEGMENT = 512
+#: Turns that a marker counts for as seen with its own role.
+HINT = 100.0
 #: (name, values) of each feature.
 FEATURES = (("marker", 4), ("question", 2), ("size", 8), ("lines", 4), ("lower", 2))
 END = "<|end|>"
@@ -55,9 +61,18 @@ def features(text: Column) -> dict[str, Column]:
     }
 
 
-def body(text: Column) -> Column:
-    """The text without its speaker marker."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _marker("|".join(MARKERS.values())), ""))
+def pieces(text: Column) -> Column:
+    """The speakers' pieces of a text, in order; one at least."""
+    return F.split(F.coalesce(text, F.lit("")), rf"\n(?=(?i:[ \t>*#_\[(]*(?:{SPEAKERS})[ \t\])*_]*:))")
+
+
+def body(text: Column, role: Column) -> Column:
+    """The text without a speaker marker of the role; what marks another role is text."""
+    text, out = F.coalesce(text, F.lit("")), None
+    for r in ROLES:
+        bare = F.regexp_replace(text, _marker(MARKERS[r]), "")
+        out = F.when(role == r, bare) if out is None else out.when(role == r, bare)
+    return F.trim(out.otherwise(text))
 
 
 class Model:
@@ -70,13 +85,18 @@ class Model:
 def train(turns: DataFrame, smoothing: float = 1.0) -> Model:
     """Counts on all turns with a known role; only counts come to the driver.
 
-    A turn's successor is the one with the next turn number.  Roles beyond
-    ROLES, and null roles, are left out.  An empty table gives equal chances.
+    A turn's role is that of its first piece, and its successor is the one with
+    the next turn number.  Rows that repeat count as often as they are there;
+    other columns are dropped first.  Roles beyond ROLES, and null roles, are
+    left out.  An empty table gives equal chances.
     """
-    rows = turns.select("conv_id", "turn", F.lower("role").alias("role"), *[c.alias(k) for k, c in features(F.col("text")).items()]).where(F.col("role").isin(*ROLES))
+    rows = turns.select("conv_id", "turn", F.lower("role").alias("role"), *[c.alias(k) for k, c in features(pieces(F.col("text"))[0]).items()]).where(F.col("role").isin(*ROLES))
     names = [k for k, _ in FEATURES]
     rows = store.stage(rows, "chat-training")
     emit = [np.full((len(ROLES), n), smoothing) for _, n in FEATURES]
+    # A marker hints at its own role even where no training turn has it.
+    for i in range(len(ROLES)):
+        emit[names.index("marker")][i, i + 1] += HINT
     for r in rows.groupBy("role", *names).count().collect():
         for table, k in zip(emit, names, strict=True):
             table[ROLES.index(r["role"]), r[k]] += r["count"]
@@ -136,20 +156,28 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def parse(turns: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
-    """The columns of turns (conv_id, turn, role, text), with role_pred and rendered.
-
-    Turns are decoded in the order of turn and then text; equal rows of a
-    conversation (same turn and text) are one turn and share its role.  Null
-    text reads as empty; null conversation ids are one conversation; null turns
-    come first.  Other columns are dropped first.  One row of nine numbers for
-    each segment of a conversation meets in one task, and so do the different
-    texts of turns whose numbers lie in the same segment.
+    """The columns of turns (conv_id, turn, role, text), with role_pred (of the first piece), n_pieces and rendered.
+
+    Pieces are decoded in the order of turn, then text, then place; equal rows
+    of a conversation (same turn and text) are one turn and share its roles.
+    Null text reads as empty; null conversation ids are one conversation; null
+    turns come first.  Other columns are dropped first.  One row of nine numbers
+    for each segment of a conversation meets in one task, and so do the pieces
+    of a segment: those of ``segment`` turn numbers, or, where these have more
+    than four times as many, of one turn and a prefix of the texts' hashes.
     """
     names = [k for k, _ in FEATURES]
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("mark", F.sha1(F.coalesce("text", F.lit(""))))
-    key = ["conv_id", "turn", "mark"]
-    seen = rows.select(*key, *[c.alias(k) for k, c in features(F.col("text")).items()]).dropDuplicates(key)
-    seen = store.stage(seen.withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / segment).cast("long")), "chat-turns")
+    key = ["conv_id", "turn", "mark", "unit"]
+    cut = rows.select("conv_id", "turn", "mark", F.posexplode(pieces(F.col("text"))).alias("unit", "piece"))
+    seen = cut.select(*key, *[c.alias(k) for k, c in features(F.col("piece")).items()]).dropDuplicates(key)
+    seen = store.stage(seen.withColumn("range", F.floor(F.coalesce("turn", F.lit(0)) / segment).cast("long")), "chat-turns")
+    crowded = seen.groupBy(F.col("conv_id").alias("c"), F.col("range").alias("r")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * segment)
+    crowded = crowded.withColumn("digits", F.ceil(F.log2(F.col("n") / segment) / 4).cast("int")).drop("n")
+    seen = seen.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")), "left")
+    prefix = F.when(F.col("digits").isNotNull(), F.substring("mark", F.lit(1), F.col("digits"))).otherwise("")
+    seen = seen.withColumn("part", F.struct("range", F.when(F.col("digits").isNotNull(), F.col("turn")).alias("turn"), prefix.alias("prefix")))
+    seen = seen.select(*key, "part", *names)
     shared = turns.sparkSession.sparkContext.broadcast(model)
 
     def scores(part: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -200,23 +228,26 @@ def parse(turns: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(run.column(k).combine_chunks() for k in key), pa.array([ROLES[i] for i in path])], [*key, "role_pred"])
 
     kind = seen.schema["conv_id"].dataType.simpleString()
-    order = ["conv_id", "part", "turn", "mark"]
+    order, part_kind = ["conv_id", "part", "turn", "mark", "unit"], seen.schema["part"].dataType.simpleString()
     # Only conversations of more than one segment need matrices.
     spans = seen.groupBy("conv_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     long = store.stage(seen.join(spans, seen["conv_id"].eqNullSafe(spans["conv_id"])).select(seen["*"], "low"), "chat-long")
     laid = lambda df: df.repartition("conv_id", "part").sortWithinPartitions(*order)
-    columns = ["conv_id", "part", "turn", "mark", *names]
-    totals = laid(long.where("part > low")).select(*columns).mapInArrow(matrices, f"conv_id {kind}, part long, total array<double>")
-    first = laid(long.where("part = low")).select(*columns).mapInArrow(starts, f"conv_id {kind}, part long, first array<double>")
+    columns = [*order, *names]
+    totals = laid(long.where("part > low")).select(*columns).mapInArrow(matrices, f"conv_id {kind}, part {part_kind}, total array<double>")
+    first = laid(long.where("part = low")).select(*columns).mapInArrow(starts, f"conv_id {kind}, part {part_kind}, first array<double>")
     joined = totals.withColumn("first", F.lit(None).cast("array<double>")).unionByName(first.withColumn("total", F.array(*[F.lit(0.0)] * len(ROLES) ** 2)))
     joined = joined.select("conv_id", "part", "total", "first").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    borders = store.stage(joined.mapInArrow(ends, f"conv_id {kind}, part long, enter int, leave int"), "chat-borders")
+    borders = store.stage(joined.mapInArrow(ends, f"conv_id {kind}, part {part_kind}, enter int, leave int"), "chat-borders")
     placed = seen.alias("s").join(borders.alias("b"), F.col("s.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("s.part") == F.col("b.part")), "left").select("s.*", "enter", "leave")
     turn_kind = seen.schema["turn"].dataType.simpleString()
-    found = laid(placed).select(*columns, "enter", "leave").mapInArrow(decode, f"conv_id {kind}, turn {turn_kind}, mark string, role_pred string")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key]
-    out = rows.alias("r").join(found.alias("f"), same[0] & same[1] & same[2]).select("r.conv_id", "r.turn", "r.role", "r.text", "f.role_pred")
-    return out.withColumn("rendered", render(F.col("role_pred"), body(F.col("text"))))
+    found = laid(placed).select(*columns, "enter", "leave").mapInArrow(decode, f"conv_id {kind}, turn {turn_kind}, mark string, unit int, role_pred string")
+    found = found.groupBy("conv_id", "turn", "mark").agg(F.array_sort(F.collect_list(F.struct("unit", "role_pred"))).alias("roles"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("conv_id", "turn", "mark")]
+    out = rows.alias("r").join(found.alias("f"), same[0] & same[1] & same[2]).select("r.conv_id", "r.turn", "r.role", "r.text", "f.roles")
+    out = out.withColumn("_pieces", pieces(F.col("text")))
+    turn = lambda x: render(x["role_pred"], body(F.get("_pieces", x["unit"]), x["role_pred"]))
+    return out.select("conv_id", "turn", "role", "text", F.col("roles")[0]["role_pred"].alias("role_pred"), F.size("roles").alias("n_pieces"), F.array_join(F.transform("roles", turn), "").alias("rendered"))
 
 
 def render(role: Column, text: Column) -> Column:

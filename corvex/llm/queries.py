@@ -71,7 +71,7 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations")
     held_out = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2
     model = chat.train(turns.where(~held_out))
-    return chat.parse(turns, model).select("conv_id", "turn", "role", "role_pred", "rendered")
+    return chat.parse(turns, model).select("conv_id", "turn", "role", "role_pred", "n_pieces", "rendered")
 
 
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Roles: Viterbi against all paths, segments against the whole, held-out accuracy, edges."""
 
 import itertools
+import math
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corvex.llm import chat
 from corvex.llm.queries import op8_chat_formatting
@@ -49,3 +52,71 @@ def test_edges(spark):
     assert any("x < |end|>" in r.rendered for r in got)
     empty = table.where("conv_id > 9")
     assert chat.parse(empty, chat.train(empty)).count() == 0
+
+
+def plain_features(t):
+    """marker, question, size, lines and lower of a piece."""
+    marker = 0
+    for i, role in enumerate(chat.ROLES):
+        if re.search(rf"(?i)^[\s>*#_\[(]*(?:{chat.MARKERS[role]})[\s\])*_]*[:>][\s*_]*", t):
+            marker = i + 1
+    n = len(t)
+    return marker, int("?" in t), 0 if n < 16 else min(7, int(math.log2(n / 8))), min(3, t.count("\n")), int(bool(re.search(r"^\s*[a-zà-öø-ÿ]", t)))
+
+
+def plain_pieces(t):
+    return re.split(rf"\n(?=[ \t>*#_\[(]*(?:{chat.SPEAKERS})[ \t\])*_]*:)", t or "", flags=re.IGNORECASE)
+
+
+def plain_parse(rows, training):
+    """(role of each piece) of each (conversation, turn), by counting, and by Viterbi over whole conversations."""
+    emit = [np.ones((3, n)) for _, n in chat.FEATURES]
+    emit[0][[0, 1, 2], [1, 2, 3]] += chat.HINT
+    step, start, by_place = np.ones((3, 3)), np.ones(3), {}
+    for c, t, role, text in training:
+        for table, x in zip(emit, plain_features(plain_pieces(text)[0]), strict=True):
+            table[chat.ROLES.index(role), x] += 1
+        by_place[c, t] = chat.ROLES.index(role)
+    for (c, t), r in by_place.items():
+        if (c, t - 1) in by_place:
+            step[by_place[c, t - 1], r] += 1
+        else:
+            start[r] += 1
+    share = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+    emit, step, start, out = [share(e) for e in emit], share(step), share(start), {}
+    for c in {r[0] for r in rows}:
+        own = [(t, i, p) for _, t, _, text in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]) for i, p in enumerate(plain_pieces(text))]
+        scores = np.array([sum(e[:, x] for e, x in zip(emit, plain_features(p), strict=True)) for _, _, p in own])
+        for (t, _, _), r in zip(own, chat.viterbi(scores, start, step), strict=True):
+            out.setdefault((c, t), []).append(chat.ROLES[r])
+    return out
+
+
+def test_against_plain(spark, sf):
+    """Whole parse against a plain version, with transcripts of several speakers in one row."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").distinct().collect()]
+    rows = list({(c, t): (c, t, role, text) for c, t, role, text in sorted(rows)}.values())
+    said = "User: what is it?\nand why\nAssistant: it is so\nHuman: I see\n  **AI**: good\nContext: keep me"
+    rows += [(90_000 + c, t, "user", said if t % 2 == 0 else f"note {t}") for c in range(4) for t in range(5)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.parse(table, chat.train(table), segment=2).collect()
+    want = plain_parse(rows, rows)
+    assert {(r.conv_id, r.turn): (r.role_pred, r.n_pieces) for r in got} == {k: (v[0], len(v)) for k, v in want.items()}
+    one = next(r for r in got if (r.conv_id, r.turn) == (90_000, 0))
+    assert one.n_pieces == 4 and one.rendered.count(chat.END) == 4 and "keep me" in one.rendered
+    assert one.rendered.startswith("<|user|>\nwhat is it?\nand why\n<|end|>\n<|assistant|>\nit is so\n<|end|>\n")
+
+
+def test_only_the_role_decoded_loses_its_marker(spark):
+    table = spark.createDataFrame([("Context: keep me", r) for r in chat.ROLES], "t string, r string")
+    got = {x.r: x.b for x in table.select("r", chat.body(F.col("t"), F.col("r")).alias("b")).collect()}
+    assert got == {"system": "keep me", "user": "Context: keep me", "assistant": "Context: keep me"}
+
+
+def test_crowded_turns(spark):
+    """Turns with null and equal numbers, split by their hashes: the same roles as in one piece."""
+    rows = [(1, None if i % 2 else 5, ["user", "assistant"][i % 2], f"text {i} {'?' * (i % 3 == 0)}") for i in range(300)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.train(table)
+    found = [{(r.turn, r.text): r.role_pred for r in chat.parse(table, model, n).collect()} for n in (3, 100_000)]
+    assert found[0] == found[1] and len(found[0]) == 300
