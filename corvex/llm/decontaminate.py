@@ -281,8 +281,8 @@ def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float)
     half = first_half[doc] + (np.arange(len(doc)) - words.first[doc]) // HALF
     index = np.flatnonzero(there)
     sums = np.zeros((first_half[-1] + 1, space.vectors.shape[1]), dtype=np.float32)
-    for low in range(0, len(index), 1 << 16):
-        part = index[low : low + (1 << 16)]
+    for low in range(0, len(index), 1 << 14):
+        part = index[low : low + (1 << 14)]
         begins = np.flatnonzero(np.concatenate([[True], half[part][1:] != half[part][:-1]]))
         sums[half[part][begins]] += np.add.reduceat(space.vectors[column[part]], begins, axis=0)
     half_doc = np.repeat(np.arange(len(halves)), halves)

@@ -413,20 +413,27 @@ def _by_token(entries: DataFrame, choose, percent: int) -> DataFrame:  # noqa: A
     return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
+def _mixed(entries: DataFrame, scratch: store.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(entries of groups of several labels; those groups' tokens, staged).  Bitmaps of the other groups are not exchanged."""
+    mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    mixed = scratch.stage(mixed, "mixed")
+    return near_keys(entries, "token", mixed, "token").join(mixed, "token", "left_semi"), mixed
+
+
 def _representatives(entries: DataFrame) -> DataFrame:
-    """Of each label one node in each token's group, dealt in blocks by the number of labels; a group of one label has no rows."""
+    """Of each label one node in each token's group, dealt in blocks by the number of labels."""
     first = entries.groupBy("token", "label").agg(F.min(F.struct("node", "n", "place", "bitmap")).alias("r"))
-    counts = first.groupBy("token").agg(F.count("*").alias("labels")).where("labels > 1")
-    first = first.join(counts, "token").withColumn("salt", F.pmod(F.xxhash64("label"), F.ceil(F.col("labels") / (4 * GROUP_ROWS))).cast("int"))
+    counts = entries.groupBy("token").agg(F.approx_count_distinct("label").alias("labels"))
+    first = first.join(counts, "token").withColumn("salt", F.pmod(F.xxhash64("label"), F.ceil(F.greatest(F.col("labels"), F.lit(1)) / (4 * GROUP_ROWS))).cast("int"))
     return first.select("token", "salt", F.lit(0).alias("sent"), "r.*", "label")
 
 
 def _crossing(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries of undivided groups of several labels; those of divided ones, with the nodes outside the group's largest label sent to every block)."""
-    counts = entries.groupBy("token", "label").agg(F.count("*").alias("n"))
-    several = counts.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    left = entries.join(several.select("token", F.col("top.label").alias("largest")), "token")
-    small, large = left.where("blocks = 1"), left.where("blocks > 1")
+    """(entries of undivided groups; those of divided ones, with the nodes outside the group's largest label sent to every block)."""
+    small, large = entries.where("blocks = 1"), entries.where("blocks > 1")
+    counts = large.groupBy("token", "label").agg(F.count("*").alias("members"))
+    largest = counts.groupBy("token").agg(F.max(F.struct("members", "label")).alias("top")).select("token", F.col("top.label").alias("largest"))
+    large = large.join(largest, "token")
     sent = large.where("label <> largest").withColumn("sent", F.lit(1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return small, large.unionByName(sent)
 
@@ -510,7 +517,7 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
         labels = paired.join(roots.select("node", F.col("root").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = scratch.stage(labels, "labels")
         scratch.drop(roots)
-        labelled = entries.join(labels, "node")
+        labelled, mixed = _mixed(entries.join(labels, "node"), scratch)
         if last:
             small, large = _crossing(labelled)
             rest = _by_token(small, between, percent).unionByName(_by_token(large, across, percent)).distinct()
@@ -522,7 +529,7 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
             rest = rest.join(side("a"), "a").join(side("b"), "b").select(F.least("a_label", "b_label").alias("low"), F.greatest("a_label", "b_label").alias("high"), "a", "b")
             rest = rest.groupBy("high").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
         rest = scratch.stage(rest, "rest")
-        scratch.drop(labels)
+        scratch.drop(labels, mixed)
         tried = tried.unionByName(rest)
         links = links.unionByName(verify(rest, sets, percent, scratch))
     roots = components(links, scratch)

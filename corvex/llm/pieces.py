@@ -32,7 +32,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct words that a worker remembers, characters that it takes at a time.
 CACHE_WORDS = 300_000
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 800_000
 #: Slots (as powers of two) of the tables of words and of pairs of pieces.
 WORD_BITS, PAIR_BITS = 20, 19
 #: Characters of a word from which it is cut into windows, of the windows' steps and overlaps.

@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Lowers the bytes of text that go to a Python worker at once, which else is 64 MB for each running task."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
