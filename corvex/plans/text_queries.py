@@ -251,7 +251,7 @@ SELECT document_id, 'keyword:' || intent AS retriever, au::DOUBLE AS authority_s
   round(0.85 + 0.25 * au + 0.15 * re + 0.25 * ex + 0.25 * CASE WHEN intent = 'supportive' THEN su ELSE ad END + CASE WHEN intent <> 'supportive' THEN 0.08 ELSE 0 END, 6)::DOUBLE AS intent_score_multiplier FROM u"""
 
 
-QUERY = 'thing les die que "thing the" Bail'
+RANKED_QUERY = 'thing les die que "thing the" Bail'
 
 
 def _tokens(text):  # noqa: ANN001, ANN202
@@ -260,10 +260,10 @@ def _tokens(text):  # noqa: ANN001, ANN202
 
 def stage1_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """First stage: ranks of the spread summary and the title, title similarity and type bonus, the best 50."""
-    prefixes = two_stage.query_prefixes(QUERY)
+    prefixes = two_stage.query_prefixes(RANKED_QUERY)
     docs = corpus(spark, folder)
     bonus = F.when(F.col("document_type").isin("Constitution", "Act"), 0.35).when(F.col("document_type").contains("Judgment"), 0.25).when(F.col("document_type").contains("Gazette"), 0.15).otherwise(0.0)
-    rows = docs.select("document_id", "document_type", tx.or_rank(_tokens(tx.spread_summary(F.col("text"))), prefixes).alias("s"), tx.or_rank(_tokens(F.col("title")), prefixes).alias("t"), tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(QUERY))).alias("sim"))
+    rows = docs.select("document_id", "document_type", tx.or_rank(_tokens(tx.spread_summary(F.col("text"))), prefixes).alias("s"), tx.or_rank(_tokens(F.col("title")), prefixes).alias("t"), tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(RANKED_QUERY))).alias("sim"))
     rows = rows.where("s > 0 or t > 0 or sim >= 0.08").select("document_id", F.round(F.col("s") + 3 * F.col("t") + 1.5 * F.col("sim") + bonus, 6).cast("double").alias("score"))
     return search.top(rows, 50, F.col("score").desc(), F.col("document_id"))
 
@@ -293,22 +293,22 @@ def stage2_blend(spark: SparkSession, folder: str) -> DataFrame:
     Documents ⋈ first stage ⋈ best chunks; each line of a text is a chunk.
     Origin, review and flags of the texts are made from the document's number.
     """
-    prefixes, phrases, n = two_stage.query_prefixes(QUERY), ["thing the"], F.col("doc_id")
+    prefixes, phrases, n = two_stage.query_prefixes(RANKED_QUERY), ["thing the"], F.col("doc_id")
     first = stage1_ranking(spark, folder).select("document_id", F.col("score").alias("stage1"))
     docs = corpus(spark, folder).join(F.broadcast(first), "document_id")  # 50 rows
     docs = docs.withColumn("title", F.concat(F.when(n % 5 == 0, "Bail ").otherwise(""), "title"))
     lines = docs.select("document_id", F.explode(F.split("text", "\n")).alias("chunk"))
-    similar = tx.similarity(tx.trigrams(F.substring("chunk", 1, 5000)), tx.trigrams(F.lit(QUERY)))
+    similar = tx.similarity(tx.trigrams(F.substring("chunk", 1, 5000)), tx.trigrams(F.lit(RANKED_QUERY)))
     chunks = lines.select("document_id", tx.or_rank(_tokens(F.col("chunk")), prefixes).alias("r"), similar.alias("sim")).where("r > 0 or sim >= 0.03")
     best = chunks.groupBy("document_id").agg(F.max(F.col("r") + F.col("sim")).alias("chunk"))
-    rows = two_stage.full_text_metrics(docs, QUERY, phrases).join(best, "document_id", "left")
-    title = tx.or_rank(_tokens(F.col("title")), prefixes) + tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(QUERY)))
+    rows = two_stage.full_text_metrics(docs, RANKED_QUERY, phrases).join(best, "document_id", "left")
+    title = tx.or_rank(_tokens(F.col("title")), prefixes) + tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(RANKED_QUERY)))
     rows = rows.withColumns({"title_score": title, "chunk": F.coalesce("chunk", F.lit(0.0)), "query_id": F.lit("q")})
     parts = {"stage1": "stage1", "full_text": "full_text_rank", "chunk": "chunk", "title": "title_score"}
     rows = rows.withColumns({f"p_{k}": fusion.normalise_max(c, "query_id") for k, c in parts.items()})
     origin, review = F.when(n % 5 == 1, "translated").otherwise("original"), F.when(n % 7 == 0, "pending").otherwise("reviewed")
     flags = F.array_compact(F.array(F.when(n % 3 == 0, "low_confidence_ocr"), F.when(n % 11 == 0, "machine_translation_unreviewed")))
-    factor = two_stage.source_quality(F.col("document_type"), origin, review, flags) * two_stage.hint_multiplier(F.col("title"), two_stage.title_hints(QUERY))
+    factor = two_stage.source_quality(F.col("document_type"), origin, review, flags) * two_stage.hint_multiplier(F.col("title"), two_stage.title_hints(RANKED_QUERY))
     coverage, phrase = F.col("term_hits") / len(prefixes), F.least(F.lit(1.0), F.col("phrase_hits") / len(phrases))
     raw = fusion.stage2_blend({**{k: F.col(f"p_{k}") for k in parts}, "coverage": coverage, "phrase": phrase}) * factor
     rows = rows.withColumn("raw", raw).withColumn("share", fusion.normalise_max("raw", "query_id"))

@@ -1,6 +1,7 @@
 """Operators on small tables with results worked out by hand."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,7 +114,13 @@ def test_text_helpers(spark):
     assert (link.href, link.label, link.name) == ("/f%20g.pdf?x#y", "Go on", "f g.pdf")
     assert one(spark, reg.pack_paragraphs(F.lit("aa\n\nbb\n\ncccccccc\n\nd"), 6))[0] == ["aa\n\nbb", "cccccc", "cc", "d"]
     signals = one(spark, classify.citation_signals(F.lit("Smith v. Jones, under section 5(2) of Act No. 7 of 1999")))[0]
-    assert (signals.acts, signals.provisions, signals.cases) == (["7/1999"], ["5(2)"], ["Smith v Jones"])
+    assert (signals.acts, signals.provisions, signals.cases) == (["7/1999"], ["section 5(2)"], ["Smith v Jones"])
+    text = "Search for  Smith  Ltd vs. jones; Sections 5 (A), 6 and 7b under Articles 9; sec. 6 of act No. 12a of 2001: smith LTD v Jones, act no 12A of 2001"
+    signals = one(spark, classify.citation_signals(F.lit(text)))[0]
+    assert (signals.acts, signals.provisions) == (["12A/2001"], ["sections 5(a)", "sections 6", "sections 7b", "articles 9", "sec 6"])
+    clean = lambda x: re.sub(classify.PARTY_LEAD_RE, "", re.sub(r"\s+", " ", x.strip(" ,.;:\n\t")).strip())
+    names = [f"{clean(m[1])} v {clean(m[2])}" for m in re.finditer(classify.CASE_RE, text)]
+    assert signals.cases == [n for i, n in enumerate(names) if n.lower() not in [x.lower() for x in names[:i]]] != []
     assert one(spark, tx.or_rank(F.array(F.lit("thing"), F.lit("x")), ["th"]))[0] == pytest.approx(0.1 / 1.1)
 
 
