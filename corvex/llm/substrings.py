@@ -5,8 +5,9 @@ A window of 35 words that occurs twice holds, in both places, the same gram of
 in nine) are a document's fingerprints.  The index keeps postings (fingerprint,
 document) in sorted, immutable runs, all of them in the same buckets by
 fingerprint, so that a new batch is merge-joined with each run without moving or
-sorting the run.  The batch becomes a run itself, and runs are compacted before
-the next batch once there are enough of them.  Windows around a fingerprint that
+sorting the run.  The postings of a hot fingerprint are dealt over many buckets
+by a salt.  The batch becomes a run itself, and runs are compacted before the
+next batch once there are enough of them.  Windows around a fingerprint that
 occurred before are then verified by 128 bits of all 35 words, 64 each from two
 independent functions of the words' bytes.
 
@@ -33,6 +34,10 @@ WINDOW, GRAM = 35, 18
 FANOUT = 4
 #: Batches in which the whole-table query feeds the index.
 BATCHES = 3
+#: A fingerprint of a run is hot from this number of its postings on, if they are half a bucket's mean as well.
+HOT_LEAST = 256
+#: Hot fingerprints of a run at most, and the counters by which they are found; one that is left has less than 1 / HOT_MOST of the postings.
+HOT_MOST, HOT_COUNTERS = 4096, 1 << 16
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,16 +96,18 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of postings (hash, doc) under a shared folder.
+    """Sorted immutable runs of postings (hash, salt, doc) under a shared folder.
 
     A run is a Parquet folder ``run-<level>-<number>-<buckets>``; it counts once
     its writer has committed it (_SUCCESS), so a lost writer leaves no half run.
     All runs have as many buckets as the first one, which Spark is told by
-    registering the folder as an external table.
+    registering the folder as an external table.  The salt is 0 but for hot
+    fingerprints, whose postings have salts from 1 to the number that the run's
+    folder ``hot-...`` gives, about 1 / 32 of a bucket each.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, doc_type: str = "bigint") -> None:
-        self.spark, self.path, self.fanout, self.doc_type = spark, path.rstrip("/"), fanout, doc_type
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, doc_type: str = "bigint", hot_least: int = HOT_LEAST) -> None:
+        self.spark, self.path, self.fanout, self.doc_type, self.hot_least = spark, path.rstrip("/"), fanout, doc_type, hot_least
 
     def runs(self) -> list[str]:
         """Names of the committed runs."""
@@ -119,32 +126,57 @@ class FingerprintIndex:
         """The postings of a run, in its buckets."""
         table, buckets = self._table(name), int(name.split("-")[3])
         if not self.spark.catalog.tableExists(table):
-            self.spark.sql(f"CREATE TABLE {table} (hash BIGINT, doc {self.doc_type}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.sql(f"CREATE TABLE {table} (hash BIGINT, salt INT, doc {self.doc_type}) USING parquet CLUSTERED BY (hash, salt) SORTED BY (hash, salt) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return self.spark.table(table)
 
+    def hot(self, name: str) -> DataFrame:
+        """hash and salts of the hot fingerprints of a run, HOT_MOST at most."""
+        return F.broadcast(self.spark.read.schema("hash long, salts int").parquet(f"{self.path}/hot-{name}"))
+
+    def _hot_rows(self, rows: DataFrame, buckets: int) -> list[tuple[int, int]]:
+        """(hash, salts) of the fingerprints with more postings than half a bucket's mean.
+
+        Counts are over by less than a fifth of the least share, so each of them occurs more than once.
+        """
+        n, top = rows.agg(F.count("*"), F.expr(f"approx_top_k(hash, {HOT_MOST}, {HOT_COUNTERS})")).first()
+        least = max(self.hot_least, n / (2 * buckets), n / HOT_MOST)
+        # Many small parts, as several salts may meet in one bucket; a run has about 32 parts for each bucket at most.
+        return [(t["item"], int(-(-32 * buckets * t["count"] // n))) for t in top or [] if t["count"] > least]
+
     def _write(self, rows: DataFrame, level: int) -> str:
         runs = self.runs()
         buckets = int(runs[0].split("-")[3]) if runs else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"run-{level:02d}-{1 + max([int(n.split('-')[2]) for n in runs], default=0):06d}-{buckets}"
+        # Before the run, so that a committed run has its list.
+        self.spark.createDataFrame(self._hot_rows(rows, buckets), "hash long, salts int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/hot-{name}")
+        salt = F.coalesce(1 + F.pmod(F.xxhash64("doc"), F.col("salts")), F.lit(0)).cast("int").alias("salt")
+        rows = rows.select("hash", "doc").join(self.hot(name), "hash", "left").select("hash", salt, "doc")
         # Dealt by the buckets' own hash, so that each bucket is one file.
-        rows = rows.select("hash", "doc").repartition(buckets, "hash")
-        rows.write.format("parquet").bucketBy(buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").saveAsTable(self._table(name))
+        rows = rows.repartition(buckets, "hash", "salt")
+        rows.write.format("parquet").bucketBy(buckets, "hash", "salt").sortBy("hash", "salt").option("path", f"{self.path}/{name}").saveAsTable(self._table(name))
         return name
 
     def add(self, posts: DataFrame) -> DataFrame:
         """Adds a batch (hash, doc; a row for each occurrence) as a run; returns the hashes of it that have occurred twice by now."""
         self.compact()
-        old = self.runs()
-        new = self.read(self._write(posts, 0)).groupBy("hash").agg(F.count("*").alias("n"))
-        seen = new.where("n > 1").select("hash")
+        old, name = self.runs(), self._write(posts, 0)
+        new = self.read(name).where("salt = 0").groupBy("hash", "salt").agg(F.count("*").alias("n"))
+        once = new.where("n = 1").select("hash", "salt")
+        seen = new.where("n > 1").select("hash").unionByName(self.hot(name).select("hash"))
         for run in old:
-            seen = seen.unionByName(new.where("n = 1").select("hash").hint("merge").join(self.read(run).select("hash"), "hash", "left_semi"))
+            seen = seen.unionByName(once.hint("merge").join(self.read(run).where("salt = 0").select("hash", "salt"), ["hash", "salt"], "left_semi").select("hash"))
+            seen = seen.unionByName(once.join(self.hot(run), "hash", "left_semi").select("hash"))
         return store.stage(seen.distinct(), "repeated")
 
     def postings(self, hashes: DataFrame) -> DataFrame:
-        """The postings of the hashes in all runs; the runs stay where they are."""
-        parts = [self.read(run).join(hashes.hint("merge"), "hash", "left_semi") for run in self.runs()]
-        return reduce(DataFrame.unionByName, parts)
+        """hash and doc of the hashes in all runs; the runs stay where they are, each hash goes to all of its salts."""
+
+        def of(run: str) -> DataFrame:
+            salts = F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("salts")))
+            wanted = hashes.join(self.hot(run), "hash", "left").select("hash", F.explode(salts).alias("salt"))
+            return self.read(run).join(wanted.hint("merge"), ["hash", "salt"], "left_semi").select("hash", "doc")
+
+        return reduce(DataFrame.unionByName, map(of, self.runs()))
 
     def compact(self) -> None:
         """Merges the runs of any level that has reached the fanout into one of the next."""
@@ -159,6 +191,7 @@ class FingerprintIndex:
     def _forget(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
         store.drop(self.spark, f"{self.path}/{name}")
+        store.drop(self.spark, f"{self.path}/hot-{name}")
 
     def close(self) -> None:
         """Takes the runs' tables out of the session's catalog; the runs stay."""

@@ -60,12 +60,31 @@ def test_index(spark):
     assert [n.split("-")[1] for n in index.runs()] == ["00", "01"]
     new, old = (index.read(n) for n in index.runs())
     assert sorted(r.hash for r in old.collect()) == [1, 2, 2, 3, 3, 4]
-    plan = new.select("hash").hint("merge").join(old.select("hash"), "hash", "left_semi")._jdf.queryExecution().toString()
+    plan = new.select("hash", "salt").hint("merge").join(old.select("hash", "salt"), ["hash", "salt"], "left_semi")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     index.delete()
     assert index.runs() == []
 
 
+def test_hot_fingerprint(spark):
+    """A fingerprint of a third of all postings is dealt over several buckets, and found again in all of them."""
+    index = substrings.FingerprintIndex(spark, store.fresh(spark, "index-test"), fanout=2, hot_least=16)
+    post = lambda rows: spark.createDataFrame(rows, "hash long, doc long")
+    first = [(5, d) for d in range(1000)] + [(100 + d, d) for d in range(2000)]
+    assert {r.hash for r in index.add(post(first)).collect()} == {5}
+    run = index.read(index.runs()[0])
+    salts = run.where("hash = 5").groupBy("salt").count().collect()
+    assert len(salts) > 3 and all(r.salt > 0 for r in salts) and run.where("hash <> 5 and salt <> 0").isEmpty()
+    files = [r["count"] for r in run.groupBy(substrings.F.input_file_name()).count().collect()]
+    assert len(files) == 8 and max(files) < 1.6 * len(first) / 8, files
+    # Once in a later batch, and in the run that both are compacted into.
+    assert {r.hash for r in index.add(post([(5, 9001), (100, 9002), (7, 9003)])).collect()} == {5, 100}
+    assert {r.hash for r in index.add(post([(5, 9004), (7, 9005)])).collect()} == {5, 7}
+    got = sorted((r.hash, r.doc) for r in index.postings(post([(5, 0), (7, 0)]).select("hash")).collect())
+    assert got == sorted([(5, d) for d in [*range(1000), 9001, 9004]] + [(7, 9003), (7, 9005)])
+    index.delete()
+
+
 def test_batches(spark):
     """A batch after the other against brute force: what a batch loses lies in it or in those before."""
     rng, window = random.Random(5), 5
