@@ -66,9 +66,9 @@ def test_ablation(spark, sf):
 
 
 def test_sql(spark, sf, tmp_path):
-    """Both queries that have SQL, and texts that the tables lack."""
+    """The queries that have SQL, and texts that the tables lack."""
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         cursor = con.execute(sql)
