@@ -25,6 +25,12 @@ def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import collocations
+
+    return collocations.mine(_table(spark, folder, "documents")).withColumnRenamed("part", "lang")
+
+
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import store, warc
 
@@ -180,6 +186,30 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM m
 """
 
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, 1 AS depth, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w),
+f AS (SELECT lang, depth, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (
+  SELECT lang, depth, phrase, a, unnest(range(1, depth)) AS k, string_split(phrase, ' ') AS s FROM f WHERE depth > 1),
+cut AS (
+  SELECT c.lang, c.depth, c.phrase, c.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(s[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(s[k + 1:c.depth], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS phrase, max(a) AS longer FROM f, range(1, 3) AS i(i) WHERE depth = 3 GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN inner_part USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL, "op11_filter_interactions": OP11_SQL}
+    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL, "op11_filter_interactions": OP11_SQL, "op13_collocations": OP13_SQL}
