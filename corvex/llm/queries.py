@@ -25,6 +25,12 @@ def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from corvex.llm import sharding
+
+    return sharding.shard(_table(spark, folder, "documents"))
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import collocations
 
