@@ -3,10 +3,11 @@
 1. Each task reads its shard of the texts into tries of bounded size: a node is
    a run of up to ``max_words`` words within a piece, with its occurrences; the
    root of a part counts all its words.  Tries are built level by level with
-   numpy and written as sorted runs of (path, n).
-2. The runs are dealt by ranges of paths and merged in order.  A path is the
-   bytes of part and words with a zero byte between them, so that a trie's
-   depth-first order is the order of the bytes.
+   numpy.
+2. A trie is serialised in order and cut at fixed borders into ranges of paths.
+   The cuts of one range, one from each trie, meet in one task and are merged.
+   Borders are quantiles of a sample; they decide how work is dealt and nothing
+   else.
 3. A walk along the merged order gives each node the counts of its ancestors,
    which are the left parts of all cuts.  Where a range begins inside a subtree,
    the ancestors are the last nodes of each depth in the ranges before it.
@@ -15,12 +16,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,11 @@ from corvex.llm import store
 #: Words that a task holds before it writes its trie.
 SHARD_WORDS = 1 << 20
 #: Bytes of a text that are looked at together; slices end where a piece ends.
-SLICE = 1 << 22
+SLICE = 1 << 20
+#: Nodes that a range is to hold, and the most ranges (their borders go to every task).
+RANGE_NODES, MOST_RANGES = 1 << 20, 1 << 18
+#: Texts and paths that the borders are taken from.
+SAMPLE_TEXTS, SAMPLE_PATHS = 4000, 1 << 18
 #: Buckets of a part in the first round of the report, each of which keeps as many rows as the report has.
 BUCKETS = 64
 
@@ -95,110 +99,199 @@ def build(ids: np.ndarray, size: int, depth: int) -> list[tuple[np.ndarray, np.n
     return levels
 
 
-def _preorder(levels: list) -> list[np.ndarray]:
-    """Each node's place in depth-first order; the root is at 0."""
+def serialised(ids: np.ndarray, size: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The trie in depth-first order: ranks of each path's words (0 behind its end) and occurrences; the root is first."""
+    levels = build(ids, size, depth)
     sizes = [np.ones(len(n), np.int64) for _, _, n in levels]
     for k in range(len(levels) - 1, 0, -1):
         np.add.at(sizes[k - 1], levels[k][0], sizes[k])
-    places, above = [], np.zeros(1, np.int64)
-    for (parent, _, _), size in zip(levels, sizes):
-        before = np.cumsum(size) - size
-        first = np.searchsorted(parent, parent)
-        place = above[parent] + 1 + before - before[first]
-        places.append(place)
+    rows = 1 + sum(len(n) for _, _, n in levels)
+    paths, counts = np.zeros((rows, depth), np.int64, order="F"), np.zeros(rows, np.int64)
+    counts[0] = np.count_nonzero(ids)
+    above = np.zeros(1, np.int64)  # places of the level above
+    for k, ((parent, word, n), size_of) in enumerate(zip(levels, sizes)):
+        before = np.cumsum(size_of) - size_of
+        place = above[parent] + 1 + before - before[np.searchsorted(parent, parent)]
+        paths[place, :k] = paths[above[parent], :k]
+        paths[place, k], counts[place] = word, n
         above = place
-    return places
+    return paths, counts
 
 
-def _run(part: bytes, ids: np.ndarray, words: pa.Array, depth: int) -> pa.RecordBatch:
-    """One part's trie as a sorted run of (path, n)."""
-    levels = build(ids, len(words), depth)
-    paths, counts, above = [pa.array([part], pa.binary())], [np.array([np.count_nonzero(ids)])], pa.array([part], pa.binary())
-    for parent, word, n in levels:
-        above = pc.binary_join_element_wise(above.take(pa.array(parent)), words.take(pa.array(word)), b"\x00")
-        paths.append(above)
-        counts.append(n)
-    place = np.concatenate([np.zeros(1, np.int64), *_preorder(levels)])
-    order = np.empty_like(place)
-    order[place] = np.arange(len(place))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(paths).take(pa.array(order)), pa.array(np.concatenate(counts)[order].astype(np.int64))], ["path", "n"])
+def _cut(paths: np.ndarray, words: list[bytes], border: tuple[bytes, ...]) -> int:
+    """The first row of a serialised trie that isn't before the border; words[r] has the rank r."""
+    low, high = 0, len(paths)
+    for k, word in enumerate(border):
+        rank = bisect_left(words, word, 1)
+        column = paths[low:high, k]
+        if rank == len(words) or words[rank] != word:
+            return low + int(np.searchsorted(column, rank))
+        low, high = low + int(np.searchsorted(column, rank)), low + int(np.searchsorted(column, rank, "right"))
+    return low
 
 
-def _tries(depth: int, limit: int):
-    def written(words: _Words, parts: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+_ZSTD = "zstd"
+
+
+def encode(paths: np.ndarray, n: np.ndarray, words: list[bytes]) -> bytes:
+    """Rows of a serialised trie with the words they need."""
+    used = np.unique(paths)
+    used = used[used > 0]
+    codes = np.where(paths > 0, np.searchsorted(used, paths) + 1, 0).astype(np.min_scalar_type(len(used) + 1))
+    counts = n.astype(np.min_scalar_type(int(n.max())))
+    vocabulary = b"\x00".join(words[r] for r in used.tolist())
+    body = codes.T.tobytes() + counts.tobytes() + vocabulary
+    head = np.array([len(n), codes.itemsize, counts.itemsize, len(body)], "<i8").tobytes()
+    return head + pa.compress(body, _ZSTD, asbytes=True)
+
+
+def decode(blob: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Paths, whose ranks are places in the words from 1, occurrences and words."""
+    rows, width, count_width, size = np.frombuffer(blob, "<i8", 4).tolist()
+    body = pa.decompress(blob[32:], size, _ZSTD, asbytes=True)
+    end = rows * depth * width
+    paths = np.frombuffer(body, f"u{width}", rows * depth).reshape(depth, rows).T.astype(np.int64)
+    n = np.frombuffer(body, f"u{count_width}", rows, end).astype(np.int64)
+    words = body[end + rows * count_width :]
+    return paths, n, words.split(b"\x00") if words else []
+
+
+def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[bytes], dict[bytes, np.ndarray]]]:
+    """Sorted words (the first place is empty) and each part's ranks, for every so many words."""
+
+    def ranked(words: _Words, parts: dict[bytes, list]) -> tuple[list[bytes], dict[bytes, np.ndarray]]:
         named = list(words)[1:]
         order = sorted(range(len(named)), key=named.__getitem__)
         rank = np.zeros(len(words), np.int64)
         rank[np.array(order, np.int64) + 1] = np.arange(1, len(words))
-        sorted_words = pa.array([b""] + [named[i] for i in order], pa.binary())
-        for part in sorted(parts):
-            run = _run(part, rank[np.concatenate(parts[part])], sorted_words, depth)
-            yield from (run.slice(k, 1 << 16) for k in range(0, run.num_rows, 1 << 16))
+        return [b"", *(named[i] for i in order)], {p: rank[np.concatenate(parts[p])] for p in sorted(parts)}
 
-    def build_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, held = _Words(), {}, 0
-        for batch in batches:
-            named = [_escaped(p.encode()) for p in batch.column("part").to_pylist()]
-            for part, text in zip(named, batch.column("text")):
-                for piece in _slices(text.cast(pa.binary()).as_py()):
-                    tokens = piece.replace(BREAK, b" \xff ").split()
-                    tokens.append(BREAK)
-                    parts.setdefault(part, []).append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
-                    held += len(tokens)
-                    if held >= limit:
-                        yield from written(words, parts)
-                        words, parts, held = _Words(), {}, 0
-        if parts:
-            yield from written(words, parts)
+    words, parts, held = _Words(), {}, 0
+    for batch in batches:
+        named = [_escaped(p.encode()) for p in batch.column("part").to_pylist()]
+        for part, text in zip(named, batch.column("text")):
+            for piece in _slices(text.cast(pa.binary()).as_py()):
+                tokens = piece.replace(BREAK, b" \xff ").split()
+                tokens.append(BREAK)
+                parts.setdefault(part, []).append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
+                held += len(tokens)
+                if held >= limit:
+                    yield ranked(words, parts)
+                    words, parts, held = _Words(), {}, 0
+    if parts:
+        yield ranked(words, parts)
+
+
+def _tries(depth: int, limit: int, borders: list[tuple[bytes, ...]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, parts in _shards(batches, limit):
+            for part, ids in parts.items():
+                paths, n = serialised(ids, len(words), depth)
+                first, end = bisect_left(borders, (part,)), bisect_left(borders, (part + b"\x00",))
+                cuts = [0, *(_cut(paths, words, border[1:]) for border in borders[first:end]), len(n)]
+                named, blobs = [], []
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a < b:
+                        named.append(first + k)
+                        blobs.append(encode(paths[a:b], n[a:b], words))
+                    if blobs and (len(blobs) == 1024 or b == len(n)):
+                        yield pa.RecordBatch.from_pydict({"pid": pa.array(named, pa.int32()), "part": pa.array([part] * len(blobs), pa.binary()), "blob": pa.array(blobs, pa.binary())})
+                        named, blobs = [], []
 
-    return build_shard
+    return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Runs in order -> distinct paths in order with their sums."""
-    held = None
-    for batch in batches:
-        paths, n = batch.column("path"), batch.column("n").to_numpy()
-        if held is not None:
-            paths, n = pa.concat_arrays([held[0], paths]), np.concatenate([held[1], n])
-        if len(n) == 0:
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(paths[1:], paths[:-1]).to_numpy(zero_copy_only=False)]))
-        sums = np.add.reduceat(n, starts)
-        distinct = paths.take(pa.array(starts))
-        held = distinct[-1:], sums[-1:]
-        if len(sums) > 1:
-            yield distinct[:-1], sums[:-1]
-    if held is not None:
-        yield held
+def _sampled(depth: int, share: float):
+    """Paths of some positions of the given texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        for words, parts in _shards(batches, SHARD_WORDS):
+            rows = []
+            for part, ids in parts.items():
+                for i in np.flatnonzero((ids != 0) & (rng.random(len(ids)) < share)).tolist():
+                    run_ids = ids[i : i + depth].tolist()
+                    run_ids = run_ids[: run_ids.index(0)] if 0 in run_ids else run_ids
+                    rows.append([part, *(words[r] for r in run_ids)])
+            yield pa.RecordBatch.from_pydict({"path": pa.array(rows, pa.list_(pa.binary()))})
+
+    return run
+
+
+def _borders(rows: DataFrame, depth: int) -> list[tuple[bytes, ...]]:
+    """Distinct paths of a bounded sample at equal distances, one fewer than ranges."""
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    nodes = (total.size or 0) // 4  # a node for each word or a little more
+    ranges = min(MOST_RANGES, nodes // RANGE_NODES + 1)
+    if ranges < 2:
+        return []
+    fraction = min(1.0, SAMPLE_TEXTS / total.n)
+    share = min(1.0, SAMPLE_PATHS / (fraction * nodes))
+    found = rows.sample(fraction, seed=7).mapInArrow(_sampled(depth, share), "path array<binary>").collect()  # SAMPLE_PATHS rows or so
+    paths = sorted({tuple(map(bytes, r.path)) for r in found})
+    return sorted({paths[len(paths) * k // ranges] for k in range(1, ranges)}) if paths else []
+
+
+def _merged(blobs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Serialised tries of one part and range -> one of distinct paths in order."""
+    decoded = [decode(b, depth) for b in blobs]
+    words = sorted(set().union(*(w for _, _, w in decoded)))
+    rank = {w: i for i, w in enumerate(words, 1)}
+    paths = np.concatenate([np.concatenate([[0], np.fromiter(map(rank.__getitem__, w), np.int64, len(w))])[p] for p, _, w in decoded])
+    n = np.concatenate([n for _, n, _ in decoded])
+    if (len(words) + 1) ** depth < 1 << 62:
+        key = paths[:, 0]
+        for k in range(1, depth):
+            key = key * (len(words) + 1) + paths[:, k]
+        order = np.argsort(key, kind="stable")
+        changed = np.diff(key[order]) != 0
+    else:
+        order = np.lexsort(paths.T[::-1])
+        changed = (np.diff(paths[order], axis=0) != 0).any(axis=1)
+    starts = np.flatnonzero(np.concatenate([[True], changed]))
+    return paths[order[starts]], np.add.reduceat(n[order], starts), words
 
 
 def _walk(depth: int, least: int):
+    """Merges each range and gives its frequent nodes their ancestors' counts, -1 where they lie in an earlier range."""
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[bytes, list[bytes]]]]:
+        held, parts = None, {}
+        for batch in batches:
+            for pid, part, blob in zip(*(batch.column(c).to_pylist() for c in ("pid", "part", "blob"))):
+                if pid != held and parts:
+                    yield held, parts
+                    parts = {}
+                held = pid
+                parts.setdefault(part, []).append(blob)
+        if parts:
+            yield held, parts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seen, last = TaskContext.get().partitionId(), 0, np.full(depth, -1, np.int64)
-        for paths, n in _merged(batches):
-            level = pc.count_substring(paths, b"\x00").to_numpy()
-            here = np.arange(len(n))
-            left = np.empty((len(n), depth), np.int64)
-            for k in range(depth):
-                at = np.maximum.accumulate(np.where(level == k, here, -1))
-                left[:, k] = np.where(at >= 0, n[at], last[k])
-            last = left[-1].copy()
-            keep = np.flatnonzero((n >= least) | (level == 0))
-            words = [p.split(b"\x00") for p in paths.take(pa.array(keep)).to_pylist()]
-            rows = left[keep].tolist()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([_plain(w[0]) for w in words], pa.string()),
-                    "phrase": pa.array([_plain(b" ".join(w[1:])) for w in words], pa.string()),
-                    "depth": pa.array(level[keep].astype(np.int32)),
-                    "a": pa.array(n[keep]),
-                    "lefts": pa.array([[x if x >= 0 else None for x in r[: len(w) - 1]] for r, w in zip(rows, words)], pa.list_(pa.int64())),
-                    "pid": pa.array(np.full(len(keep), pid, np.int32)),
-                    "seq": pa.array(keep + seen),
-                }
-            )
-            seen += len(n)
+        for pid, parts in ranges(batches):
+            seen = 0
+            for part in sorted(parts):
+                paths, n, words = _merged(parts.pop(part), depth)
+                level = np.count_nonzero(paths, axis=1)
+                here = np.arange(len(n))
+                left = np.empty((len(n), depth), np.int64)
+                for k in range(depth):
+                    at = np.maximum.accumulate(np.where(level == k, here, -1))
+                    left[:, k] = np.where(at >= 0, n[at], -1)
+                keep = np.flatnonzero((n >= least) | (level == 0))
+                levels, lefts = level[keep].tolist(), left[keep].tolist()
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array([_plain(part)] * len(keep), pa.string()),
+                        "phrase": pa.array([_plain(b" ".join(words[r - 1] for r in p[:k])) for p, k in zip(paths[keep].tolist(), levels)], pa.string()),
+                        "depth": pa.array(levels, pa.int32()),
+                        "a": pa.array(n[keep]),
+                        "lefts": pa.array([[x if x >= 0 else None for x in row[:k]] for row, k in zip(lefts, levels)], pa.list_(pa.int64())),
+                        "pid": pa.array([pid] * len(keep), pa.int32()),
+                        "seq": pa.array(keep + seen),
+                    }
+                )
+                seen += len(n)
 
     return run
 
@@ -213,19 +306,15 @@ def nodes(docs: DataFrame, max_words: int = 3, min_count: int = 10, text: str =
     the part.  What is pruned has fewer occurrences than any of its longer runs
     could reach, so every ancestor of a kept node is kept.
     """
-    spark = docs.sparkSession
-    scratch = store.Scratch(spark)
-    store.small_batches(spark)
+    store.small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(part).cast("string"), F.lit("und")).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    runs = scratch.stage(rows.mapInArrow(_tries(max_words, SHARD_WORDS), "path binary, n long"), "trie-runs")
-    walked = runs.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_walk(max_words, min_count), NODES)
-    walked = store.stage(walked, "trie-nodes")
-    scratch.drop_all()
+    tries = rows.mapInArrow(_tries(max_words, SHARD_WORDS, _borders(rows, max_words)), "pid int, part binary, blob binary")
+    walked = store.stage(tries.repartition("pid").sortWithinPartitions("pid").mapInArrow(_walk(max_words, min_count), NODES), "trie-nodes")
     # One row for each range: the last node of every depth; a range takes them from the ranges before it.
     ends = walked.groupBy("pid").agg(*[F.max(F.when(F.col("depth") == k, F.struct("seq", "a")))["a"].alias(f"end{k}") for k in range(max_words)])
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("pid", F.array(*[F.last(f"end{k}", ignorenulls=True).over(before) for k in range(max_words)]).alias("ends"))
-    whole = walked.join(F.broadcast(ends), "pid")  # as many rows as ranges
+    whole = walked.join(F.broadcast(ends), "pid")  # as many rows as ranges, MOST_RANGES at most
     return whole.select("part", "phrase", "depth", "a", F.transform("lefts", lambda x, k: F.coalesce(x, F.get("ends", k))).alias("lefts"))
 
 

@@ -65,13 +65,11 @@ def test_many_small_shards(spark, monkeypatch):
     """Tries of few words, ranges that begin inside the subtree of a frequent word or pair, texts cut into slices."""
     monkeypatch.setattr(collocations, "SHARD_WORDS", 100)
     monkeypatch.setattr(collocations, "SLICE", 50)
+    monkeypatch.setattr(collocations, "RANGE_NODES", 200)
     docs = [(t, "en") for t in texts(5, 300, ["the", "of", *[f"w{i}" for i in range(60)]])] + [("the of " * 30, "en")] * 50
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = rows_of(collocations.mine(frame(spark, docs).repartition(9), top=50))
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    rows = frame(spark, docs).repartition(9)
+    assert len(collocations._borders(rows.selectExpr("lang as part", "text"), 3)) > 50
+    got = rows_of(collocations.mine(rows, top=50))
     assert got == plain(docs, top=50)
 
 
@@ -96,19 +94,26 @@ def test_scores_beyond_64_bits(spark):
     assert row.score == 10**6 * (big - 3) ** 2 // ((big + 7) * (big + 1))
 
 
-def test_trie_levels():
+def test_serialised_trie():
     rng = np.random.default_rng(3)
+    words = [b"", b"a", b"ab", b"b", b"ba", b"c"]
     ids = rng.integers(0, 6, 500)
-    levels = collocations.build(ids, 6, 3)
-    plain_counts = Counter(tuple(ids[i : i + k]) for k in (1, 2, 3) for i in range(len(ids) - k + 1) if all(ids[i : i + k]))
-    paths, got = [()], Counter()
-    for parent, word, n in levels:
-        paths = [paths[p] + (w,) for p, w in zip(parent, word)]
-        assert paths == sorted(paths)
-        got.update(dict(zip(paths, n.tolist())))
-    assert got == plain_counts
-    places = np.concatenate(collocations._preorder(levels))
-    assert sorted(places) == list(range(1, len(got) + 1))
+    for depth in (1, 3, 4):
+        paths, n = collocations.serialised(ids, 6, depth)
+        want = Counter(tuple(ids[i : i + k]) for k in range(1, depth + 1) for i in range(len(ids) - k + 1) if all(ids[i : i + k]))
+        tuples = [tuple(int(x) for x in p if x) for p in paths]
+        assert tuples == sorted(tuples) and dict(zip(tuples[1:], n[1:].tolist())) == want and n[0] == np.count_nonzero(ids)
+        named = [tuple(words[x] for x in p) for p in tuples]
+        for border in [(b"a",), (b"aa",), (b"ab", b"b", b"c")[:depth], (b"b", b"bb")[:depth], (b"z",), (b"", b"a")[:depth]]:
+            assert collocations._cut(paths, words, border) == sum(p < border for p in named)
+        pieces = ((0, 40), (3, 4), (2, len(n)))
+        parts = [collocations.encode(paths[a:b], n[a:b], words) for a, b in pieces]
+        again, total, vocabulary = collocations._merged(parts, depth)
+        sums = Counter()
+        for a, b in pieces:
+            sums.update(dict(zip(named[a:b], n[a:b].tolist())))
+        got = [tuple(vocabulary[x - 1] for x in p if x) for p in again]
+        assert got == sorted(sums) and dict(zip(got, total.tolist())) == sums
 
 
 def test_sql(spark, sf, tmp_path):
