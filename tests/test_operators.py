@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from corvex.functions import classify, html, registry as reg, text as tx
 from corvex.operators import chunking, evaluate, fusion, relational as rel, search, two_stage
 from corvex.sources import files
-from corvex.streaming import rates
 
 
 def one(spark, *columns):
@@ -124,12 +123,6 @@ def test_text_helpers(spark):
     assert one(spark, tx.or_rank(F.array(F.lit("thing"), F.lit("x")), ["th"]))[0] == pytest.approx(0.1 / 1.1)
 
 
-def test_stream_with_watermark(spark, sf):
-    rows = rates.run_once(rates.window_counts(rates.read_events(spark, f"{sf}/events.parquet"), late="1 day"), "append")
-    total = spark.read.parquet(f"{sf}/events.parquet").count()
-    assert 0 < rows.agg(F.sum("n")).first()[0] <= total
-
-
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([("a", "T", 6, "xx xx yy"), ("b", "xx", 6, "zz")], "document_id string, title string, authority_level int, text string")
     got = {r.document_id: r.score for r in search.bm25(docs, "xx").collect()}
