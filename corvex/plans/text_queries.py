@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvex.functions import classify, text as tx
-from corvex.operators import fusion, search, two_stage
+from corvex.operators import fusion, search, search_index, two_stage, vectors
 from corvex.operators.relational import first_per_key
+from corvex.sources import shared
 from corvex.sources.tables import CORPUS_SQL, corpus, table
 
 QUERY = "the thing that with and from"
 YEAR = 2025
 
 
+def index_of(spark: SparkSession, folder: str) -> search_index.Index:
+    """The search index of the documents, built when they have changed."""
+    return search_index.of_table(spark, f"{folder}/documents.parquet", corpus(spark, folder))
+
+
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The best 20 documents for a benchmark-like query."""
-    found = search.bm25(corpus(spark, folder), QUERY)
+    """The best 20 documents for a benchmark-like query, from the index."""
+    found = search_index.bm25(index_of(spark, folder), QUERY, 20, digits=6)
     return search.top(found, 20, F.round("score", 6).desc(), F.col("document_id")).select("document_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -34,17 +42,17 @@ SELECT document_id, score, (row_number() OVER (ORDER BY score DESC, document_id)
 
 
 def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The best 15 documents by words, phrase and near words."""
-    found = search.keyword_score(corpus(spark, folder), "thing that")
+    """The best 15 documents by words, phrase and near words, from the index."""
+    found = search_index.keyword_score(index_of(spark, folder), "thing that")
     return search.top(found, 15, F.round("score", 6).desc(), F.col("document_id")).select("document_id", F.round("score", 6).alias("score"))
 
 
 KEYWORD_SQL = f"""WITH {CORPUS_SQL},
-t AS (SELECT document_id, lower(title) AS title, lower(text) AS text, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9()./-]*'), lambda x: lower(x)), lambda x: length(x) > 1)) AS w FROM corpus),
+t AS (SELECT document_id, lower(title) AS title, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9()./-]*'), lambda x: lower(x)), lambda x: length(x) > 1) AS w FROM corpus),
 p AS (SELECT *, list_contains(w, 'thing') AS h1, list_contains(w, 'that') AS h2, contains(title, 'thing') AS t1, contains(title, 'that') AS t2 FROM t),
 r AS (SELECT document_id, round(
    CASE WHEN (h1 OR t1) AND (h2 OR t2) THEN 3.0 * (CASE WHEN t1 THEN 3 WHEN h1 THEN 1 ELSE 0 END + CASE WHEN t2 THEN 3 WHEN h2 THEN 1 ELSE 0 END) ELSE 0 END
-   + CASE WHEN contains(text, 'thing that') OR contains(title, 'thing that') THEN 5 ELSE 0 END
+   + CASE WHEN len(list_filter(range(1, len(w)), lambda i: w[i] = 'thing' AND w[i + 1] = 'that')) > 0 OR contains(title, 'thing that') THEN 5 ELSE 0 END
    + CASE WHEN len(list_filter(w, lambda x: starts_with(x, 'th') AND levenshtein(x, 'thing') <= 1)) > 0 THEN 0.8 ELSE 0 END
    + CASE WHEN len(list_filter(w, lambda x: starts_with(x, 'th') AND levenshtein(x, 'that') <= 1)) > 0 THEN 0.8 ELSE 0 END, 6)::DOUBLE AS score FROM p)
 SELECT document_id, score FROM r WHERE score > 0 ORDER BY score DESC, document_id LIMIT 15"""
@@ -259,15 +267,29 @@ def _tokens(text):  # noqa: ANN001, ANN202
 
 
 def stage1_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    """First stage: ranks of the spread summary and the title, title similarity and type bonus, the best 50."""
-    prefixes = two_stage.query_prefixes(RANKED_QUERY)
-    docs = corpus(spark, folder)
+    """First stage: ranks of the spread summary and the title, title similarity and type bonus, the best 50; from the index."""
+    rows = search_index.first_stage(index_of(spark, folder), RANKED_QUERY, two_stage.query_prefixes(RANKED_QUERY))
     bonus = F.when(F.col("document_type").isin("Constitution", "Act"), 0.35).when(F.col("document_type").contains("Judgment"), 0.25).when(F.col("document_type").contains("Gazette"), 0.15).otherwise(0.0)
-    rows = docs.select("document_id", "document_type", tx.or_rank(_tokens(tx.spread_summary(F.col("text"))), prefixes).alias("s"), tx.or_rank(_tokens(F.col("title")), prefixes).alias("t"), tx.similarity(tx.trigrams(F.col("title")), tx.trigrams(F.lit(RANKED_QUERY))).alias("sim"))
-    rows = rows.where("s > 0 or t > 0 or sim >= 0.08").select("document_id", F.round(F.col("s") + 3 * F.col("t") + 1.5 * F.col("sim") + bonus, 6).cast("double").alias("score"))
+    rows = rows.select("document_id", F.round(F.col("summary_rank") + 3 * F.col("title_rank") + 1.5 * F.col("similarity") + bonus, 6).cast("double").alias("score"))
     return search.top(rows, 50, F.col("score").desc(), F.col("document_id"))
 
 
+def title_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles with a trigram similarity of at least 0.15 to a query, from the trigram index."""
+    rows = search_index.similar_titles(index_of(spark, folder), RANKED_QUERY, 0.15)
+    return rows.select(F.col("key").alias("document_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def near_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms within a few edits of each of three words, with their document frequency, from the term dictionary."""
+    index = index_of(spark, folder)
+    out = None
+    for word in ("thing", "that", "eauaile"):
+        part = search_index.near_terms(index, word).join(index.terms.where("field = 'text'"), "term").select(F.lit(word).alias("word"), "term", "df", "cf")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sql_summary(t: str) -> str:
     """SQL of a text's head, middle and tail within a tenth of it, 1200 to 12000 characters."""
     n, gap = f"length({t})", "chr(10) || chr(10) || '[...]' || chr(10) || chr(10)"
@@ -285,6 +307,11 @@ STAGE1_SQL = f"""WITH {CORPUS_SQL}, a AS (SELECT document_id, document_type, {_H
 b AS (SELECT document_id, document_type, s / (s + 1) AS s, t / (t + 1) AS t, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) AS sim FROM a),
 c AS (SELECT document_id, round(s + 3 * t + 1.5 * sim + CASE WHEN document_type IN ('Constitution', 'Act') THEN 0.35 WHEN contains(document_type, 'Judgment') THEN 0.25 WHEN contains(document_type, 'Gazette') THEN 0.15 ELSE 0 END, 6)::DOUBLE AS score FROM b WHERE s > 0 OR t > 0 OR sim >= 0.08)
 SELECT document_id, score, (row_number() OVER (ORDER BY score DESC, document_id))::INTEGER AS rank FROM c ORDER BY score DESC, document_id LIMIT 50"""
+TITLES_SQL = f"""WITH {CORPUS_SQL}, a AS (SELECT document_id, {_TRI(_TOK("title"))} AS g, {_TRI(_ASKED)} AS h FROM corpus), b AS (SELECT document_id, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) AS s FROM a)
+SELECT document_id, round(s, 6) AS similarity FROM b WHERE s >= 0.15"""
+NEAR_SQL = r"""WITH t AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9()./-]*'), lambda x: lower(x)), lambda x: length(x) > 1)) AS term FROM documents),
+c AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1), w AS (SELECT * FROM (VALUES ('thing', 1), ('that', 1), ('eauaile', 2)) AS w(word, most))
+SELECT word, term, df, cf FROM c JOIN w ON starts_with(term, word[1:2]) AND levenshtein(term, word) <= most"""
 
 
 def stage2_blend(spark: SparkSession, folder: str) -> DataFrame:
@@ -327,11 +354,26 @@ SELECT document_id, round(raw, 6)::DOUBLE AS raw_score, (CASE WHEN raw > 0 THEN
 
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Five nearest vectors of those whose id is divisible by 50."""
-    vectors = table(spark, folder, "embeddings")
-    found = search.nearest(vectors.select("vec_id", "embedding"), vectors.where("vec_id % 50 = 0"), 5)
+    table_ = table(spark, folder, "embeddings")
+    found = vectors.nearest(table_, table_.where("vec_id % 50 = 0"), 5)
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+def vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the queries divisible by 50, how many of the ten nearest vectors with an even label the index finds: queries, pairs, whether recall is 0.9 or more."""
+    table_ = table(spark, folder, "embeddings")
+    asked, test = table_.where("vec_id % 50 = 0"), F.col("label") % 2 == 0
+    index = vectors.build(table_, f"{shared.shared_dir(spark)}/corvex-vectors/{uuid.uuid4().hex}", ["label"])
+    found = vectors.search(index, asked, 10, probes=16, test=test)
+    truth = vectors.nearest(table_.where(test), asked, 10)
+    hits = truth.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+VECTOR_SQL = """WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT q.vec_id, least(10, count(*)) AS n FROM q JOIN embeddings e ON e.label % 2 = 0 AND e.vec_id <> q.vec_id GROUP BY 1)
+SELECT count(*) AS queries, sum(n)::BIGINT AS pairs, true AS recall_reached FROM n"""
+
+
 KNN_SQL = """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, vec_id, round(s, 5) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id))::INTEGER AS rank FROM p QUALIFY rank <= 5"""
 
@@ -347,9 +389,10 @@ EVIDENCE_SQL = r"""WITH a AS (SELECT conv_id, turn, 0.1 * len(list_filter(list_f
 b AS (SELECT conv_id, turn, round(s / (s + 1), 6)::DOUBLE AS rank FROM a)
 SELECT conv_id, turn, rank FROM b QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rank DESC, turn) <= 3"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, keyword_search, token_estimate_stats, extraction_quality, doc_quality_rollup, spread_summary, trigram_similarity, query_parsing, citation_projection, policy_screen, citation_extraction, rrf_fusion, legal_quality_rerank, pack_select, intent_features, stage1_ranking, stage2_blend, knn_topk, best_evidence)}
+QUERIES = {f.__name__: f for f in (bm25_topk, keyword_search, token_estimate_stats, extraction_quality, doc_quality_rollup, spread_summary, trigram_similarity, query_parsing, citation_projection, policy_screen, citation_extraction, rrf_fusion, legal_quality_rerank, pack_select, intent_features, stage1_ranking, stage2_blend, knn_topk, best_evidence, title_matches, near_words, vector_search)}
 SQL = {
     "bm25_topk": BM25_SQL, "keyword_search": KEYWORD_SQL, "token_estimate_stats": TOKEN_SQL, "extraction_quality": QUALITY_SQL, "doc_quality_rollup": ROLLUP_SQL, "spread_summary": SUMMARY_SQL,
     "trigram_similarity": TRIGRAM_SQL, "query_parsing": PARSING_SQL, "citation_projection": CITATION_SQL, "policy_screen": POLICY_SQL, "citation_extraction": CITED_SQL, "rrf_fusion": RRF_SQL,
     "legal_quality_rerank": RERANK_SQL, "intent_features": INTENT_SQL, "stage1_ranking": STAGE1_SQL, "stage2_blend": STAGE2_SQL, "knn_topk": KNN_SQL, "best_evidence": EVIDENCE_SQL,
+    "title_matches": TITLES_SQL, "near_words": NEAR_SQL, "vector_search": VECTOR_SQL,
 }
