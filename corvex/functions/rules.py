@@ -151,17 +151,46 @@ def act_number(text: Column, fallback_year: Column) -> Column:
 
 
 def json_matches(payload: Column, path: str, expected: Column) -> Column:
-    """(matches, value) of a dotted path in JSON text."""
-    value = F.get_json_object(payload, "$." + path)
-    return F.struct(F.coalesce(value == expected, F.lit(False)).alias("matches"), value.alias("value"))
+    """(matches, value) of a dotted path in JSON text, where expected is JSON text as well.
+
+    Values are compared with their types: true is not "true", 1 is not "1",
+    while 1 is 1.0 and true is 1, as truth values are numbers too; objects and
+    arrays are compared by their canonical text.  A path that isn't there matches nothing, null
+    matches null.  The value is JSON text, null where the path isn't there.
+    """
+    node = F.try_parse_json(payload)
+    found = F.try_variant_get(node, "$" + "".join(f"['{part}']" for part in path.split(".")), "variant")
+    wanted = F.try_parse_json(expected)
+    kind = lambda v: F.regexp_replace(F.schema_of_variant(v), r"^(BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "NUMBER")
+    number = lambda v: F.try_variant_get(v, "$", "decimal(38,9)")
+    same = (kind(found) == kind(wanted)) & F.when(kind(found) == "NUMBER", number(found) == number(wanted)).otherwise(F.to_json(found) == F.to_json(wanted))
+    return F.struct(F.coalesce(same, F.lit(False)).alias("matches"), F.to_json(found).alias("value"))
+
+
+def json_string(value: Column) -> Column:
+    """The inside of a JSON string: quotes, backslashes and control characters escaped."""
+    return F.regexp_replace(F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":"', ""), r'"\}$', "")
 
 
 def substitute(payload: Column, values: dict[str, Column]) -> Column:
-    """JSON text whose strings have each ``{key}`` replaced; values are escaped as JSON strings."""
-    for key, value in values.items():
-        escaped = F.regexp_replace(F.regexp_replace(value, r"([\\\"])", r"\\$1"), "\n", r"\\n")
-        payload = F.replace(payload, F.lit("{" + key + "}"), escaped)
-    return payload
+    """JSON text whose string values have each ``{key}`` replaced; keys of objects stay as they are.
+
+    A string is a value where no colon follows it.  Nulls are put in as empty
+    text.
+    """
+    strings = F.regexp_extract_all(payload, F.lit(JSON_TOKEN), F.lit(0))
+
+    def filled(token: Column) -> Column:
+        out = token
+        for key, value in values.items():
+            out = F.replace(out, F.lit("{" + key + "}"), json_string(F.coalesce(value.cast("string"), F.lit(""))))
+        return F.when(token.startswith('"') & ~token.rlike(r":\s*$"), out).otherwise(token)
+
+    return F.array_join(F.transform(strings, filled), "")
+
+
+#: A string with the colon that makes it a key, or what lies between strings.
+JSON_TOKEN = r'(?s)"(?:[^"\\]|\\.)*"(?:\s*:)?|[^"]+'
 
 
 def label_hash(labels: Column) -> Column:
@@ -272,15 +301,28 @@ def clarifications(text: Column, reasoning: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.struct(F.lit(c).alias("category"), b.alias("blocks"))) for t, c, b in tests]))
 
 
+# What is to be done for each searchability class, and the plans for languages.
+ACTIONS = {
+    "needs_original_asset": "Sync the original document into object storage and record a primary file asset.",
+    "needs_page_extraction": "Run PDF text-layer extraction; if it produces empty pages, route the document to OCR.",
+    "needs_ocr_or_text_recovery": "Run OCR or manual text recovery, then reload pages and rebuild text versions/chunks.",
+    "needs_text_version": "Build current-pages-v1 document_text_versions and extracted-text assets from pages.",
+    "needs_translation_fallback": "Generate an English translation document_text_versions row with text_origin='translation' and machine-review status before English-only drafting uses it.",
+    "needs_chunk_indexing": "Build retrieval chunks from pages and load them into Postgres/OpenSearch/Qdrant.",
+    "fully_searchable": "No action required.",
+}
+PLANS = {
+    "translate": "Keep original source-language text; create an explicitly labelled English translation text version until an official English document is acquired.",
+    "detect": "Detect the source language before deciding whether an English translation fallback is required.",
+    "original": "Use original English source text.",
+}
+
+
 def recovery_plan(language: Column, classification: Column) -> Column:
     """(next_action, language_plan) of a document by its searchability class."""
     low = F.lower(F.trim(F.coalesce(language, F.lit(""))))
-    actions = {
-        "needs_original_asset": "sync_original", "needs_page_extraction": "extract_pages", "needs_ocr_or_text_recovery": "run_ocr", "needs_text_version": "build_text_version",
-        "needs_translation_fallback": "translate", "needs_chunk_indexing": "build_chunks", "fully_searchable": "none",
-    }
-    plan = F.when(low.isin(*TRANSLATED), "label_translation").when(~low.isin("english", "en", ""), "detect_language").otherwise("use_original")
-    return F.struct(_first([(classification == k, v) for k, v in actions.items()], "none").alias("next_action"), plan.alias("language_plan"))
+    plan = F.when(low.isin(*TRANSLATED), PLANS["translate"]).when(~low.isin("english", "en", ""), PLANS["detect"]).otherwise(PLANS["original"])
+    return F.struct(_first([(classification == k, v) for k, v in ACTIONS.items()], ACTIONS["fully_searchable"]).alias("next_action"), plan.alias("language_plan"))
 
 
 def latest_run(runs: DataFrame, collection: str) -> DataFrame:

@@ -59,8 +59,11 @@ def reciprocal_rank_fusion(hits: DataFrame, k: int = RRF_K) -> DataFrame:
     """One row for each chunk_id of the ranked lists (result_set, rank, chunk_id, score, retriever, authority_level, exact).
 
     The attributes are those of the hit with the largest raw score, of equal
-    ones the first seen.  One exchange by chunk_id with sums made before it.
+    ones the first seen.  Where the hits have intents and variants of their
+    query (intent, query_variant_id), all that found the chunk are kept, in
+    order.  One exchange by chunk_id with sums made before it.
     """
+    kept = {name: column for name, column in (("query_intents", "intent"), ("query_variant_ids", "query_variant_id")) if column in hits.columns}
     point = 1.0 / (k + F.col("rank")) + F.when(F.col("exact"), EXACT_BOOST / F.col("rank")).otherwise(0.0)
     first = F.struct((-F.col("score")).alias("s"), F.col("result_set").alias("r"), F.col("rank").alias("k"))
     others = [c for c in hits.columns if c not in ("chunk_id", "score", "rank", "result_set", "retriever")]
@@ -69,8 +72,9 @@ def reciprocal_rank_fusion(hits: DataFrame, k: int = RRF_K) -> DataFrame:
         F.array_sort(F.collect_set(F.concat_ws(" ", "retriever", F.lit("rank"), "rank"))).alias("retrieval_evidence"),
         F.min_by(F.struct(*others), first).alias("best"),
         F.min(F.struct("result_set", "rank")).alias("first_seen"),
+        *[F.array_sort(F.collect_set(column)).alias(name) for name, column in kept.items()],
     )
-    fused = fused.select("chunk_id", "best.*", "points", "retrieval_evidence", "first_seen")
+    fused = fused.select("chunk_id", "best.*", "points", "retrieval_evidence", "first_seen", *kept)
     return fused.withColumn("score", F.col("points") * classify.authority_boost(F.col("authority_level")))
 
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvex.functions import classify, text as tx
@@ -246,6 +246,28 @@ def _scored(index: Index, distinct: list[str], weights: dict[str, float], blocks
     return docs.select(key, ((F.coalesce("sum", F.lit(0.0)) + F.col("titled")) * classify.authority_boost(F.col("authority_level"))).alias("score")).where("score > 0")
 
 
+def bm25_each(index: Index, queries: dict[str, str], n: int, key: str = "document_id", digits: int = 6) -> DataFrame:
+    """(query, key, score, rank): the first n documents of each of a few named queries, by rounded score and key.
+
+    The postings of all queries' terms are read once; a document's shares are
+    summed for every query side by side.
+    """
+    terms = {name: query_tokens(q) for name, q in queries.items()}
+    distinct = list(dict.fromkeys(t for ts in terms.values() for t in ts))
+    if not distinct:
+        return index.docs.select(F.lit("").alias("query"), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where(F.lit(False))
+    idf = _idf(index, "text", distinct)
+    low, level = F.lower("title"), classify.authority_boost(F.col("authority_level"))
+    hits = _postings(index, "text", distinct).select("block", "term", F.inline("hits"))
+    hits = hits.withColumn("x", _impact(F.col("tf"), F.col("dl"), index.avgdl))
+    sums = [F.sum(F.col("x") * _times({t: ts.count(t) * idf[t] for t in dict.fromkeys(ts) if t in idf} or {"": 0.0})).alias(f"s{i}") for i, ts in enumerate(terms.values())]
+    docs = index.docs.select("block", key, "authority_level", "title").join(hits.groupBy("block", F.col("key").alias(key)).agg(*sums), ["block", key], "left")
+    each = [F.struct(F.lit(name).alias("query"), F.round((F.coalesce(f"s{i}", F.lit(0.0)) + sum((F.when(low.contains(w), TITLE_BONUS).otherwise(0.0) for w in dict.fromkeys(ts)), F.lit(0.0))) * level, digits).alias("score")) for i, (name, ts) in enumerate(terms.items())]
+    rows = docs.select(key, F.inline(F.array(*each))).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
+    return rows.withColumn("rank", place).where(F.col("rank") <= n).select("query", key, "score", "rank")
+
+
 def _most_edits(word: str) -> int:
     return 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvex.functions import text as tx
@@ -85,10 +85,24 @@ def full_text_metrics(docs: DataFrame, query: str, phrases: list[str]) -> DataFr
     return docs.withColumns({"full_text_rank": tx.or_rank(tokens, words), "term_hits": count(words), "phrase_hits": count(phrases)})
 
 
+def best_chunks(chunks: DataFrame, query: str, per_document: int = 3, least: float = 0.03) -> DataFrame:
+    """The best chunks of each document with chunk_rank, chunk_similarity, chunk_score (their sum) and place.
+
+    chunks: document_id, chunk_id, chunk_index, page_start, chunk_text.  A chunk
+    counts if it holds a word with one of the query's prefixes, or if its first
+    5000 characters are similar enough to the query.
+    """
+    prefixes = query_prefixes(query)
+    tokens = F.filter(F.split(F.lower("chunk_text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    similar = tx.similarity(tx.trigrams(F.substring("chunk_text", 1, 5000)), tx.trigrams(F.lit(query)))
+    rows = chunks.withColumns({"chunk_rank": tx.or_rank(tokens, prefixes), "chunk_similarity": similar}).where(f"chunk_rank > 0 or chunk_similarity >= {least}")
+    order = (F.round("chunk_rank", 9).desc(), F.round("chunk_similarity", 9).desc(), F.col("page_start").asc_nulls_last(), F.col("chunk_index"))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(*order))
+    return rows.withColumns({"chunk_score": F.col("chunk_rank") + F.col("chunk_similarity"), "place": place}).where(F.col("place") <= per_document)
+
+
 def merge_stages(first: DataFrame, second: DataFrame) -> DataFrame:
     """The larger score of each document, the first stage's on ties, with its rank."""
-    from pyspark.sql import Window
-
     both = first.select("document_id", "score", F.lit(0).alias("branch")).unionByName(second.select("document_id", "score", F.lit(1).alias("branch")))
     best = both.groupBy("document_id").agg(F.max("score").alias("score"), F.min_by("branch", F.struct((-F.col("score")).alias("s"), "branch")).alias("branch"))
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "branch", "document_id")))

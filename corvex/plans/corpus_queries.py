@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvex.functions import classify, rules, text as tx
-from corvex.operators import relational as rel
+from corvex.operators import health, relational as rel
 from corvex.sources.tables import corpus, pages, table
 
 
@@ -29,13 +29,14 @@ def searchability_audit(spark: SparkSession, folder: str) -> DataFrame:
     return out.join(docs.select("document_id", "language"), "document_id").select("document_id", "c.*", "original_asset_count", plan["next_action"].alias("next_action"), plan["language_plan"].alias("language_plan"))
 
 
-AUDIT_SQL = """WITH a AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1), v AS (SELECT doc_id, count(*) AS n, count(*) FILTER (toxic = 0) AS e FROM labels WHERE quality = 1 GROUP BY 1),
+_ACTIONS = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in rules.ACTIONS.items())
+AUDIT_SQL = f"""WITH a AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1), v AS (SELECT doc_id, count(*) AS n, count(*) FILTER (toxic = 0) AS e FROM labels WHERE quality = 1 GROUP BY 1),
 d AS (SELECT doc_id, lang, length(text) AS n FROM documents),
 j AS (SELECT d.*, coalesce(a.n, 0) AS assets, ceil(d.n / 2000) AS pages, (d.n > 200)::INT AS tp, coalesce(v.n, 0) AS versions, coalesce(v.e, 0) AS english, (doc_id % 5 <> 0)::INT AS chunks FROM d LEFT JOIN a USING (doc_id) LEFT JOIN v USING (doc_id)),
 c AS (SELECT *, CASE WHEN assets = 0 THEN 'needs_original_asset' WHEN pages = 0 THEN 'needs_page_extraction' WHEN tp = 0 THEN 'needs_ocr_or_text_recovery' WHEN versions = 0 THEN 'needs_text_version' WHEN lang = 'es' AND english = 0 THEN 'needs_translation_fallback' WHEN chunks = 0 THEN 'needs_chunk_indexing' ELSE 'fully_searchable' END AS k FROM j)
 SELECT 'doc_' || doc_id AS document_id, k AS classification, CASE k WHEN 'needs_original_asset' THEN 'critical' WHEN 'needs_page_extraction' THEN 'high' WHEN 'needs_ocr_or_text_recovery' THEN 'high' WHEN 'needs_text_version' THEN 'high' WHEN 'fully_searchable' THEN 'none' ELSE 'normal' END AS recovery_priority, assets::BIGINT AS original_asset_count,
- CASE k WHEN 'needs_original_asset' THEN 'sync_original' WHEN 'needs_page_extraction' THEN 'extract_pages' WHEN 'needs_ocr_or_text_recovery' THEN 'run_ocr' WHEN 'needs_text_version' THEN 'build_text_version' WHEN 'needs_translation_fallback' THEN 'translate' WHEN 'needs_chunk_indexing' THEN 'build_chunks' ELSE 'none' END AS next_action,
- CASE WHEN lang = 'es' THEN 'label_translation' WHEN coalesce(lang, '') NOT IN ('en', 'english', '') THEN 'detect_language' ELSE 'use_original' END AS language_plan FROM c"""
+ CASE k {_ACTIONS} END AS next_action,
+ CASE WHEN lang = 'es' THEN '{rules.PLANS["translate"]}' WHEN coalesce(lang, '') NOT IN ('en', 'english', '') THEN '{rules.PLANS["detect"]}' ELSE '{rules.PLANS["original"]}' END AS language_plan FROM c"""
 
 
 def searchability_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,33 +52,45 @@ SELECT 'all' AS scope, classification, count(*) AS n FROM r GROUP BY classificat
 SELECT * FROM (SELECT lang AS scope, classification, count(*) AS n FROM r WHERE classification <> 'fully_searchable' GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10)"""
 
 
+def _health_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a corpus, made from those given: pages and chunks of some documents, packs of orders, claims of customers."""
+    docs, n = corpus(spark, folder), F.col("doc_id")
+    pick = lambda test, value: F.when(test, value)
+    documents = docs.select("document_id", F.lit("s3").alias("provider"), F.lit("b").alias("bucket"), pick(n % 40 > 0, F.col("document_id")).alias("object_key"), pick(n % 41 > 0, F.col("document_id")).alias("primary_asset_id"))
+    page_rows = docs.where("doc_id % 30 > 0").select("document_id", F.lit(1).alias("page_number"), pick(n % 31 > 0, F.substring("text", 1, 200)).alias("text"))
+    text = pick(n % 37 > 0, F.substring("text", 1, 80))
+    chunks = docs.where("doc_id % 29 > 0").select("document_id", F.concat(F.lit("chunk_"), "doc_id").alias("chunk_id"), pick(n % 43 > 0, F.col("source_id")).alias("source_id"), "document_type", F.when(n % 47 > 0, "t").otherwise(" ").alias("title"), pick(n % 53 > 0, F.col("authority_level")).alias("authority_level"), (n % 59).cast("int").alias("token_estimate"), pick(n % 61 > 0, F.lit("c")).alias("citation"), text.alias("chunk_text"), F.sha2(F.when(n % 23 > 0, text).otherwise("changed"), 256).alias("text_hash"), pick(n % 2 == 0, (n % 3).cast("int")).alias("page_start"), pick(n % 4 == 0, (n % 3).cast("int")).alias("page_end"))
+    orders, items = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    packs = orders.select(F.col("o_orderkey").alias("pack_id"), F.when(F.col("o_orderstatus") == "F", "archived").otherwise("complete").alias("status"))
+    claims = table(spark, folder, "customer").select(F.col("c_custkey").alias("claim_id"), F.when(F.col("c_custkey") % 2 == 0, "supported").otherwise("open").alias("support_status"))
+    assets = docs.where("doc_id % 19 > 0").select("document_id", F.lit("original").alias("asset_kind"), (n % 17 > 0).alias("is_primary"))
+    versions = docs.where("doc_id % 13 > 0").select("document_id", F.concat(F.lit("v"), "doc_id").alias("text_version_id"), F.lit("current-pages-v1").alias("version_label"), pick(n % 11 > 0, F.lit("a")).alias("text_asset_id"))
+    digests = docs.where("doc_id % 7 > 0").select("document_id", F.concat(F.lit("v"), "doc_id").alias("text_version_id"), F.explode(F.array(F.lit("original_file"), F.lit("extracted_full_text"))).alias("digest_type"), F.lit("sha256").alias("algorithm"))
+    return {
+        "documents": documents, "pages": page_rows, "chunks": chunks, "packs": packs, "pack_items": items.where("l_quantity > 25").select(F.col("l_orderkey").alias("pack_id")), "case_packs": orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("pack_id"), F.lit("active").alias("status")),
+        "claims": claims, "claim_citations": orders.select(F.col("o_custkey").alias("claim_id")), "assets": assets, "digests": digests, "text_versions": versions,
+    }
+
+
 def health_zero_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Checks that should count nothing, one row each."""
-    docs, labels = corpus(spark, folder), table(spark, folder, "labels")
-    orders, items, customers = (table(spark, folder, t) for t in ("orders", "lineitem", "customer"))
-    checks = {
-        "documents_without_text": docs.where("text is null or length(trim(text)) = 0"),
-        "documents_without_label": docs.join(labels, "doc_id", "left_anti"),
-        "labels_without_document": labels.join(docs.select("doc_id"), "doc_id", "left_anti"),
-        "duplicate_documents": docs.groupBy("doc_id").count().where("count > 1"),
-        "orders_without_items": orders.join(items, orders["o_orderkey"] == items["l_orderkey"], "left_anti"),
-        "items_without_order": items.join(orders, orders["o_orderkey"] == items["l_orderkey"], "left_anti"),
-        "customers_with_orders": customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_semi"),
-        "bad_hashes": docs.where(F.sha2("text", 256) != tx.stable_hash(F.col("text"))),
-    }
-    out = None
-    for name, bad in checks.items():
-        row = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n", (F.col("n") == 0).alias("ok"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """The checks that should count nothing and the minimum counts, one row each."""
+    tables = _health_tables(spark, folder)
+    return health.zero_counts(tables).unionByName(health.minimums(tables, {"documents": 100, "pages": 10_000_000, "chunks": 1}))
 
 
 _CHECKS = {
-    "documents_without_text": "documents WHERE text IS NULL OR length(trim(text)) = 0", "documents_without_label": "documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", "labels_without_document": "labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
-    "duplicate_documents": "(SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)", "orders_without_items": "orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)", "items_without_order": "lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
-    "customers_with_orders": "customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "bad_hashes": "documents WHERE false",
+    "documents_without_pages": "d WHERE has_chunk AND NOT has_page", "documents_without_text_pages": "d WHERE has_chunk AND NOT has_text", "documents_without_chunks": "d WHERE has_text AND NOT has_chunk", "chunked_documents_without_text_pages": "d WHERE has_chunk AND NOT has_text",
+    "documents_without_primary_file_asset": "d WHERE doc_id % 19 = 0 OR doc_id % 17 = 0", "documents_without_original_digest": "d WHERE doc_id % 7 = 0", "documents_with_text_pages_without_text_version": "d WHERE has_text AND doc_id % 13 = 0", "documents_without_object_storage_key": "d WHERE doc_id % 40 = 0 OR doc_id % 41 = 0",
+    "chunks_with_empty_text": "d WHERE has_chunk AND length(trim(chunk)) = 0", "chunks_missing_citation": "d WHERE has_chunk AND doc_id % 61 = 0", "chunks_missing_required_metadata": "d WHERE has_chunk AND ((doc_id % 43 > 0 AND length(trim(source)) = 0) OR doc_id % 47 = 0 OR doc_id % 53 = 0 OR doc_id % 59 = 0)",
+    "chunks_with_invalid_page_anchor": "d WHERE has_chunk AND doc_id % 2 = 0 AND NOT (has_text AND doc_id % 3 = 1)", "active_research_packs_without_items": "orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)",
+    "active_case_packs_with_inactive_pack": "orders WHERE o_orderkey % 5 = 0 AND o_orderstatus = 'F'", "supported_claims_without_citations": "customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "text_versions_without_text_asset": "d WHERE doc_id % 13 > 0 AND doc_id % 11 = 0", "text_versions_without_text_digest": "d WHERE doc_id % 13 > 0 AND doc_id % 7 = 0", "chunks_with_wrong_text_hash": "d WHERE has_chunk AND doc_id % 23 = 0 AND chunk IS NOT NULL AND chunk <> 'changed'",
 }
-HEALTH_SQL = " UNION ALL ".join(f"SELECT '{k}' AS check_name, count(*) AS n, count(*) = 0 AS ok FROM {v}" for k, v in _CHECKS.items())
+HEALTH_SQL = (
+    "WITH d AS (SELECT *, doc_id % 29 > 0 AS has_chunk, doc_id % 30 > 0 AS has_page, doc_id % 30 > 0 AND doc_id % 31 > 0 AND coalesce(length(trim(substr(text, 1, 200))), 0) > 0 AS has_text, CASE WHEN doc_id % 37 > 0 THEN substr(text, 1, 80) END AS chunk FROM documents) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS check_name, count(*) AS n, count(*) = 0 AS ok FROM {v}" for k, v in _CHECKS.items())
+    + " UNION ALL SELECT 'minimum_documents', count(*), count(*) >= 100 FROM d UNION ALL SELECT 'minimum_pages', count(*), count(*) >= 10000000 FROM d WHERE has_page UNION ALL SELECT 'minimum_chunks', count(*), count(*) >= 1 FROM d WHERE has_chunk"
+)
 
 
 def invalid_anchor_range(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvex.functions import html, text as tx
+from corvex.functions import html, registry as reg, text as tx
 from corvex.operators import chunking
 from corvex.sources import files
 from corvex.sources.tables import corpus, pages, table
@@ -15,14 +15,37 @@ from corvex.streaming import rates
 
 
 def chunk_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of all documents' pages."""
-    return chunking.chunk_pages(pages(spark, folder).where("extraction_method = 'text_layer'")).drop("chunk_text").withColumn("quality_flags", F.array_join("quality_flags", "|"))
+    """Chunks of all documents' best pages."""
+    return chunking.chunk_pages(chunking.best_pages(pages(spark, folder))).drop("chunk_text").withColumn("quality_flags", F.array_join("quality_flags", "|"))
 
 
 def source_anchors(spark: SparkSession, folder: str) -> DataFrame:
     """The place of a quotation of 40 characters on each document's pages."""
     quotes = corpus(spark, folder).where("length(text) > 200").select("document_id", F.col("document_id").alias("quote_id"), F.regexp_replace(F.substring("text", 101, 40), r"\s+", " ").alias("selected_text"))
-    return chunking.anchors(pages(spark, folder).where("extraction_method = 'text_layer'"), quotes)
+    return chunking.anchors(chunking.best_pages(pages(spark, folder)), quotes)
+
+
+def text_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The current text version of each document: joined pages, their methods, mean confidence and band, all flags."""
+    rows = pages(spark, folder).withColumn("ocr_confidence", 100 * F.col("ocr_confidence"))
+    flags = reg.page_flags(F.col("text"), F.when(F.col("page_number") % 9 == 0, "e"), F.col("extraction_method"), F.col("ocr_confidence") / 100)
+    found = chunking.text_versions(rows.withColumn("quality_flags", flags))
+    return found.drop("full_text").withColumn("quality_flags", F.array_join("quality_flags", "|"))
+
+
+VERSIONS_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+b AS (SELECT doc_id, (line // 6 + 1)::INT AS page_number, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY 1, 2),
+p AS (SELECT *, 'text_layer' AS m, NULL::DOUBLE AS c FROM b UNION ALL SELECT doc_id, page_number, translate(text, 'e', 'c'), 'ocr', 100 * (0.6 + doc_id % 40 / 100) FROM b WHERE doc_id % 3 = 0),
+n AS (SELECT *, length(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[ 	]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS k, regexp_replace(text, '^[ 	
+
+]+|[ 	
+
+]+$', '', 'g') AS s,
+  [CASE WHEN page_number % 9 = 0 THEN 'page_extraction_error' END, CASE WHEN length(trim(text)) = 0 THEN 'empty_page_text' END, CASE WHEN m = 'ocr' AND c < 70 THEN 'low_confidence_ocr' END, CASE WHEN length(trim(text)) < 25 THEN 'very_short_page_text' END] AS flags FROM p),
+r AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY k DESC, CASE m WHEN 'text_layer' THEN 4 ELSE 3 END DESC, c DESC NULLS LAST, m) = 1),
+v AS (SELECT doc_id, count(*)::INT AS page_count, string_agg(s, chr(10) || chr(10) ORDER BY page_number) FILTER (s <> '') AS t, array_to_string(list_sort(list_distinct(list(m))), '+') AS extraction_method, round(avg(c) FILTER (m = 'ocr'), 2) AS mean, flatten(list(flags)) AS flags FROM r GROUP BY 1)
+SELECT 'doc_' || doc_id AS document_id, page_count, length(t)::INT AS char_count, sha256(t) AS text_hash, extraction_method, mean AS ocr_confidence_mean, CASE WHEN mean >= 85 THEN 'high' WHEN mean >= 70 THEN 'medium' WHEN mean IS NOT NULL THEN 'low' END AS ocr_confidence_band,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(flags, lambda x: x IS NOT NULL))), '|'), '') AS quality_flags FROM v WHERE t IS NOT NULL"""
 
 
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,6 +211,6 @@ def context_union(spark: SparkSession, folder: str) -> DataFrame:
 
 CONTEXT_SQL = "WITH s AS (SELECT conv_id, coalesce(list(DISTINCT turn % 5) FILTER (role = 'user'), []) AS a, coalesce(list(DISTINCT turn % 7) FILTER (role <> 'user'), []) AS b FROM conversations GROUP BY 1) SELECT conv_id, len(list_distinct(list_concat(a, b)))::INT AS both, len(list_intersect(a, b))::INT AS common, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS only_a FROM s"
 
-_NAMES = "chunk_pages source_anchors html_text html_links pack_seal pack_validation evidence_by_stance requirement_decision span_coverage metric_lines stream_rate_limit stream_daily_rollup filtered_search reading_access workspace_snapshot context_union".split()
+_NAMES = "chunk_pages source_anchors text_versions html_text html_links pack_seal pack_validation evidence_by_stance requirement_decision span_coverage metric_lines stream_rate_limit stream_daily_rollup filtered_search reading_access workspace_snapshot context_union".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
-SQL = {"html_text": HTML_SQL, "html_links": LINKS_SQL, "pack_validation": VALID_SQL, "evidence_by_stance": STANCE_SQL, "requirement_decision": REQUIRE_SQL, "span_coverage": SPAN_SQL, "metric_lines": METRIC_SQL, "stream_rate_limit": STREAM_SQL, "stream_daily_rollup": STREAM_DAILY_SQL, "filtered_search": FILTER_SQL, "reading_access": ACCESS_SQL, "workspace_snapshot": SNAPSHOT_SQL, "context_union": CONTEXT_SQL}
+SQL = {"text_versions": VERSIONS_SQL, "html_text": HTML_SQL, "html_links": LINKS_SQL, "pack_validation": VALID_SQL, "evidence_by_stance": STANCE_SQL, "requirement_decision": REQUIRE_SQL, "span_coverage": SPAN_SQL, "metric_lines": METRIC_SQL, "stream_rate_limit": STREAM_SQL, "stream_daily_rollup": STREAM_DAILY_SQL, "filtered_search": FILTER_SQL, "reading_access": ACCESS_SQL, "workspace_snapshot": SNAPSHOT_SQL, "context_union": CONTEXT_SQL}

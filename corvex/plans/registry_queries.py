@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvex.functions import registry as reg, text as tx
-from corvex.operators import evaluate, fusion, search
+from corvex.functions import registry as reg
+from corvex.operators import evaluate, search
 from corvex.operators.relational import first_per_key
 from corvex.sources.tables import CORPUS_SQL, corpus, pages, table
 
@@ -156,24 +156,6 @@ def evidence_assessment(spark: SparkSession, folder: str) -> DataFrame:
 ASSESS_SQL = "SELECT o_orderkey, count(*) AS citations, count(DISTINCT p_brand) AS sources, count(s_suppkey) AS anchored, round(max(l_discount), 4) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 GROUP BY 1"
 
 
-def hybrid_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """A query's whole way: five intents by keyword and vector lists, fused, reranked, packed."""
-    query = spark.createDataFrame([(1, "the thing that")], "query_id int, query string")
-    docs = corpus(spark, folder)
-    vectors = table(spark, folder, "embeddings")
-    near = search.nearest(vectors.select("vec_id", "embedding"), vectors.where("vec_id = 1"), 20).select(F.concat(F.lit("doc_"), "vec_id").alias("document_id"), (100 * F.col("score")).alias("score"), "rank", F.lit("vector").alias("retriever"))
-    words = search.bm25(docs, "the thing that")
-    found = search.top(words.withColumn("score", F.round("score", 6)), 20, F.col("score").desc(), F.col("document_id")).select("document_id", "score", "rank", F.lit("keyword").alias("retriever"))
-    hits = near.unionByName(found).join(docs.select("document_id", "title", F.concat_ws(", ", "title", "year").alias("citation"), "text", "authority_level", "year", F.lit(False).alias("exact")), "document_id")
-    hits = fusion.tag(fusion.intent_features(hits.crossJoin(F.broadcast(fusion.expand(spark, query).drop("query_id"))), 2025))  # five rows
-    sets = F.concat_ws(":", "retriever", "intent")
-    lists = hits.select(sets.alias("result_set"), "rank", F.col("document_id").alias("chunk_id"), "document_id", "authority_level", "exact", "score", "retriever", tx.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
-    fused = fusion.reciprocal_rank_fusion(lists)
-    score = F.round(F.col("score") * fusion.quality_multiplier(F.col("authority_level"), F.array().cast("array<string>"), F.col("exact")), 8)
-    ranked = search.top(fused.withColumn("score", score), 100, F.col("score").desc(), F.col("chunk_id")).withColumnRenamed("rank", "seq")
-    return fusion.select_pack(ranked.withColumn("pack_id", F.lit("pack_1")), 8, 12000).select("pack_item_id", "chunk_id", "tokens", "note")
-
-
 def exact_citations(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks made from parts that cite an act and a section, ranked."""
     chunks = table(spark, folder, "part").select(F.col("p_partkey").alias("chunk_id"), F.concat(F.lit("Act No. "), F.col("p_size"), F.lit(" of 1985")).alias("title"), F.concat(F.lit("see section "), F.col("p_partkey") % 30, F.lit("(1) here")).alias("text"), (F.col("p_size") % 9 + 1).cast("int").alias("authority_level"), (1950 + F.col("p_partkey") % 60).cast("int").alias("year"), F.lit(1).alias("page_start"), F.col("p_partkey").alias("chunk_index"))
@@ -214,6 +196,6 @@ r AS (SELECT c.*, contains(d.text, b.text) AS holds, row_number() OVER (PARTITIO
 e AS (SELECT item_id, count(*) FILTER (holds) AS expected, count(*) FILTER (holds AND k <= 5) AS found FROM r GROUP BY 1 HAVING count(*) FILTER (holds) > 0)
 SELECT count(*) AS cases, round(avg(found / expected), 6) AS recall, sum(expected - found)::BIGINT AS missing, avg(found / expected) >= 0.9 AS passes, max(item_id % 3 = 0) AS has_adverse FROM e"""
 
-_NAMES = "registry_status page_flags recovery_queue text_version_sync intake_signals cited_answers translation_chunks review_queue child_versions evidence_assessment hybrid_pack exact_citations evaluation_gates".split()
+_NAMES = "registry_status page_flags recovery_queue text_version_sync intake_signals cited_answers translation_chunks review_queue child_versions evidence_assessment exact_citations evaluation_gates".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 SQL = {"registry_status": REGISTRY_SQL, "page_flags": FLAGS_SQL, "recovery_queue": QUEUE_SQL, "text_version_sync": SYNC_SQL, "intake_signals": INTAKE_SQL, "cited_answers": CITED_SQL, "review_queue": REVIEW_SQL, "child_versions": VERSION_SQL, "evidence_assessment": ASSESS_SQL, "exact_citations": EXACT_SQL, "evaluation_gates": GATES_SQL}

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvex.functions import classify, registry, rules, text as tx
-from corvex.operators import fusion
-from corvex.plans import text_queries
 from corvex.sources.tables import CORPUS_SQL, corpus, table
 
 
@@ -172,14 +170,15 @@ KEYS_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'id7' WHEN o_
 def json_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Dotted paths, token substitution and hashes of label maps in events' JSON."""
     events = table(spark, folder, "events")
-    payload = F.concat(F.lit('{"a": {"type": "'), "event_type", F.lit('", "to": "{who}"}}'))
-    found = rules.json_matches(payload, "a.type", F.lit("click"))
+    payload = F.concat(F.lit('{"a": {"type": "'), "event_type", F.lit('", "to": "{who}", "{who}": '), F.col("user_id") % 3, F.lit(', "b": '), F.when(F.col("user_id") % 2 == 0, F.lit("true")).otherwise(F.lit('"true"')), F.lit("}}"))
+    found = rules.json_matches(payload, "a.type", F.lit('"click"'))
     labels = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
-    put = rules.substitute(payload, {"who": F.concat(F.lit('u"'), F.col("user_id").cast("string"))})
-    return events.select("event_id", found["matches"].alias("matches"), found["value"].alias("value"), F.get_json_object(put, "$.a.to").alias("put"), rules.json_matches(payload, "a.none.x", F.lit(""))["matches"].alias("absent"), rules.label_hash(labels).alias("hash"))
+    put = rules.substitute(payload, {"who": F.concat(F.lit('u"\t'), F.col("user_id").cast("string"))})
+    typed = {"number": rules.json_matches(payload, "a.{who}", F.lit("1.0")), "truth": rules.json_matches(payload, "a.b", F.lit("true")), "text": rules.json_matches(payload, "a.b", F.lit('"true"')), "none": rules.json_matches(payload, "a.none", F.lit("null"))}
+    return events.select("event_id", found["matches"].alias("matches"), found["value"].alias("value"), F.get_json_object(put, "$.a.to").alias("put"), put.contains('"{who}":').alias("key_kept"), *[c["matches"].alias(k) for k, c in typed.items()], rules.json_matches(payload, "a.none.x", F.lit('""'))["matches"].alias("absent"), rules.label_hash(labels).alias("hash"))
 
 
-JSON_SQL = """SELECT event_id, event_type = 'click' AS matches, event_type AS value, 'u"' || user_id AS put, false AS absent, sha256('{"k":"' || (props->>'$.k') || '","type":"' || event_type || '"}') AS hash FROM events"""
+JSON_SQL = """SELECT event_id, event_type = 'click' AS matches, '"' || event_type || '"' AS value, 'u"' || chr(9) || user_id AS put, true AS key_kept, user_id % 3 = 1 AS number, user_id % 2 = 0 AS truth, user_id % 2 = 1 AS text, false AS none, false AS absent, sha256('{"k":"' || (props->>'$.k') || '","type":"' || event_type || '"}') AS hash FROM events"""
 
 
 def embedding_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,18 +196,6 @@ RUNS_SQL = """WITH r AS (SELECT o_orderkey AS run_id, ['a', NULL, 'b'][(o_orderk
 SELECT asked, run_id, CASE WHEN run_id % 2 = 1 THEN 'provider,dimensions' ELSE '' END AS mismatches FROM q JOIN r ON c = asked OR c IS NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY done DESC NULLS LAST, run_id DESC) = 1"""
 
 
-def retriever_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits by retriever and by intent of a hybrid search's lists."""
-    lists = text_queries._lists(spark, folder)
-    by = lambda c, name: lists.groupBy(c.alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "value", "n")
-    intent = _pick(list(fusion.INTENTS), F.col("rank"))
-    return by(F.col("retriever"), "retriever").unionByName(by(intent, "intent"))
-
-
-COUNTS_SQL = f"""WITH k AS (SELECT least(60, count(*)) AS n FROM documents), l AS (SELECT unnest(['keyword', 'vector', 'exact']) AS r), h AS (SELECT r, unnest(range(1, n + 1)) AS rank FROM l, k)
-SELECT 'retriever' AS kind, r AS value, count(*) AS n FROM h GROUP BY 2 UNION ALL SELECT 'intent', {_sql_pick(list(fusion.INTENTS), "rank")}, count(*) FROM h GROUP BY 2"""
-
-
 def listed_order(spark: SparkSession, folder: str) -> DataFrame:
     """Rows in the order of a given list of keys, enriched from another table; keys that are not there stay, without values."""
     wanted = spark.createDataFrame([([9, 3, 7, 100000000, 1],)], "ids array<bigint>").select(F.posexplode("ids").alias("place", "key"))
@@ -230,8 +217,8 @@ def ingestion_finish(spark: SparkSession, folder: str) -> DataFrame:
 FINISH_SQL = """WITH e AS (SELECT user_id % 20 AS run, event_id % 97 AS doc, event_type, value FROM events), d AS (SELECT DISTINCT run, doc FROM e WHERE event_type = 'purchase'), l AS (SELECT * FROM e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM d WHERE d.run = e.run AND d.doc = e.doc) UNION ALL SELECT * FROM e WHERE event_type = 'purchase')
 SELECT run, count(DISTINCT doc) AS documents, round(sum(value), 4) AS pages, count(*) FILTER (event_type = 'view') AS failed FROM l GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (tracker_have, tracker_missing, eligibility, missing_authorities, policy_evaluation, pack_source_warnings, pack_contract, row_keys, json_rules, embedding_runs, retriever_counts, listed_order, ingestion_finish)}
+QUERIES = {f.__name__: f for f in (tracker_have, tracker_missing, eligibility, missing_authorities, policy_evaluation, pack_source_warnings, pack_contract, row_keys, json_rules, embedding_runs, listed_order, ingestion_finish)}
 SQL = {
     "tracker_have": HAVE_SQL, "tracker_missing": MISSING_SQL, "eligibility": ELIGIBLE_SQL, "missing_authorities": WANTED_SQL, "policy_evaluation": POLICY_SQL, "pack_source_warnings": WARN_SQL, "pack_contract": CONTRACT_SQL, "row_keys": KEYS_SQL,
-    "json_rules": JSON_SQL, "embedding_runs": RUNS_SQL, "retriever_counts": COUNTS_SQL, "listed_order": LISTED_SQL, "ingestion_finish": FINISH_SQL,
+    "json_rules": JSON_SQL, "embedding_runs": RUNS_SQL, "listed_order": LISTED_SQL, "ingestion_finish": FINISH_SQL,
 }

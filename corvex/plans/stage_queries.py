@@ -84,13 +84,13 @@ def canonical_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """
     docs = corpus(spark, folder)
     third, none = F.col("doc_id") % 3, F.lit(None).cast("string")
-    key = rules.canonical_key(F.when(third == 0, F.concat(F.lit(" Doc_"), F.col("doc_id") % 50)), none, F.when(third == 1, F.concat(F.lit("http://H/"), F.col("doc_id") % 70)), F.substring("title", 1, 3), F.col("document_type"), F.col("source_id"), none)
+    key = rules.canonical_key(F.when(third == 0, F.concat(F.lit(" Doc_"), F.col("doc_id") % 50)), none, F.when(third == 1, F.concat(F.lit("http://H/"), F.col("doc_id") % 70)), F.col("title"), F.col("document_type"), F.col("source_id"), none)
     rows = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("authority_level").alias("level"))
     types = docs.groupBy(key.alias("key"), "document_type").agg(F.min("doc_id").alias("seen")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seen", "document_type"))).alias("t"))
     return rows.where("n > 1").join(types, "key").select("key", "n", "first_id", "level", F.array_join("t.document_type", "|").alias("types"))
 
 
-CANON_SQL = f"""WITH {CORPUS_SQL}, k AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'document_id:doc_' || (doc_id % 50) WHEN 1 THEN 'source_url:http://h/' || (doc_id % 70) ELSE 'fallback:' || lower(trim(regexp_replace(coalesce(substr(title, 1, 3), ''), '\\s+', ' ', 'g'))) || '|' || lower(document_type) || '|' || lower(source_id) || '|' END AS key, * FROM corpus),
+CANON_SQL = f"""WITH {CORPUS_SQL}, k AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'document_id:doc_' || (doc_id % 50) WHEN 1 THEN 'source_url:http://h/' || (doc_id % 70) ELSE 'fallback:' || lower(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))) || '|' || lower(document_type) || '|' || lower(source_id) || '|' END AS key, * FROM corpus),
 o AS (SELECT key, document_type, min(doc_id) AS seen FROM k GROUP BY 1, 2), s AS (SELECT key, string_agg(document_type, '|' ORDER BY seen) AS types FROM o GROUP BY 1)
 SELECT k.key, count(*) AS n, min(doc_id) AS first_id, max(authority_level) AS level, any_value(types) AS types FROM k JOIN s ON k.key = s.key GROUP BY 1 HAVING count(*) > 1"""
 
