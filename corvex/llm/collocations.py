@@ -32,8 +32,8 @@ SHARD_WORDS = 1 << 20
 SLICE = 1 << 20
 #: Nodes that a range is to hold, and the most ranges (their borders go to every task).
 RANGE_NODES, MOST_RANGES = 1 << 20, 1 << 18
-#: Texts and paths that the borders are taken from.
-SAMPLE_TEXTS, SAMPLE_PATHS = 4000, 1 << 18
+#: Texts that the borders are taken from, and paths for each border (which the driver holds for a moment).
+SAMPLE_TEXTS, SAMPLE_PATHS = 4000, 48
 #: Buckets of a part in the first round of the report, each of which keeps as many rows as the report has.
 BUCKETS = 64
 
@@ -226,8 +226,8 @@ def _borders(rows: DataFrame, depth: int) -> list[tuple[bytes, ...]]:
     if ranges < 2:
         return []
     fraction = min(1.0, SAMPLE_TEXTS / total.n)
-    share = min(1.0, SAMPLE_PATHS / (fraction * nodes))
-    found = rows.sample(fraction, seed=7).mapInArrow(_sampled(depth, share), "path array<binary>").collect()  # SAMPLE_PATHS rows or so
+    share = min(1.0, SAMPLE_PATHS * ranges / (fraction * nodes))
+    found = rows.sample(fraction, seed=7).mapInArrow(_sampled(depth, share), "path array<binary>").collect()  # SAMPLE_PATHS * ranges rows or so
     paths = sorted({tuple(map(bytes, r.path)) for r in found})
     return sorted({paths[len(paths) * k // ranges] for k in range(1, ranges)}) if paths else []
 
@@ -357,11 +357,16 @@ def report(rows: DataFrame, top: int = 2000) -> DataFrame:
     """The first rows of each part by score, occurrences and phrase.
 
     Two rounds: buckets of a part keep as many rows as the report has, and the
-    part ranks what is left, so that no task sorts a whole part.
+    part ranks what is left, so that no task sorts a whole part.  If every bucket
+    has so many rows that together they fill the report, nothing below the
+    least score of these is in it, and the second round leaves that out.
     """
     order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
     bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))
     first = rows.withColumn("_b", bucket).withColumn("_r", F.row_number().over(Window.partitionBy("part", "_b").orderBy(*order))).where(F.col("_r") <= top)
+    share = -(-top // BUCKETS)
+    full = first.where(F.col("_r") == share).groupBy("part").agg(F.min("score").alias("_least"), F.count("*").alias("_n")).where(F.col("_n") == BUCKETS)
+    first = first.join(full.select("part", "_least"), "part", "left").where(F.col("_least").isNull() | (F.col("score") >= F.col("_least"))).drop("_least")
     return first.drop("_b", "_r").withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
