@@ -362,11 +362,13 @@ def report(rows: DataFrame, top: int = 2000) -> DataFrame:
     least score of these is in it, and the second round leaves that out.
     """
     order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
-    bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("long")
     first = rows.withColumn("_b", bucket).withColumn("_r", F.row_number().over(Window.partitionBy("part", "_b").orderBy(*order))).where(F.col("_r") <= top)
     share = -(-top // BUCKETS)
     full = first.where(F.col("_r") == share).groupBy("part").agg(F.min("score").alias("_least"), F.count("*").alias("_n")).where(F.col("_n") == BUCKETS)
-    first = first.join(full.select("part", "_least"), "part", "left").where(F.col("_least").isNull() | (F.col("score") >= F.col("_least"))).drop("_least")
+    # The bound goes to every bucket, so that a part's rows stay where they are.
+    bound = full.select("part", "_least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long"))).alias("_b"))
+    first = first.join(bound, ["part", "_b"], "left").where(F.col("_least").isNull() | (F.col("score") >= F.col("_least"))).drop("_least")
     return first.drop("_b", "_r").withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
