@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvex.llm import store
+
 #: A word, and a line that has one.
 WORD, NOT_SPACE = "[^\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 WINDOW = 8
@@ -115,6 +117,27 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return rows.select(F.col(f"_keep.{key}"), *[c for c in rows.columns if c != "_keep"])
 
 
+def stored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The ledger, written once to the shared folder, and the ablation of all policies read off it, written beside it.
+
+    Whatever policy comes later reads the stored bits and measurements, no text.
+    """
+    rows = store.stage(ledger(docs, text, key), "quality-ledger")
+    return rows, store.stage(ablation(rows), "quality-ablation")
+
+
+def decided(rows: DataFrame, policies: list[str] | None = None) -> DataFrame:
+    """Adds, for each policy, what one pass over the bits says of it: kept under it, and the one rule that alone removes the document (null if none or several do)."""
+    out = {}
+    for p in policies or POLICIES:
+        own = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[p]))
+        alone = F.when(own == 0, None)
+        for bit, (name, _) in RULES.items():
+            alone = alone.when(own == (1 << bit), name)
+        out |= {f"kept_{p}": own == 0, f"alone_{p}": alone}
+    return rows.withColumns(out)
+
+
 def passing(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The documents that the policy keeps, with all their columns and no others.
 

@@ -15,8 +15,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from corvex.llm import quality
 
-    rows = quality.apply_policy(quality.ledger(_table(spark, folder, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    ledger, _ = quality.stored(_table(spark, folder, "documents"))
+    rows = quality.decided(quality.apply_policy(ledger), ["base", "v1-lenient"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", F.col("kept_v1-lenient").alias("kept_lenient"), F.col("alone_base").alias("alone_in_base"), F.col("alone_v1-lenient").alias("alone_in_lenient"))
+
+
+def op10_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of each policy removes, alone or with others, from the stored ledger."""
+    from corvex.llm import quality
+
+    return quality.stored(_table(spark, folder, "documents"))[1]
 
 
 def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,9 +166,20 @@ b AS (
     + CASE WHEN 10 * n_exclaim > 3 * n_words THEN 64 ELSE 0 END
     + CASE WHEN n_lines > 4 AND 100 * n_dup_lines > 50 * n_lines THEN 128 ELSE 0 END)::INTEGER AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, fail_bits & 51 = 0 AS kept_lenient,
+       CASE fail_bits & 3 WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_words' END AS alone_in_base,
+       CASE fail_bits & 51 WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_words' WHEN 16 THEN 'symbols' WHEN 32 THEN 'upper_case' END AS alone_in_lenient FROM b
 """
 
+_POLICY_BITS = {"base": 3, "v1": 255, "v1-lenient": 51}
+_RULE_NAMES = ("too_few_words", "repeated_words", "long_words", "short_words", "symbols", "upper_case", "exclamations", "repeated_lines")
+ABLATION_SQL = f"WITH l AS ({OP10_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, '{name}' AS rule, count(*) AS n_docs, count(*) FILTER (fail_bits & {1 << k} <> 0) AS n_failed, count(*) FILTER (fail_bits & {mask} = {1 << k}) AS n_only_this, count(*) FILTER (fail_bits & {mask & ~(1 << k)} = 0) AS n_kept_without FROM l"
+    for p, mask in _POLICY_BITS.items()
+    for k, name in enumerate(_RULE_NAMES)
+    if mask >> k & 1
+)
+
 OP11_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -218,4 +237,4 @@ FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL, "op11_filter_interactions": OP11_SQL, "op13_collocations": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL, "op10_ablation": ABLATION_SQL, "op11_filter_interactions": OP11_SQL, "op13_collocations": OP13_SQL}

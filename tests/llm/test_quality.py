@@ -57,7 +57,14 @@ def test_empty_and_long(spark):
 
 
 def test_ablation(spark, sf):
-    rows = quality.ledger(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows, stored = quality.stored(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, quality.ablation(rows).collect()))
+    assert "documents.parquet" not in quality.apply_policy(rows)._jdf.queryExecution().executedPlan().toString()
+    for r in quality.decided(rows).collect():
+        for p, mask in quality.POLICIES.items():
+            own = r.fail_bits & mask
+            alone = [n for b, (n, _) in quality.RULES.items() if own == 1 << b]
+            assert r[f"kept_{p}"] == (own == 0) and r[f"alone_{p}"] == (alone[0] if alone else None)
     bits = [r.fail_bits for r in rows.collect()]
     for r in quality.ablation(rows).collect():
         mask, bit = quality.POLICIES[r.policy], 1 << next(b for b, (n, _) in quality.RULES.items() if n == r.rule)
