@@ -268,8 +268,12 @@ def _rare(space: Space, words: Words, column: np.ndarray, doc: np.ndarray, first
     return np.unique(half * k + np.repeat(item, times))
 
 
-def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float) -> list[tuple[int, int, float, float, bool]]:
-    """(document, item, cosine, share, answer) of the leaks in a chunk of documents; the best place of each pair."""
+def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float, rare: bool = True) -> list[tuple[int, int, float, float, bool, bool]]:
+    """(document, item, cosine, share, answer, latent) of the leaks in a chunk of documents; the best place of each pair.
+
+    The latent space proposes; with ``rare``, rare words propose what it misses.
+    latent: whether the latent space has proposed the pair.
+    """
     words = _words(data, offsets)
     column, there = space.keys.find(words.hash)
     if not there.any():
@@ -293,7 +297,9 @@ def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float)
     close = both @ space.passages.T
     at, passage = np.nonzero(close >= cosine)
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    for pair in np.union1d(at * len(space.items) + space.owner[passage], _rare(space, words, column, doc, first_half)).tolist():
+    latent = np.unique(at * len(space.items) + space.owner[passage])
+    proposed, seen = set(latent.tolist()), set()
+    for pair in np.union1d(latent, _rare(space, words, column, doc, first_half)).tolist() if rare else latent.tolist():
         h, k = divmod(pair, len(space.items))
         d, item = int(half_doc[h]), space.items[k]
         start = int(words.first[d]) + (h - int(first_half[d])) * HALF
@@ -305,15 +311,21 @@ def _search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float)
             continue
         leak, share, answer = item.matches(words.hash[low:high], own)
         if leak:
+            if pair in proposed:
+                seen.add((d, k))
             near = float(close[h, space.owner == k].max())
             if (share, near) > best.get((d, k), (0.0, -1.0))[1::-1]:
                 best[d, k] = near, share, answer
-    return [(d, k, *v) for (d, k), v in sorted(best.items())]
+    return [(d, k, *v, (d, k) in seen) for (d, k), v in sorted(best.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
-    """key, item_id, cosine, lcs_share and answer_found of every pair of a document and an item that it leaks.
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", rank: int = RANK, cosine: float = COSINE, rare: bool = True) -> DataFrame:
+    """key, item_id, cosine, lcs_share, answer_found and latent of every pair of a document and an item that it leaks.
 
+    latent: the latent search has proposed the pair; else the search by rare
+    words has, the exact way for what the latent space misses, which ``rare``
+    turns off.  An item of fewer than SHORT_ITEM words matches only as a run of
+    words without gaps, as single words in common say nothing.
     Null and empty texts leak nothing; rows that repeat are searched one by
     one; other columns are dropped first; an empty benchmark gives no rows, and
     neither does an empty table.  Items that repeat (equal id and text) count
@@ -321,7 +333,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     """
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("binary").alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
-    schema = f"_key {kind}, item_id long, cosine double, lcs_share double, answer_found boolean"
+    schema = f"_key {kind}, item_id long, cosine double, lcs_share double, answer_found boolean, latent boolean"
     out = None
     for group in spaces(docs, benchmark, text, rank):
         shared = docs.sparkSession.sparkContext.broadcast(group)
@@ -330,10 +342,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
             for batch in batches:
                 for low, high, data, offsets in chunks(batch.column(1)):
                     for space in shared.value:
-                        if found := _search(space, data, offsets, cosine):
+                        if found := _search(space, data, offsets, cosine, rare):
                             own = batch.column(0).slice(low, high - low).take(pa.array([f[0] for f in found]))
-                            rest = [pa.array([space.items[f[1]].item_id for f in found], pa.int64()), *(pa.array([f[i] for f in found], t) for i, t in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_())))]
-                            yield pa.RecordBatch.from_arrays([own, *rest], ["_key", "item_id", "cosine", "lcs_share", "answer_found"])
+                            rest = [pa.array([space.items[f[1]].item_id for f in found], pa.int64()), *(pa.array([f[i] for f in found], t) for i, t in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_()), (5, pa.bool_())))]
+                            yield pa.RecordBatch.from_arrays([own, *rest], ["_key", "item_id", "cosine", "lcs_share", "answer_found", "latent"])
 
         part = rows.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)

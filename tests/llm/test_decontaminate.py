@@ -93,6 +93,16 @@ def test_leaks_without_any_cosine(spark):
     assert found(-1.0) == found(2.0) != set()
 
 
+def test_latent_search_by_itself(spark):
+    """Without the rare words, the latent space proposes nine in ten of all leaks or more; what it proposes is marked so."""
+    folder = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    every = {(r.doc_id, r.item_id): r.latent for r in dec.leaks(docs, bench).collect()}
+    alone = {(r.doc_id, r.item_id) for r in dec.leaks(docs, bench, rare=False).collect()}
+    assert alone == {k for k, latent in every.items() if latent}
+    assert len(every) > 20 and len(alone) >= 0.9 * len(every)
+
+
 def brute(text, items):
     """The items that a text leaks, by the plain subsequence of every region with every item."""
     words, out = dec._hashes(text or "").tolist(), set()
