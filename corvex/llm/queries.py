@@ -20,7 +20,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", F.col("kept_v1-lenient").alias("kept_lenient"), F.col("alone_base").alias("alone_in_base"), F.col("alone_v1-lenient").alias("alone_in_lenient"))
 
 
-def op10_ablation(spark: SparkSession, folder: str) -> DataFrame:
+def quality_ablation(spark: SparkSession, folder: str) -> DataFrame:
     """What each rule of each policy removes, alone or with others, from the stored ledger."""
     from corvex.llm import quality
 
@@ -116,7 +116,7 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"quality_ablation": quality_ablation}
 
 
 OP1_SQL = r"""
@@ -237,4 +237,4 @@ FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL, "op10_ablation": ABLATION_SQL, "op11_filter_interactions": OP11_SQL, "op13_collocations": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL, "quality_ablation": ABLATION_SQL, "op11_filter_interactions": OP11_SQL, "op13_collocations": OP13_SQL}
