@@ -33,13 +33,22 @@ def expand(spark: SparkSession, queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "intent", F.concat_ws(" ", base, F.array_join("expansion_terms", " ")).alias("query"), F.concat_ws(":", "intent", classify.slug(F.concat_ws(" ", base, F.array_join("expansion_terms", " ")))).alias("query_variant_id"), "expansion_terms")
 
 
+def with_terms(hits: DataFrame) -> DataFrame:
+    """Adds the terms of title, citation and the text's beginnings, so that a text needn't go through the cross with the intents."""
+    parts = {"_title": F.col("title"), "_citation": F.col("citation"), "_head": F.substring("text", 1, 1000), "_seen": F.concat_ws(" ", "title", "citation", F.substring("text", 1, 2000))}
+    return hits.withColumns({k: tx.terms(c) for k, c in parts.items()})
+
+
 def intent_features(hits: DataFrame, current_year: int) -> DataFrame:
-    """Adds the intent scores to hits (query, intent, expansion_terms, title, citation, text, authority_level, year, exact)."""
-    asked = tx.terms(F.col("query"))
-    share = lambda c: F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(asked, tx.terms(c))) / F.size(asked))
-    mixed = 0.45 * share(F.col("title")) + 0.45 * share(F.col("citation")) + 0.10 * share(F.substring("text", 1, 1000))
+    """Adds the intent scores to hits (query, intent, expansion_terms, title, citation, text, authority_level, year, exact).
+
+    Terms are read from the texts unless ``with_terms`` has been there before.
+    """
+    hits = hits if "_seen" in hits.columns else with_terms(hits)
+    asked, seen = tx.terms(F.col("query")), F.col("_seen")
+    share = lambda c: F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(asked, F.col(c))) / F.size(asked))
+    mixed = 0.45 * share("_title") + 0.45 * share("_citation") + 0.10 * share("_head")
     exactness = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), mixed))
-    seen = tx.terms(F.concat_ws(" ", "title", "citation", F.substring("text", 1, 2000)))
     signals = F.array_union(F.array(*map(F.lit, ADVERSE_TERMS)), tx.terms(F.array_join("expansion_terms", " ")))
     against = F.col("intent") != "supportive"
     adverse = F.when(F.size(seen) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(seen, signals)) / 6 + F.when(against, 0.2).otherwise(0.0)))
@@ -47,7 +56,7 @@ def intent_features(hits: DataFrame, current_year: int) -> DataFrame:
     authority, recency = classify.authority_score(F.col("authority_level")), classify.recency_score(F.col("year"), current_year)
     hits = hits.withColumns({"authority_score": authority, "recency_score": recency, "exactness_score": exactness, "adverse_relevance_score": adverse, "_signal": F.when(against, adverse).otherwise(supportive)})
     total = 0.85 + 0.25 * F.col("authority_score") + 0.15 * F.col("recency_score") + 0.25 * F.col("exactness_score") + 0.25 * F.col("_signal") + F.when(against, 0.08).otherwise(0.0)
-    return hits.withColumn("intent_score_multiplier", total).drop("_signal")
+    return hits.withColumn("intent_score_multiplier", total).drop("_signal", "_title", "_citation", "_head", "_seen")
 
 
 def tag(hits: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def evaluation_gates(spark: SparkSession, folder: str) -> DataFrame:
     Expected are the documents that hold an item's whole text.  The set must have an adverse case (every third item).
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    runs = lambda w: F.when(F.size(w) >= 8, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, 8), " "))))
+    runs = lambda w: F.when(F.size(w) >= 8, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))))
     bench, docs = table(spark, folder, "benchmark"), corpus(spark, folder)
     # The words are a column of their own, so that the runs don't find them anew.
     asked = bench.select("item_id", words("text").alias("w")).select("item_id", F.explode(runs(F.col("w"))).alias("run"))

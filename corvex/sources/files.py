@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvex.functions import classify, text as tx
+from corvex.functions import classify, rules, text as tx
 
 #: Columns of a manifest row, all read as text.
 MANIFEST = (
@@ -37,6 +37,7 @@ def typed_manifest(rows: DataFrame) -> DataFrame:
             "date": classify.lenient_date(F.col("date")),
             "ocr_required": classify.lenient_bool(F.col("ocr_required")),
             "text_quality_score": F.col("text_quality_score").try_cast("double"),
+            **({"last_checked": rules.lenient_timestamp(F.regexp_replace(F.col("last_checked"), "Z$", "+00:00"))} if "last_checked" in rows.columns else {}),
             "authority_level": classify.authority_level(F.coalesce("document_type", F.lit("")), F.coalesce("source_id", F.lit(""))),
         }
     )

@@ -92,9 +92,10 @@ def test_exact_citation(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "m.csv").write_text("document_id,year,ocr_required,date,notes,title,text_quality_score,document_type,source_id\na,1990,yes,2020-01-02,pages_path=/x;y=1,T,0.5,Act,S\nb,x,no,,,,z,,SUPREME\n")
+    (tmp_path / "m.csv").write_text("document_id,year,ocr_required,date,notes,title,text_quality_score,document_type,source_id,last_checked\na,1990,yes,2020-01-02,pages_path=/x;y=1,T,0.5,Act,S,2024-05-06T07:08:09Z\nb,x,no,,,,z,,SUPREME,soon\n")
     rows = {r.document_id: r for r in files.typed_manifest(files.read_csv_rows(spark, str(tmp_path / "m.csv"))).collect()}
     assert (rows["a"].year, rows["a"].ocr_required, rows["a"].authority_level) == (1990, True, 2)
+    assert rows["a"].last_checked.isoformat() == "2024-05-06T07:08:09" and rows["b"].last_checked is None
     assert (rows["b"].year, rows["b"].date, rows["b"].text_quality_score, rows["b"].authority_level) == (None, None, None, 3)
     assert files.read_csv_rows(spark, str(tmp_path / "none.csv")).count() == 0
     (tmp_path / "p.jsonl").write_text('{"document_id": "a", "page": 1, "text": " x  y "}\n{"document_id": "a", "page_number": 2, "text": "z"}\n')
