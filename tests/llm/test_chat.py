@@ -65,11 +65,28 @@ def plain_features(t):
 
 
 def plain_pieces(t):
-    return re.split(rf"\n(?=[ \t>*#_\[(]*(?:{chat.SPEAKERS})[ \t\])*_]*:)", t or "", flags=re.IGNORECASE)
+    return re.split(rf"\n(?=[ \t>*#_\[(]*(?:{'|'.join(chat.MARKERS.values())})[ \t\])*_]*:|\n)", t or "", flags=re.IGNORECASE)
+
+
+def strong(p):
+    return bool(re.match(rf"[ \t>*#_\[(]*(?:{chat.SPEAKERS})[ \t\])*_]*:", p, flags=re.IGNORECASE))
+
+
+def best_path(scores, start, steps):
+    """Viterbi with a step of its own into each piece."""
+    best, back = start + scores[0], []
+    for s, step in zip(scores[1:], steps[1:], strict=True):
+        way = best[:, None] + step
+        back.append(way.argmax(axis=0))
+        best = way.max(axis=0) + s
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
 
 
 def plain_parse(rows, training):
-    """(role of each piece) of each (conversation, turn), by counting, and by Viterbi over whole conversations."""
+    """(role and text of each turn found) of each (conversation, turn), by counting, and by Viterbi over whole conversations."""
     emit = [np.ones((3, n)) for _, n in chat.FEATURES]
     emit[0][[0, 1, 2], [1, 2, 3]] += chat.HINT
     step, start, by_place = np.ones((3, 3)), np.ones(3), {}
@@ -84,11 +101,24 @@ def plain_parse(rows, training):
             start[r] += 1
     share = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
     emit, step, start, out = [share(e) for e in emit], share(step), share(start), {}
+    inner = [np.log(np.full((3, 3), x / 2) + np.eye(3) * (1 - 1.5 * x)) for x in chat.SWITCHES]
+    marked = rf"[ \t>*#_\[(]*(?:{'|'.join(chat.MARKERS.values())})[ \t\])*_]*:"
     for c in {r[0] for r in rows}:
-        own = [(t, i, p) for _, t, _, text in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]) for i, p in enumerate(plain_pieces(text))]
-        scores = np.array([sum(e[:, x] for e, x in zip(emit, plain_features(p), strict=True)) for _, _, p in own])
-        for (t, _, _), r in zip(own, chat.viterbi(scores, start, step), strict=True):
-            out.setdefault((c, t), []).append(chat.ROLES[r])
+        own, scores = [], []
+        for _, t, _, text in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]):
+            parts = plain_pieces(text)
+            for i, p in enumerate(parts):
+                seen = list(zip(emit, plain_features(p), strict=True))
+                own.append((t, i, p))
+                scores.append(sum(e[:, x] for e, x in (seen[:2] if len(parts) > 1 else seen)))
+        scores = np.array(scores)
+        steps = [step if i == 0 or strong(p) else inner[0 if re.match(marked, p, flags=re.IGNORECASE) else 1] for _, i, p in own]
+        for (t, i, p), r in zip(own, best_path(scores, start, steps), strict=True):
+            turns = out.setdefault((c, t), [])
+            if i > 0 and not strong(p) and turns[-1][0] == chat.ROLES[r]:
+                turns[-1] = turns[-1][0], f"{turns[-1][1]}\n{p}"
+            else:
+                turns.append((chat.ROLES[r], p))
     return out
 
 
@@ -101,12 +131,34 @@ def test_against_plain(spark, sf):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.parse(table, chat.train(table), segment=2).collect()
     want = plain_parse(rows, rows)
-    assert {(r.conv_id, r.turn): (r.role_pred, r.n_pieces) for r in got} == {k: (v[0], len(v)) for k, v in want.items()}
+    assert {(r.conv_id, r.turn): (r.role_pred, r.n_pieces) for r in got} == {k: (v[0][0], len(v)) for k, v in want.items()}
+    heads = lambda rendered: re.findall(r"<\|(system|user|assistant)\|>\n", rendered)
+    assert {(r.conv_id, r.turn): heads(r.rendered) for r in got} == {k: [role for role, _ in v] for k, v in want.items()}
     one = next(r for r in got if (r.conv_id, r.turn) == (90_000, 0))
-    assert one.n_pieces == 4 and one.rendered.count(chat.END) == 4 and "keep me" in one.rendered
+    assert one.n_pieces == 5 and one.rendered.count(chat.END) == 5 and one.rendered.endswith("<|system|>\nkeep me\n<|end|>\n")
     assert one.rendered.startswith("<|user|>\nwhat is it?\nand why\n<|end|>\n<|assistant|>\nit is so\n<|end|>\n")
 
 
+def test_transcripts(spark, sf):
+    """Short markers split where the role changes; paragraphs of one speaker stay together; an unmistakable marker always splits."""
+    said = {
+        "qa": ("Q: why is it so?\nA: because\nof that\nQ: and then?\nA: nothing", ["user", "assistant", "user", "assistant"]),
+        "long": ("Question: what now?\n\nAnswer: first this.\n\nThen that, at length.\n\nAnd so on.", ["user", "assistant"]),
+        "three": ("Instructions: be brief\nMe: hello\nModel: hi\nMe: bye", ["system", "user", "assistant", "user"]),
+        "same": ("User: one\nUser: two", ["user", "user"]),
+        "plain": ("a text\n\nof three\n\nparagraphs and no speaker", None),
+    }
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    kind = "conv_id long, turn long, role string, text string"
+    model = chat.train(spark.createDataFrame(rows, kind))
+    table = spark.createDataFrame([(i, 0, None, t) for i, (t, _) in enumerate(said.values())], kind)
+    got = {r.conv_id: r for r in chat.parse(table, model).collect()}
+    for i, (text, roles) in enumerate(said.values()):
+        found = re.findall(r"<\|(system|user|assistant)\|>\n", got[i].rendered)
+        assert found == roles if roles else len(found) == 1, text
+    assert "because\nof that\n<|end|>" in got[0].rendered and "first this.\n\nThen that, at length.\n\nAnd so on." in got[1].rendered
+
+
 def test_only_the_role_decoded_loses_its_marker(spark):
     table = spark.createDataFrame([("Context: keep me", r) for r in chat.ROLES], "t string, r string")
     got = {x.r: x.b for x in table.select("r", chat.body(F.col("t"), F.col("r")).alias("b")).collect()}
