@@ -32,8 +32,8 @@ from corvex.llm.wordhash import Words, chunks, combine, lean, lists
 WINDOW, GRAM = 35, 18
 #: Runs of one level that are compacted into one of the next.
 FANOUT = 4
-#: Batches in which the whole-table query feeds the index, and its fanout: the first two runs are compacted before the third batch.
-BATCHES, QUERY_FANOUT = 3, 2
+#: Batches in which the whole-table query feeds the index.
+BATCHES = 3
 #: A fingerprint of a run is hot from this number of its postings on, if they are half a bucket's mean as well.
 HOT_LEAST = 256
 #: Hot fingerprints of a run at most, and the counters by which they are found; one that is left has less than 1 / HOT_MOST of the postings.
@@ -261,7 +261,7 @@ def _cut(parts: DataFrame, window: int) -> DataFrame:
     return parts.mapInArrow(lean(run), f"content {kind}, n_removed long, kept binary")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = QUERY_FANOUT) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and kept_text (null where nothing is removed) of each document.
 
     A word is removed if a window over it occurs anywhere else too.  Null text
@@ -270,7 +270,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", batche
     other columns are dropped first.  Documents with equal words (by SHA-256)
     have equal results, so one of each is worked on, counted twice.  A text is
     hashed whole, however long it is.  The table is fed to a new index in
-    batches, as it would grow over time, and runs are compacted on the way.
+    batches, as it would grow over time; runs are compacted on the way where
+    there are more batches than the fanout.
     """
     spark = docs.sparkSession
     store.small_batches(spark)
