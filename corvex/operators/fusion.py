@@ -39,24 +39,31 @@ def with_terms(hits: DataFrame) -> DataFrame:
     return hits.withColumns({k: tx.terms(c) for k, c in parts.items()})
 
 
+def with_signals(variants: DataFrame) -> DataFrame:
+    """Adds the terms of a variant's query and its adverse signals."""
+    signals = F.array_union(F.array(*map(F.lit, ADVERSE_TERMS)), tx.terms(F.array_join("expansion_terms", " ")))
+    return variants.withColumns({"_asked": tx.terms(F.col("query")), "_signals": signals})
+
+
 def intent_features(hits: DataFrame, current_year: int) -> DataFrame:
     """Adds the intent scores to hits (query, intent, expansion_terms, title, citation, text, authority_level, year, exact).
 
-    Terms are read from the texts unless ``with_terms`` has been there before.
+    Terms are read from texts and queries unless ``with_terms`` and
+    ``with_signals`` have been there before.
     """
     hits = hits if "_seen" in hits.columns else with_terms(hits)
-    asked, seen = tx.terms(F.col("query")), F.col("_seen")
+    hits = hits if "_asked" in hits.columns else with_signals(hits)
+    asked, seen, signals = F.col("_asked"), F.col("_seen"), F.col("_signals")
     share = lambda c: F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(asked, F.col(c))) / F.size(asked))
     mixed = 0.45 * share("_title") + 0.45 * share("_citation") + 0.10 * share("_head")
     exactness = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), mixed))
-    signals = F.array_union(F.array(*map(F.lit, ADVERSE_TERMS)), tx.terms(F.array_join("expansion_terms", " ")))
     against = F.col("intent") != "supportive"
     adverse = F.when(F.size(seen) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(seen, signals)) / 6 + F.when(against, 0.2).otherwise(0.0)))
     supportive = F.least(F.lit(1.0), F.size(F.array_intersect(seen, F.array(*map(F.lit, SUPPORTIVE_TERMS)))) / 5)
     authority, recency = classify.authority_score(F.col("authority_level")), classify.recency_score(F.col("year"), current_year)
     hits = hits.withColumns({"authority_score": authority, "recency_score": recency, "exactness_score": exactness, "adverse_relevance_score": adverse, "_signal": F.when(against, adverse).otherwise(supportive)})
     total = 0.85 + 0.25 * F.col("authority_score") + 0.15 * F.col("recency_score") + 0.25 * F.col("exactness_score") + 0.25 * F.col("_signal") + F.when(against, 0.08).otherwise(0.0)
-    return hits.withColumn("intent_score_multiplier", total).drop("_signal", "_title", "_citation", "_head", "_seen")
+    return hits.withColumn("intent_score_multiplier", total).drop("_signal", "_title", "_citation", "_head", "_seen", "_asked", "_signals")
 
 
 def tag(hits: DataFrame) -> DataFrame:

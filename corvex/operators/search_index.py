@@ -31,12 +31,12 @@ BLOCK = 1024
 #: Blocks that are scored first, to learn what a document needs to be among the first n.
 FIRST_BLOCKS = 16
 #: Letters behind the first two that forms with letters left out are made of.
-HEAD = 6
+HEAD = 5
 #: Near words that are asked for by name; more are joined.
 NAMED = 1000
 
 #: Part of an index's name; another number for every change of what is written.
-FORMAT = 2
+FORMAT = 3
 
 TITLE_BONUS, MOST_AUTHORITY = 0.4, 1.35
 

@@ -241,9 +241,9 @@ def intent_features(spark: SparkSession, folder: str) -> DataFrame:
     """Five intents of a query against all documents' features."""
     queries = spark.createDataFrame([(1, "the   thing that")], "query_id int, query string")
     hits = corpus(spark, folder).select("document_id", "title", F.concat_ws(", ", "title", "year").alias("citation"), "text", "authority_level", "year", (F.col("doc_id") % 11 == 0).alias("exact"))
-    # The row number, always there, keeps the terms below the cross: they are found once for a text, not for each intent.
-    hits = fusion.with_terms(hits).drop("title", "citation", "text").where(F.monotonically_increasing_id() >= 0)
-    both = hits.crossJoin(F.broadcast(fusion.expand(spark, queries)))  # five rows
+    # Terms are found once for a text and once for an intent, before they meet.
+    hits = fusion.with_terms(hits).drop("title", "citation", "text")
+    both = hits.crossJoin(F.broadcast(fusion.with_signals(fusion.expand(spark, queries))))  # five rows
     rows = fusion.tag(fusion.intent_features(both.withColumns({"score": F.lit(1.0), "retriever": F.lit("keyword")}), YEAR))
     return rows.select("document_id", "retriever", *[F.round(c, 6).cast("double").alias(c) for c in ("authority_score", "recency_score", "exactness_score", "adverse_relevance_score", "intent_score_multiplier")])
 
