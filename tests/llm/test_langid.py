@@ -1,5 +1,7 @@
 """Language profiles: algebra against a plain version, held-out accuracy, edge cases."""
 
+from collections import Counter
+
 import numpy as np
 
 from corvex.llm import langid
@@ -45,3 +47,48 @@ def test_edges(spark):
     empty = rows.where("doc_id < 0")
     assert langid.train(empty) == {} and langid.predict(empty, {}).count() == 0
     assert {r.lang_pred for r in langid.predict(rows, {}).collect()} == {"und"}
+
+
+def plain_grams(text):
+    letters = " " + " ".join("".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "").split()) + " "
+    return Counter(letters[i : i + 3] for i in range(len(letters) - 2)) if letters.strip() else Counter()
+
+
+def plain_model(rows):
+    """Training letter by letter: each document's bundle over its counts' root of squares, added by language."""
+    model = {}
+    for text, lang in rows:
+        counts = plain_grams(text)
+        if lang is not None and counts:
+            model[lang] = model.get(lang, 0) + plain_vector(text) / np.sqrt(sum(n * n for n in counts.values()))
+    return model
+
+
+def test_train_and_predict_equal_plain(spark):
+    """Ties, repeated rows, null languages and texts, clashing names and a long text, against a plain version of all of it."""
+    texts = [
+        ("the cat and the dog are here", "en"), ("a dog is not the cat", "en"), ("le chat et le chien sont ici", "fr"), ("le chien n'est pas un chat", "fr"), ("der hund und die katze", "de"), ("The CAT!", "en"),
+        ("Straße und Maß", "de"), ("Istanbul ve Ankara", "tr"), ("same words here", "xa"), ("same words here", "xb"), ("same words here", None), (None, "fr"), ("12 34", "en"), ("漢字 と かな", "ja"), ("le chat et le chien sont ici", "fr"),
+        ("the dog " * 3_000 + "le chat", "en"),
+    ]
+    asked = [t for t, _ in texts] + ["un chat", "katze und hund", "here", "", "かな", "😀"]
+    rows = [(i, t, texts[i][1] if i < len(texts) else None, 1.0, "x") for i, t in enumerate(asked)] + [(0, asked[0], "en", 1.0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string").repartition(4)
+    model, want = langid.train(docs), plain_model([(t, lang) for _, t, lang, _, _ in rows])
+    assert sorted(model) == sorted(want)
+    for name, vector in want.items():
+        assert np.allclose(model[name], vector, atol=1e-3)
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.predict(docs, model).collect()]
+    assert len(got) == len(rows)
+    unit = {k: v / np.linalg.norm(v) for k, v in sorted(want.items())}
+    for key, lang, score in got:
+        text = asked[key]
+        if not plain_grams(text):
+            assert (lang, score) == ("und", 0)
+            continue
+        vector = plain_vector(text)
+        cosines = {k: float(vector @ v / np.linalg.norm(vector)) for k, v in unit.items()}
+        best = max(cosines.values())
+        assert abs(score - min(1, max(0, best))) < 1e-4 and cosines[lang] > best - 1e-4
+        if text == "same words here":
+            assert lang == "xa"
