@@ -1,4 +1,4 @@
-"""Ranked search: keyword (BM25, phrase, fuzzy), exact citation, vectors, filters."""
+"""Ranked search over tables without an index: BM25 by a scan, exact citations, filters; the index is in search_index."""
 
 from __future__ import annotations
 
@@ -63,37 +63,10 @@ def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def keyword_score(chunks: DataFrame, query: str, key: str = "document_id") -> DataFrame:
-    """key and score of chunks by all words (3), phrase (5) and near words (0.8 each).
-
-    Words weigh 3 in title or citation and 1 in the text.  A near word has the
-    same first two letters and an edit distance of at most 0, 1 or 2 for words
-    of up to 2, up to 5, or more letters.  The score is this engine's own.
-    """
-    asked = [t.lower() for t in _query_tokens(query)]
-    low = F.lower("text")
-    title, tokens = F.lower("title"), F.array_distinct(tx.bm25_tokens(F.col("text")))
-    rows = chunks.select(key, title.alias("_title"), low.alias("_text"), tokens.alias("_tokens"))
-    has = lambda w: F.array_contains("_tokens", w)
-    every = reduce(lambda a, b: a & b, [has(w) | F.col("_title").contains(w) for w in asked], F.lit(True))
-    weight = sum((F.when(F.col("_title").contains(w), 3.0).when(has(w), 1.0).otherwise(0.0) for w in asked), F.lit(0.0))
-    phrase = " ".join(query.lower().split())
-    near = F.lit(0.0)
-    for w in asked:
-        near = near + F.when(_has_near(F.col("_tokens"), w), 0.8).otherwise(0.0)
-    phrased = F.when(F.col("_text").contains(phrase) | F.col("_title").contains(phrase), 5.0).otherwise(0.0)
-    return rows.select(key, (F.when(every, 3.0 * weight).otherwise(0.0) + phrased + near).alias("score")).where("score > 0")
-
-
 def _count(tokens: Column, word: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
 
 
-def _has_near(tokens: Column, word: str) -> Column:
-    most = 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
-    return F.exists(tokens, lambda t: t.startswith(word[:2]) & (F.levenshtein(t, F.lit(word)) <= most))
-
-
 def exact_citation(chunks: DataFrame, acts: list[tuple[str, int]], provisions: list[str], cases: list[str], limit: int = 50) -> DataFrame:
     """Chunks that cite the acts, provisions and cases, ranked by authority, year, page and place; score 1000 - rank.
 
@@ -123,23 +96,3 @@ def _tolerant(provision: str) -> str:
 
     return r"\s*".join(re.escape(p) for p in re.findall(r"[0-9]+|[A-Za-z]+|[()]", provision))
 
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k nearest vectors of each of a bounded set of queries.
-
-    The queries are checked to be few and are sent to the vectors; each task
-    keeps k for a query before the exchange.
-    """
-    n = queries.count()
-    if n > 4096:
-        raise ValueError("take the queries in blocks of 4096")
-    pairs = vectors.crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

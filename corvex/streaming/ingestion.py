@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corvex.operators.relational import first_per_key
-from corvex.sources import shared
 from corvex.streaming import rates
 
 #: Documents of one run are dealt over so many keys, so that a run with a third of all events isn't one key.
@@ -129,5 +128,3 @@ def batch_runs(events: DataFrame) -> DataFrame:
     last = F.max_by(F.when(document, F.lit("running")).otherwise(F.col("status")), F.struct("ts", "event"))
     return once.groupBy("run").agg(last.alias("status"), F.countDistinct(F.when(document, F.col("document"))).alias("documents"), *[F.coalesce(F.sum(F.when(document, F.col(c))), F.lit(0)).alias(c) for c in ("pages", "chunks")], F.count_if(document & (F.col("status") == "failed")).alias("errors"))
 
-
-__all__ = ["BUCKETS", "batch_runs", "run_once", "run_totals", "runs", "shared", "start"]
