@@ -84,6 +84,10 @@ def pack_seal(spark: SparkSession, folder: str) -> DataFrame:
     return packs.select("conv_id", F.sha2(payload, 256).alias("payload_hash"), "token_count", F.size("items").alias("n_items"), F.array_join(F.array_compact(F.array(F.when(F.col("short") > 0, "short_items"), F.when(F.col("token_count") > 500, "over_budget"))), "|").alias("warnings"))
 
 
+SEAL_SQL = """WITH r AS (SELECT conv_id, turn, '{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '}' AS item, greatest(1, len(regexp_extract_all(text, '\\S+')) * 4 // 3) AS tokens FROM conversations)
+SELECT conv_id, sha256('{"items":[' || string_agg(item, ',' ORDER BY turn) || '],"pack_id":' || conv_id || '}') AS payload_hash, sum(tokens)::BIGINT AS token_count, count(*)::INT AS n_items, concat_ws('|', CASE WHEN count(*) FILTER (tokens < 20) > 0 THEN 'short_items' END, CASE WHEN sum(tokens) > 500 THEN 'over_budget' END) AS warnings FROM r GROUP BY 1"""
+
+
 def pack_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Contract issues of packs, one row for each."""
     rows = table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.countDistinct("turn").alias("ids"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.count_if(F.length("text") < 30).alias("short"), F.count_if(F.col("role") == "system").alias("system"), F.sum(F.length("text")).alias("chars"))
@@ -213,4 +217,4 @@ CONTEXT_SQL = "WITH s AS (SELECT conv_id, coalesce(list(DISTINCT turn % 5) FILTE
 
 _NAMES = "chunk_pages source_anchors text_versions html_text html_links pack_seal pack_validation evidence_by_stance requirement_decision span_coverage metric_lines stream_rate_limit stream_daily_rollup filtered_search reading_access workspace_snapshot context_union".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
-SQL = {"text_versions": VERSIONS_SQL, "html_text": HTML_SQL, "html_links": LINKS_SQL, "pack_validation": VALID_SQL, "evidence_by_stance": STANCE_SQL, "requirement_decision": REQUIRE_SQL, "span_coverage": SPAN_SQL, "metric_lines": METRIC_SQL, "stream_rate_limit": STREAM_SQL, "stream_daily_rollup": STREAM_DAILY_SQL, "filtered_search": FILTER_SQL, "reading_access": ACCESS_SQL, "workspace_snapshot": SNAPSHOT_SQL, "context_union": CONTEXT_SQL}
+SQL = {"text_versions": VERSIONS_SQL, "pack_seal": SEAL_SQL, "html_text": HTML_SQL, "html_links": LINKS_SQL, "pack_validation": VALID_SQL, "evidence_by_stance": STANCE_SQL, "requirement_decision": REQUIRE_SQL, "span_coverage": SPAN_SQL, "metric_lines": METRIC_SQL, "stream_rate_limit": STREAM_SQL, "stream_daily_rollup": STREAM_DAILY_SQL, "filtered_search": FILTER_SQL, "reading_access": ACCESS_SQL, "workspace_snapshot": SNAPSHOT_SQL, "context_union": CONTEXT_SQL}

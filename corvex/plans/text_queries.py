@@ -237,6 +237,12 @@ def pack_select(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("pack_item_id", "chunk_id", "tokens", "note")
 
 
+SELECT_SQL = f"""WITH RECURSIVE {_LISTS_SQL}, r AS (SELECT document_id AS chunk_id, tokens::BIGINT AS tokens, row_number() OVER (ORDER BY round(score, 8) DESC, first_seen, document_id) AS seq FROM s),
+p AS (SELECT 0::BIGINT AS seq, 0::BIGINT AS used, 0 AS n, NULL::VARCHAR AS chunk_id, 0::BIGINT AS tokens, false AS taken
+  UNION ALL SELECT r.seq, p.used + CASE WHEN p.n < 12 AND (p.n = 0 OR p.used + r.tokens <= 4000) THEN r.tokens ELSE 0 END, p.n + (p.n < 12 AND (p.n = 0 OR p.used + r.tokens <= 4000))::INT, r.chunk_id, r.tokens, p.n < 12 AND (p.n = 0 OR p.used + r.tokens <= 4000) FROM p JOIN r ON r.seq = p.seq + 1)
+SELECT 'pack_1_item_' || lpad(n::VARCHAR, 3, '0') AS pack_item_id, chunk_id, tokens, 'new source document' AS note FROM p WHERE taken"""
+
+
 def intent_features(spark: SparkSession, folder: str) -> DataFrame:
     """Five intents of a query against all documents' features."""
     queries = spark.createDataFrame([(1, "the   thing that")], "query_id int, query string")
@@ -395,6 +401,6 @@ QUERIES = {f.__name__: f for f in (bm25_topk, keyword_search, token_estimate_sta
 SQL = {
     "bm25_topk": BM25_SQL, "keyword_search": KEYWORD_SQL, "token_estimate_stats": TOKEN_SQL, "extraction_quality": QUALITY_SQL, "doc_quality_rollup": ROLLUP_SQL, "spread_summary": SUMMARY_SQL,
     "trigram_similarity": TRIGRAM_SQL, "query_parsing": PARSING_SQL, "citation_projection": CITATION_SQL, "policy_screen": POLICY_SQL, "citation_extraction": CITED_SQL, "rrf_fusion": RRF_SQL,
-    "legal_quality_rerank": RERANK_SQL, "intent_features": INTENT_SQL, "stage1_ranking": STAGE1_SQL, "stage2_blend": STAGE2_SQL, "knn_topk": KNN_SQL, "best_evidence": EVIDENCE_SQL,
+    "legal_quality_rerank": RERANK_SQL, "pack_select": SELECT_SQL, "intent_features": INTENT_SQL, "stage1_ranking": STAGE1_SQL, "stage2_blend": STAGE2_SQL, "knn_topk": KNN_SQL, "best_evidence": EVIDENCE_SQL,
     "title_matches": TITLES_SQL, "near_words": NEAR_SQL, "vector_search": VECTOR_SQL,
 }
