@@ -135,6 +135,10 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, total.n, total.avgdl, total.blocks)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    return all(shared.exists(spark, f"{path}/{name}/_SUCCESS") for name in ("docs", "totals", "postings", "terms", "deletions", "grams"))
+
+
 _OPEN: dict[tuple[str, str], Index] = {}
 
 
@@ -143,13 +147,16 @@ def of_table(spark: SparkSession, source: str, docs: DataFrame, key: str = "docu
 
     Indexes lie in the shared folder under a fingerprint of the files.  A
     pointer is set when an index is complete, so that nobody reads half of one;
-    of two builders the first wins.
+    of two builders the first wins.  An index whose folder is gone is built
+    again.
     """
     mark = f"{shared.fingerprint(spark, source)}-{FORMAT}"
     known = spark.sparkContext.applicationId, mark
     if known not in _OPEN:
         root = f"{shared.shared_dir(spark)}/corvex-index"
         pointer = f"{root}/{mark}.path"
+        if shared.exists(spark, pointer) and not _complete(spark, shared.read_text(spark, pointer)):
+            shared.delete(spark, pointer)  # the folder has been cleared away
         if not shared.exists(spark, pointer):
             path = f"{root}/{mark}-{uuid.uuid4().hex}"
             build(docs, path, key)
