@@ -56,8 +56,15 @@ def target_status(kind: Column, decision: Column) -> Column:
 
 
 def decide(items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Review items (review_item_id, item_type, status) after their last decision (review_item_id, decision, decided_at): closed with the item's new status; what is closed already, and what isn't known, stays."""
-    last = decisions.groupBy("review_item_id").agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("decision"))
+    """Review items (review_item_id, item_type, status) after their last decision (review_item_id, decision, decided_at): closed with the item's new status; what is closed already, and what isn't known, stays.
+
+    Of decisions of the same time the one with the smallest ``place`` (any type
+    with an order) counts; without that column, the last by name.
+    """
+    times = decisions
+    if "place" in decisions.columns:
+        times = decisions.groupBy("review_item_id", "decided_at").agg(F.min_by("decision", "place").alias("decision"))
+    last = times.groupBy("review_item_id").agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("decision"))
     rows = items.join(last, "review_item_id", "left")
     target = target_status(F.col("item_type"), F.col("decision"))
     done = (F.col("status") == "pending") & target.isNotNull()

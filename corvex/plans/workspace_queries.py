@@ -61,11 +61,11 @@ SELECT case_id, document_id, s AS relevance_score, c::DOUBLE AS confidence_score
 
 
 def review_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Review items after their last decisions."""
+    """Review items after their last decisions; of decisions of the same time, the one that the table holds first counts."""
     kinds = (*workspace.PLAIN_KINDS, "legal_claim", "unknown")
     pick = lambda values, by: F.get(F.array(*map(F.lit, values)), by.cast("int"))
     items = table(spark, folder, "orders").select(F.col("o_orderkey").alias("review_item_id"), pick(kinds, F.col("o_custkey") % 7).alias("item_type"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"))
-    decisions = table(spark, folder, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("review_item_id"), pick((*workspace.DECISIONS, "maybe"), F.col("l_partkey") % 4).alias("decision"), F.struct("l_shipdate", "l_linenumber").alias("decided_at"))
+    decisions = table(spark, folder, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("review_item_id"), pick((*workspace.DECISIONS, "maybe"), F.col("l_partkey") % 4).alias("decision"), F.struct("l_shipdate", "l_linenumber").alias("decided_at"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
     return workspace.decide(items, decisions)
 
 

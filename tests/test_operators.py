@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvex.functions import classify, html, registry as reg, text as tx
-from corvex.operators import chunking, evaluate, fusion, relational as rel, search, two_stage
+from corvex.operators import chunking, evaluate, fusion, relational as rel, search, two_stage, workspace
 from corvex.sources import files
 
 
@@ -151,3 +151,13 @@ def test_candidate_filter(spark):
     docs = spark.createDataFrame([(k, *v) for k, v in rows.items()], "id string, summary_type string, acquisition_status string, text string, char_count int, language string, summary_language string, text_language string, document_type string")
     ids = lambda *args: "".join(sorted(r.id for r in two_stage.candidate_filter(docs, "short", *args).collect()))
     assert [ids(), ids("en"), ids("si"), ids("ta", ("Act",)), ids(None, ("Act", "Bill"))] == ["afg", "af", "a", "", "af"]
+
+
+def test_first_of_decisions_at_one_time_counts(spark, tmp_path):
+    items = spark.createDataFrame([(i, "draft", "pending") for i in range(3)], "review_item_id int, item_type string, status string")
+    rows = [(0, "approved", 5), (0, "rejected", 5), (0, "rejected", 4), (1, "rejected", 5), (1, "approved", 5), (1, "maybe", 5), (2, "maybe", 1), (2, "approved", 1)]
+    path = str(tmp_path / "decisions")
+    spark.createDataFrame(rows, "review_item_id int, decision string, decided_at int").coalesce(1).write.parquet(path)
+    decisions = spark.read.parquet(path).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    got = {r.review_item_id: r.item_status for r in workspace.decide(items, decisions.repartition(3)).collect()}
+    assert got == {0: "approved", 1: "rejected", 2: None}
