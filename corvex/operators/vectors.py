@@ -20,6 +20,8 @@ SAMPLE = 32768
 #: Parts of a vector that are coded apart, and codes of a part.
 PARTS, CODES = 16, 256
 ITERATIONS = 12
+#: Queries that the number of probes is read off.
+ASKED = 64
 #: Rows of a cell that lie together; larger cells are dealt over more pieces.
 PIECE = 65536
 
@@ -177,6 +179,28 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(spark, path, means, np.frombuffer(bytes(r.books), np.float64).reshape(r.parts, r.codes, r.dims // r.parts))
 
 
+def probes_for(index: VectorIndex, queries: DataFrame, k: int, share: float = 0.95, test: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> int:
+    """The fewest probes whose cells hold that share of the k nearest rows that pass the test.
+
+    Read off at most ASKED of the queries, answered exactly.  Vectors without
+    clusters need nearly all cells, as any index does with them.
+    """
+    usable = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    asked = usable.orderBy(F.xxhash64(key), key).limit(ASKED).select(key, vector).collect()
+    if not asked:
+        return 1
+    cells = np.argsort(-(_unit([r[1] for r in asked]) @ index.means.T), axis=1, kind="stable")
+    place = {r[0]: np.argsort(c) for r, c in zip(asked, cells)}
+    rows = index.rows if test is None else index.rows.where(test)
+    some = index.spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in asked], f"{key} long, {vector} array<double>")
+    truth = nearest(rows.select(key, _array(F.col("unit")).alias(vector)), some, k, key, vector)
+    found = rows.select(key, "cell").join(F.broadcast(truth.select("query_id", key)), key).collect()  # ASKED * k rows
+    if not found:
+        return 1
+    places = sorted(int(place[r.query_id][r.cell]) for r in found)
+    return 1 + places[max(0, int(np.ceil(share * len(places))) - 1)]
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, spare: int = 20, test: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank): nearly the k nearest of the rows that pass the payload test, for every query.
 

@@ -84,3 +84,20 @@ def test_copies_in_one_cell(spark, indexed, monkeypatch):
     assert split.rows.groupBy("cell", "piece").count().agg(F.max("count")).first()[0] < 700
     got = vectors.search(split, df.where("vec_id = 10005"), 20, probes=4)
     assert [r.vec_id for r in got.orderBy("rank").collect()] == [0, *range(10_000, 10_005), *range(10_006, 10_020)]
+
+
+def test_probes_for_vectors_without_clusters(spark):
+    """A fixed number of probes misses a third of the neighbours here; few cells do for clusters."""
+    rng = np.random.default_rng(7)
+    df = frame(spark, [(i, rng.normal(size=64).astype("float32").tolist(), i % 10) for i in range(2000)]).cache()
+    asked, test = df.where("vec_id % 25 = 0"), F.col("label") % 2 == 0
+    index = vectors.build(df, f"{shared.shared_dir(spark)}/test-vectors-{random.random()}", ["label"])
+    truth = vectors.nearest(df.where(test), asked, 10).cache()
+    probes = vectors.probes_for(index, asked, 10, test=test)
+    assert vectors.recall(vectors.search(index, asked, 10, probes=probes, test=test), truth) >= 0.9
+    assert vectors.recall(vectors.search(index, asked, 10, probes=16, test=test), truth) < 0.9
+    assert vectors.probes_for(index, asked.where("vec_id < 0"), 10) == 1
+    centres = rng.normal(size=(40, 32)) * 20
+    near = frame(spark, [(i, (centres[i % 40] + rng.normal(size=32)).astype("float32").tolist(), 0) for i in range(2000)]).cache()
+    index = vectors.build(near, f"{shared.shared_dir(spark)}/test-vectors-{random.random()}", ["label"], cells=40)
+    assert vectors.probes_for(index, near.where("vec_id % 50 = 0"), 10) < 10
