@@ -111,8 +111,10 @@ def ranked_results(spark: SparkSession, folder: str) -> DataFrame:
     last, chunks = text_queries.stage2_blend(spark, folder), hybrid_queries.evidence_chunks(spark, folder)
     best = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.min_by(F.struct("chunk_id", "chunk_score"), "place").alias("best"))
     rows = last.join(best, "document_id", "left").withColumn("rank", F.row_number().over(Window.orderBy(F.col("raw_score").desc(), "document_id")))  # 50 rows
-    docs = corpus(spark, folder).select("document_id", "title", "year", tx.excerpt(tx.spread_summary(F.col("text")), two_stage.query_prefixes(text_queries.RANKED_QUERY), 60).alias("excerpt"))
-    nested = rows.join(docs, "document_id").select("rank", "relevance", "document_id", F.struct("title", "year", "excerpt").alias("document"), F.struct(F.col("best.chunk_id").alias("chunk_id"), F.col("best.chunk_score").alias("chunk_score")).alias("best_full_text_chunk"), F.struct(F.col("raw_score").alias("raw_score"), F.coalesce("n_chunks", F.lit(0)).alias("evidence_chunk_count")).alias("scoring_breakdown"))
+    # The 50 rows meet their documents before excerpts are made: nothing else of the texts is touched.
+    docs = corpus(spark, folder).select("document_id", "title", "year", "text").join(F.broadcast(rows), "document_id")
+    docs = docs.withColumn("excerpt", tx.excerpt(tx.spread_summary(F.col("text")), two_stage.query_prefixes(text_queries.RANKED_QUERY), 60))
+    nested = docs.select("rank", "relevance", "document_id", F.struct("title", "year", "excerpt").alias("document"), F.struct(F.col("best.chunk_id").alias("chunk_id"), F.col("best.chunk_score").alias("chunk_score")).alias("best_full_text_chunk"), F.struct(F.col("raw_score").alias("raw_score"), F.coalesce("n_chunks", F.lit(0)).alias("evidence_chunk_count")).alias("scoring_breakdown"))
     return nested.select("rank", "relevance", "document_id", "document.year", F.length("document.excerpt").alias("excerpt_chars"), "best_full_text_chunk.chunk_id", "best_full_text_chunk.chunk_score", "scoring_breakdown.evidence_chunk_count")
 
 
