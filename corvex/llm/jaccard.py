@@ -13,14 +13,17 @@ those that do are verified on the whole sets.
 Only the components of the link graph are asked for, so a group of n near copies
 need not yield its n * n pairs.  The first round verifies each document's least
 candidate, the second one a spanning forest between the components found so far,
-and the last one every candidate pair that still lies between two components.  No
+the third one a pair for each two components that meet in a group, and the last
+one every candidate pair that still lies between two components.  No
 link that joins components can be missed: any link is a candidate pair, and in the
 end each candidate pair either lies inside one component or has been verified.
 
 The group of a frequent token is dealt in blocks of about ``GROUP_ROWS`` nodes,
 each of which finds its own forest; the second round joins one representative of
-each label, and the last one compares those that are not of the token's largest
-label with the nodes of every block, which is exact.
+each label, and the others compare those that are not of the token's largest
+label with the nodes of every block, which is exact.  Two large components that
+many links join yield one pair a block in the third round, and are one component
+in the last.
 
 Documents with equal sets are one node from the start.  Candidates come from one
 hash of the words' bytes, verification counts common tokens by another.
@@ -367,14 +370,29 @@ def across(group: Group) -> list[tuple[int, int]]:
     return edges
 
 
+def meeting(group: Group) -> list[tuple[int, int]]:
+    """Of the pairs that across finds, one for each two labels."""
+    edges, met, own = [], set(), np.flatnonzero(~group.sent)
+    for one in np.flatnonzero(group.sent):
+        mine = int(group.label[one])
+        others = own[group.label[own] != mine]
+        found = others[group.passes(one, others)]
+        labels, first = np.unique(group.label[found], return_index=True)
+        for label, x in zip(labels.tolist(), found[first].tolist(), strict=True):
+            if (both := (min(mine, label), max(mine, label))) not in met:
+                met.add(both)
+                edges.append((group.node[one], group.node[x]))
+    return edges
+
+
 def blocks(token: Column) -> Column:
     """Blocks of a token's group, by the least count of its class."""
     least = F.pow(F.lit(2.0), F.shiftrightunsigned(token, 56) - 1)
     return F.greatest(F.lit(1), F.ceil(least / GROUP_ROWS)).cast("int")
 
 
-def _by_token(entries: DataFrame, choose, percent: int) -> DataFrame:  # noqa: ANN001
-    """Distinct pairs (a < b) that choose finds in the groups of entries (token, salt, sent, node, n, place, bitmap, label)."""
+def _by_token(entries: DataFrame, bits: DataFrame, choose, percent: int) -> DataFrame:  # noqa: ANN001
+    """Distinct pairs (a < b) that choose finds in the groups of entries (token, salt, sent, node, n, place, label) with their bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
@@ -408,13 +426,14 @@ def _by_token(entries: DataFrame, choose, percent: int) -> DataFrame:  # noqa: A
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    rows = entries.select("token", "salt", "sent", "node", "n", "place", "bitmap", "label")
+    # Bitmaps come last, so that they are exchanged with a node and then once with each of its entries.
+    rows = entries.join(bits, "node").select("token", "salt", "sent", "node", "n", "place", "bitmap", "label")
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
     return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _mixed(entries: DataFrame, scratch: store.Scratch) -> tuple[DataFrame, DataFrame]:
-    """(entries of groups of several labels; those groups' tokens, staged).  Bitmaps of the other groups are not exchanged."""
+    """(entries of groups of several labels; those groups' tokens, staged)."""
     mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     mixed = scratch.stage(mixed, "mixed")
     return near_keys(entries, "token", mixed, "token").join(mixed, "token", "left_semi"), mixed
@@ -422,7 +441,7 @@ def _mixed(entries: DataFrame, scratch: store.Scratch) -> tuple[DataFrame, DataF
 
 def _representatives(entries: DataFrame) -> DataFrame:
     """Of each label one node in each token's group, dealt in blocks by the number of labels."""
-    first = entries.groupBy("token", "label").agg(F.min(F.struct("node", "n", "place", "bitmap")).alias("r"))
+    first = entries.groupBy("token", "label").agg(F.min(F.struct("node", "n", "place")).alias("r"))
     counts = entries.groupBy("token").agg(F.approx_count_distinct("label").alias("labels"))
     first = first.join(counts, "token").withColumn("salt", F.pmod(F.xxhash64("label"), F.ceil(F.greatest(F.col("labels"), F.lit(1)) / (4 * GROUP_ROWS))).cast("int"))
     return first.select("token", "salt", F.lit(0).alias("sent"), "r.*", "label")
@@ -496,14 +515,15 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     light = scratch.stage(rows.select("_key", "mark", "n", "node"), "keys")
     scratch.drop(rows)
 
-    grouped = entries.join(bits, "node").withColumn("label", F.col("node")).withColumn("sent", F.lit(0))
-    spanning = scratch.stage(_by_token(grouped, forest, percent), "forest")
+    grouped = entries.withColumn("label", F.col("node")).withColumn("sent", F.lit(0))
+    spanning = scratch.stage(_by_token(grouped, bits, forest, percent), "forest")
     # Sets are fetched for documents in candidate pairs only, and for those whose candidates may lie in other blocks.
     paired = spanning.select(F.col("a").alias("node")).unionByName(spanning.select(F.col("b").alias("node"))).unionByName(entries.where("blocks > 1").select("node"))
     paired = scratch.stage(paired.distinct(), "paired")
     light_entries = entries
-    entries = scratch.stage(entries.join(paired, "node", "left_semi").join(bits, "node").withColumn("sent", F.lit(0)), "paired-prefixes")
-    scratch.drop(light_entries, bits)
+    entries = scratch.stage(entries.join(paired, "node", "left_semi").withColumn("sent", F.lit(0)), "paired-prefixes")
+    all_bits, bits = bits, scratch.stage(bits.join(paired, "node", "left_semi"), "paired-bitmaps")
+    scratch.drop(light_entries, all_bits)
     wanted = light.where("node is not null").select("node", "_key").join(paired, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
     wanted = scratch.stage(wanted, "wanted")
     sets = scratch.stage(survivor_sets(docs, wanted, order, shingle, percent, text, key), "sets")
@@ -512,19 +532,20 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     scratch.drop(wanted, spanning)
     links = verify(tried, sets, percent, scratch)
     # Then what joins the components so far; in the end all that still lies between components.
-    for last in (False, True):
+    for turn in ("representatives", "labels", "last"):
         roots = components(links, scratch)
         labels = paired.join(roots.select("node", F.col("root").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = scratch.stage(labels, "labels")
         scratch.drop(roots)
         labelled, mixed = _mixed(entries.join(labels, "node"), scratch)
-        if last:
-            small, large = _crossing(labelled)
-            rest = _by_token(small, between, percent).unionByName(_by_token(large, across, percent)).distinct()
+        if turn == "representatives":
+            rest = _by_token(_representatives(labelled), bits, forest, percent)
         else:
-            rest = _by_token(_representatives(labelled), forest, percent)
+            small, large = _crossing(labelled)
+            inside, beyond = (between, across) if turn == "last" else (forest, meeting)
+            rest = _by_token(small, bits, inside, percent).unionByName(_by_token(large, bits, beyond, percent)).distinct()
         rest = rest.join(tried, ["a", "b"], "left_anti")
-        if not last:
+        if turn == "representatives":
             side = lambda end, labels=labels: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
             rest = rest.join(side("a"), "a").join(side("b"), "b").select(F.least("a_label", "b_label").alias("low"), F.greatest("a_label", "b_label").alias("high"), "a", "b")
             rest = rest.groupBy("high").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")

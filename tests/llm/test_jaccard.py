@@ -115,3 +115,22 @@ def test_blocks(spark, monkeypatch):
     for k, percent in ((3, 90), (2, 60)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, k, percent).collect()}
         assert got == plain(rows, k, percent), (k, percent)
+
+
+def test_large_components_meet_in_one_pair(spark, monkeypatch):
+    """Two clusters with links between any of their documents: the rounds make far fewer pairs than there are links."""
+    made = []
+    rng, base = random.Random(5), [f"w{i}" for i in range(200)]
+    rows = []
+    for n in range(240):
+        copy = list(base)
+        copy[rng.randrange(100, 200)] = f"x{n}"
+        rows.append((n, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    group = jaccard.Group(np.arange(60), np.full(60, 50), np.zeros(60, dtype=int), [bytes(64)] * 60, np.repeat([1, 2, 3], 20), 80)
+    group.sent = np.arange(60) >= 20
+    assert len(jaccard.across(group)) == 20 * 40 and sorted((group.label[a], group.label[b]) for a, b in jaccard.meeting(group)) == [(2, 1), (3, 1)]
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 8)
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *more, f=jaccard.verify: (made.append(pairs.count()), f(pairs, *more))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs, 5, 80).collect()}
+    assert got == {d: c for d, (_, c) in plain(rows, 5, 80).items()} and sum(made) < 4 * len(rows)
