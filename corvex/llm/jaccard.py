@@ -392,7 +392,7 @@ def blocks(token: Column) -> Column:
 
 
 def _by_token(entries: DataFrame, bits: DataFrame, choose, percent: int) -> DataFrame:  # noqa: ANN001
-    """Distinct pairs (a < b) that choose finds in the groups of entries (token, salt, sent, node, n, place, label) with their bitmaps."""
+    """Distinct pairs (a < b, and their labels low < high) that choose finds in the groups of entries (token, salt, sent, node, n, place, label) with their bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
@@ -405,8 +405,10 @@ def _by_token(entries: DataFrame, bits: DataFrame, choose, percent: int) -> Data
                     group = Group(node[a:b], n[a:b], place[a:b], raw[a:b], label[a:b], percent)
                     group.sent = sent[a:b].astype(bool)
                     found.update((min(e), max(e)) for e in (group.pair() if b - a == 2 else choose(group)))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            ends = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+            known, first = np.unique(node, return_index=True)
+            labels = np.sort(label[first[np.searchsorted(known, ends)]], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (*ends.T, *labels.T)], ["a", "b", "low", "high"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -429,7 +431,7 @@ def _by_token(entries: DataFrame, bits: DataFrame, choose, percent: int) -> Data
     # Bitmaps come last, so that they are exchanged with a node and then once with each of its entries.
     rows = entries.join(bits, "node").select("token", "salt", "sent", "node", "n", "place", "bitmap", "label")
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    return rows.mapInArrow(lean(run), "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long, low long, high long").distinct()
 
 
 def _mixed(entries: DataFrame, scratch: store.Scratch) -> tuple[DataFrame, DataFrame]:
@@ -458,7 +460,7 @@ def _crossing(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: store.Scratch) -> DataFrame:
-    """The pairs that share prefix tokens under all further orders and whose whole sets are similar enough; staged."""
+    """The pairs (a, b, low, high) that share prefix tokens under all further orders and whose whole sets are similar enough; staged."""
     more = [f"prefix{i}" for i in range(len(MORE_ORDERS))]
     ends = scratch.stage(pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct(), "ends")
     near = near_keys(sets, "node", ends, "need")
@@ -467,27 +469,40 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: store.Scrat
     shared = F.lit(True)
     for c in more:
         shared = shared & F.arrays_overlap(f"a_{c}", f"b_{c}")
-    kept = scratch.stage(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(shared).select("a", "b").distinct(), "candidates")
+    kept = scratch.stage(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(shared).select("a", "b", "low", "high").distinct(), "candidates")
     whole = near.select("node", "tokens")
-    rows = kept.join(side(whole, "a"), "a").join(side(whole, "b"), "b").select("a", "b", "a_tokens", "b_tokens")
+    rows = kept.join(side(whole, "a"), "a").join(side(whole, "b"), "b").select("a", "b", "low", "high", "a_tokens", "b_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y))
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= percent * (len(both) - common))
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], ["a", "b", "low", "high"])
 
-    out = scratch.stage(rows.mapInArrow(lean(run), "a long, b long").distinct(), "links")
+    out = scratch.stage(rows.mapInArrow(lean(run), "a long, b long, low long, high long").distinct(), "links")
     scratch.drop(ends, kept)
     return out
 
 
+def _relabel(labels: DataFrame, links: DataFrame, scratch: store.Scratch) -> DataFrame:
+    """(node, label) after links (low, high) between labels: a component's least node, staged.
+
+    Only labels that a link joins are in the graph; what is joined already is
+    one node of it.
+    """
+    roots = components(links, scratch, "low", "high")
+    out = labels.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    out = scratch.stage(out, "labels")
+    scratch.drop(roots)
+    return out
+
+
 def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", marks: bool = False, scratch: store.Scratch | None = None) -> DataFrame:
     """key, n_shingles and component_id of each document; with marks also mark, a hash of the text.
 
@@ -500,7 +515,7 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     Tables that the result still reads are left to the scratch, if one is given.
     """
     store.small_batches(docs.sparkSession)
-    scratch = scratch or store.Scratch(docs.sparkSession)
+    scratch = scratch or store.Scratch(docs.sparkSession, collect=False)
     order = frequent_tokens(docs, shingle, text)
     rows = scratch.stage(prefixes(docs, order, shingle, percent, text, key), "prefixes")
     entries = rows.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("place", "token")).repartition("token").dropDuplicates()
@@ -528,15 +543,13 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
     wanted = scratch.stage(wanted, "wanted")
     sets = scratch.stage(survivor_sets(docs, wanted, order, shingle, percent, text, key), "sets")
     # First each document with its least candidate, so that there are fewer pairs than documents.
-    tried = scratch.stage(spanning.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    tried = scratch.stage(spanning.groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.col("a").alias("low"), F.col("b").alias("high")), "tried")
     scratch.drop(wanted, spanning)
     links = verify(tried, sets, percent, scratch)
+    labels = _relabel(paired.withColumn("label", F.col("node")), links, scratch)
+    tried = tried.select("a", "b")
     # Then what joins the components so far; in the end all that still lies between components.
     for turn in ("representatives", "labels", "last"):
-        roots = components(links, scratch)
-        labels = paired.join(roots.select("node", F.col("root").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        labels = scratch.stage(labels, "labels")
-        scratch.drop(roots)
         labelled, mixed = _mixed(entries.join(labels, "node"), scratch)
         if turn == "representatives":
             rest = _by_token(_representatives(labelled), bits, forest, percent)
@@ -546,18 +559,16 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text
             rest = _by_token(small, bits, inside, percent).unionByName(_by_token(large, bits, beyond, percent)).distinct()
         rest = rest.join(tried, ["a", "b"], "left_anti")
         if turn == "representatives":
-            side = lambda end, labels=labels: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-            rest = rest.join(side("a"), "a").join(side("b"), "b").select(F.least("a_label", "b_label").alias("low"), F.greatest("a_label", "b_label").alias("high"), "a", "b")
-            rest = rest.groupBy("high").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
+            rest = rest.groupBy("high").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b", "p.low", "high")
         rest = scratch.stage(rest, "rest")
-        scratch.drop(labels, mixed)
-        tried = tried.unionByName(rest)
-        links = links.unionByName(verify(rest, sets, percent, scratch))
-    roots = components(links, scratch)
+        scratch.drop(mixed)
+        tried = tried.unionByName(rest.select("a", "b"))
+        before, labels = labels, _relabel(labels, verify(rest, sets, percent, scratch), scratch)
+        scratch.drop(before)
 
     # Least key of each node, then of each component.
     own = light.where("node is not null").groupBy("node").agg(F.min("_key").alias("own"))
-    own = own.join(roots, "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
+    own = own.join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("root"))
     own = scratch.stage(own, "nodes")
     scratch.drop(*[t for t, _ in scratch.paths.values() if t is not own and t is not light])
     least = own.groupBy("root").agg(F.min("own").alias("component_id"))
@@ -572,7 +583,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "
     Documents without words are in no group and stay.  A document without a key
     goes if it is linked with one that has a key.
     """
-    scratch = store.Scratch(docs.sparkSession)
+    scratch = store.Scratch(docs.sparkSession, collect=False)
     found = store.stage(join(docs.select(key, text), shingle, percent, text, key, marks=True, scratch=scratch), "classes")
     scratch.drop_all()
     facts = found.groupBy(F.col(key).alias("__k"), F.col("mark").alias("__m")).agg(F.count("*").alias("__n"), F.min("component_id").alias("__c"))

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvex.sources import shared
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
@@ -53,16 +55,18 @@ def drop(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Staged tables of one computation; each is dropped when its last reader is staged itself.
 
-    The driver's collector is asked to run then, so that Spark's cleaner also
-    deletes the shuffle files of the plans that are done.
+    Spark deletes the shuffle files of each write when it is done.  With collect
+    the driver's collector is asked to run at each drop, for those of other
+    plans; in a long computation that makes its heap grow.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, collect: bool = True) -> None:
+        self.spark, self.collect, self.paths = spark, collect, {}
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh(self.spark, name)
-        df.write.parquet(path)
+        with shared.brief_shuffles(self.spark):
+            df.select("*").write.parquet(path)  # a new plan, as the setting is read when a plan is made
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
@@ -71,8 +75,10 @@ class Scratch:
         for table in tables:
             _, path = self.paths.pop(id(table))
             drop(self.spark, path)
-        self.spark._jvm.System.gc()
+        if self.collect:
+            self.spark._jvm.System.gc()
 
     def drop_all(self) -> None:
         """Drops what is left."""
         self.drop(*[table for table, _ in self.paths.values()])
+        self.spark._jvm.System.gc()

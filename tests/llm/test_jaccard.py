@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from corvex.llm import components, jaccard
+from corvex.llm import components, jaccard, store
 from corvex.llm.queries import op2_jaccard_join
 
 
@@ -92,6 +92,14 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_stars_need_no_step(spark, monkeypatch):
+    """Edges that are stars already are not joined again; a round's edges lie between labels and mostly are."""
+    names, edges = [], spark.createDataFrame([(5, 1), (1, 9), (7, 7), (30, 20)], "low long, high long")
+    monkeypatch.setattr(store.Scratch, "stage", lambda self, df, name, f=store.Scratch.stage: (names.append(name), f(self, df, name))[1])
+    assert sorted(map(tuple, components.components(edges, None, "low", "high").collect())) == [(1, 1), (5, 1), (9, 1), (20, 20), (30, 20)]
+    assert names == ["edges", "components"]
+
+
 def test_words_that_polynomials_confuse(spark):
     swapped = lambda n, a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
     rows = [(10 * n + i, f"A {swapped(n, *ab)} z") for n in (1024, 2048, 4096) for i, ab in enumerate(("ab", "ba"))]
