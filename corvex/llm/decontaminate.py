@@ -240,7 +240,9 @@ def _space(docs: DataFrame, items: list[Item], every: np.ndarray, frequency: np.
             weight = count * idf[at]
             rows.append((at.tolist(), (weight / np.linalg.norm(weight)).tolist()))
             owner.append(k)
-    table = docs.sparkSession.createDataFrame(rows, "at array<int>, weight array<double>").repartition(8)
+    # From Arrow, as rows from a list would start further Python workers, which stay for a minute.
+    table = pa.table({"at": pa.array([at for at, _ in rows], pa.list_(pa.int32())), "weight": pa.array([w for _, w in rows], pa.list_(pa.float64()))})
+    table = docs.sparkSession.createDataFrame(table).repartition(8)
     space = randomised_svd(table, len(terms), rank)
     passages = np.stack([np.array(w) @ space[at] for at, w in rows])
     passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)

@@ -159,7 +159,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, group_tokens: int = GROU
             yield from flush(keys, ids, first)[0]
 
     schema = f"pack_id long, n_tokens long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{key_type}>, doc_offsets array<long>"
-    return rows.mapInArrow(lean(run), schema)
+    return rows.mapInArrow(lean(run, keeps=True), schema)
 
 
 def write(packed: DataFrame, path: str) -> None:

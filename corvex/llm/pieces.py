@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvex.llm.wordhash import SortedKeys, U, _Powers, lean, mix
+from corvex.llm.wordhash import KEPT, SortedKeys, U, _Powers, lean, mix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -389,14 +389,11 @@ class Coder:
         return out
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(path: str = DEFAULT_MODEL) -> Coder:
-    """The coder of a model file, made once in each worker."""
-    if path not in _CODERS:
-        _CODERS[path] = Coder(Vocabulary(path))
-    return _CODERS[path]
+    """The coder of a model file, made once in each worker; it stays until another operator's task comes."""
+    if ("coder", path) not in KEPT:
+        KEPT["coder", path] = Coder(Vocabulary(path))
+    return KEPT["coder", path]
 
 
 def slices(texts: list[str | None], size: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -430,7 +427,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key:
                 yield pa.RecordBatch.from_arrays(columns, ["_key", "n_tokens", "token_ids", "round_trip"])
 
     rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
-    out = rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, n_tokens long, token_ids array<int>, round_trip boolean")
+    out = rows.mapInArrow(lean(run, keeps=True), f"_key {rows.schema['_key'].dataType.simpleString()}, n_tokens long, token_ids array<int>, round_trip boolean")
     return out.withColumnRenamed("_key", key)
 
 
@@ -447,4 +444,4 @@ def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "token_ids",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t if ok else None for t, ok in zip(texts, valid, strict=True)], pa.string())], ["_key", "text"])
 
     rows = rows.select(rows[key].alias("_key"), rows[ids].alias("_ids"))
-    return rows.mapInArrow(lean(run), f"_key {rows.schema['_key'].dataType.simpleString()}, text string").withColumnRenamed("_key", key)
+    return rows.mapInArrow(lean(run, keeps=True), f"_key {rows.schema['_key'].dataType.simpleString()}, text string").withColumnRenamed("_key", key)

@@ -204,15 +204,36 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, type=kind))
 
 
-def lean(run: Callable) -> Callable:
-    """run for mapInArrow; at its end the worker, which other stages will use, gives memory back to the system."""
+#: What tasks of an operator keep in their worker for its next tasks.
+KEPT: dict[tuple[str, str], object] = {}
+
+
+def forget() -> None:
+    """Drops what earlier tasks have kept in this worker."""
+    if KEPT:
+        KEPT.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """run for mapInArrow; at its end the worker, which other stages will use, gives memory back to the system.
+
+    What another operator's tasks have kept there goes before it starts, unless
+    run keeps such things itself.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            _give_back()
 
     return wrapped

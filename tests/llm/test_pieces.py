@@ -1,11 +1,13 @@
 """Piece ids against the public library, and round trips."""
 
+import gc
 import random
 import string
+import weakref
 
 import sentencepiece
 
-from corvex.llm import pieces
+from corvex.llm import pieces, wordhash
 
 
 def test_equals_library(spark, sf):
@@ -68,3 +70,14 @@ def test_empty_table_and_clashes(spark):
     got = sorted((r.doc_id or 0, r.n_tokens, r.round_trip) for r in pieces.encode(rows).collect())
     assert got[0] == (0, 0, True) and got[1] == got[2]
     assert pieces.encode(rows.where("doc_id > 5")).count() == 0
+
+
+def test_coders_leave_with_the_next_operator():
+    """A worker keeps its coder for tasks that code texts, and drops it when another operator's task starts."""
+    code = pieces.coder()
+    assert list(wordhash.lean(lambda batches: batches, keeps=True)(iter([1]))) == [1] and pieces.coder() is code
+    held = weakref.ref(code)
+    del code
+    assert list(wordhash.lean(lambda batches: batches)(iter([1]))) == [1]
+    gc.collect()
+    assert held() is None
